@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysed workload reads bounded daily extracts and recomputes features
+per as-of day; it has no stream source, watermark or stateful operator, so
+nothing here re-implements one.  New daily extracts are handled by appending
+to the ledger folders and running the batch plans with new as-of days.
+"""
