@@ -56,6 +56,12 @@ class AsOf:
         return F.broadcast(self.frame)
 
 
+def literal_rows(spark: SparkSession, rows: Sequence[Column]) -> DataFrame:
+    """A small literal table from struct columns, built in the JVM (folds to
+    a local relation; no Python worker, no driver-side RDD)."""
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def _windows_from_end(end: Column, active_days: int) -> list[Column]:
     return [
         F.date_sub(end, MONTH_WINDOW_DAYS).alias("month_start"),
@@ -82,8 +88,9 @@ def asof_days(spark: SparkSession, ends: Sequence[dt.date], loop_days: Sequence[
     if len(ends) > MAX_ASOF_DAYS:
         raise ValueError(f"at most {MAX_ASOF_DAYS} as-of days per plan")
     loop_days = list(loop_days) if loop_days is not None else list(range(len(ends)))
-    base = spark.createDataFrame(
-        [(int(i), e) for i, e in zip(loop_days, ends)], "loop_day int, e date")
+    base = literal_rows(spark, [
+        F.struct(F.lit(int(i)).cast("int").alias("loop_day"), F.lit(e).cast("date").alias("e"))
+        for i, e in zip(loop_days, ends)])
     frame = base.select(F.col("loop_day"), *_windows_from_end(F.col("e"), active_days))
     first, last = _span(ends, active_days)
     return AsOf(frame, len(ends), first, last, min(ends), max(ends), active_days)

@@ -11,9 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from churnscope.config import CAMPAIGN_COLUMNS, SegmentRule
+from churnscope.operators.asof import literal_rows
 
 # Segment tables are parameters; keep them small enough to broadcast.
 MAX_SEGMENTS = 10_000
@@ -54,16 +54,15 @@ def campaign_view(enriched: DataFrame, columns: Sequence[str] = CAMPAIGN_COLUMNS
 def segment_rules(spark: SparkSession, rules: Sequence[SegmentRule]) -> DataFrame:
     if len(rules) > MAX_SEGMENTS:
         raise ValueError(f"at most {MAX_SEGMENTS} segment rules")
-    schema = T.StructType([
-        T.StructField("segment", T.StringType()),
-        T.StructField("min_sales", T.DoubleType()),
-        T.StructField("region", T.IntegerType()),
-        T.StructField("districts", T.ArrayType(T.IntegerType())),
-        T.StructField("categories", T.ArrayType(T.IntegerType())),
-    ])
-    return spark.createDataFrame(
-        [(r.segment, float(r.min_sales), int(r.region), list(r.districts), list(r.categories)) for r in rules],
-        schema)
+
+    def ints(xs):
+        return F.array(*[F.lit(int(x)) for x in xs]).cast("array<int>")
+
+    return literal_rows(spark, [
+        F.struct(F.lit(r.segment).alias("segment"), F.lit(float(r.min_sales)).alias("min_sales"),
+                 F.lit(int(r.region)).cast("int").alias("region"), ints(r.districts).alias("districts"),
+                 ints(r.categories).alias("categories"))
+        for r in rules])
 
 
 def campaign_segments(enriched: DataFrame, rules: DataFrame | Sequence[SegmentRule],

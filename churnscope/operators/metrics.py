@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.config import SALES_CUTOFFS
+from churnscope.operators.asof import literal_rows
 
 LABEL = "indexedLabel"
 
@@ -108,8 +109,7 @@ def precision_by_cutoff(preds: DataFrame, loop_day: int = 1,
     hits = churn.select(
         F.explode(F.filter(cut_arr, lambda c: F.col("total_sales") > c)).alias("cutoff"), LABEL)
     agg = hits.groupBy("cutoff").agg(F.count(F.lit(1)).alias("predicted"), F.sum(LABEL).alias("correct"))
-    spark = preds.sparkSession
-    all_cuts = spark.createDataFrame([(float(c),) for c in cutoffs], "cutoff double")
+    all_cuts = literal_rows(preds.sparkSession, [F.struct(F.lit(float(c)).alias("cutoff")) for c in cutoffs])
     j = all_cuts.join(agg, "cutoff", "left")
     predicted = F.coalesce(F.col("predicted"), F.lit(0)).cast("long")
     correct = F.coalesce(F.col("correct"), F.lit(0.0)).cast("double")
