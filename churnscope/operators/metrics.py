@@ -42,6 +42,53 @@ def _ratio(num, den):
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
+def day_customer_flags(preds: DataFrame) -> DataFrame:
+    """One row per (day, customer): flagged or not, whether this is the first
+    day the customer is flagged, and the confusion cells of its rows.
+
+    The first-flag mark is a window over each customer's rows (at most one
+    per as-of day, so bounded), which keeps the whole metric a single linear
+    plan: the prediction plan below runs once.
+    """
+    label, pred = F.col(LABEL), F.col("prediction")
+
+    def cell(lv: float, pv: float):
+        return F.sum(F.when((label == lv) & (pred == pv), F.lit(1)).otherwise(F.lit(0))).cast("long")
+
+    per = preds.groupBy("loop_day", "customer_level").agg(
+        F.max(F.when(pred == 1.0, F.lit(1)).otherwise(F.lit(0))).alias("flagged"),
+        cell(1.0, 1.0).alias("tp"), cell(0.0, 1.0).alias("fp"),
+        cell(1.0, 0.0).alias("fn"), cell(0.0, 0.0).alias("tn"),
+    )
+    before = (Window.partitionBy("customer_level").orderBy("loop_day")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    earlier = F.coalesce(F.max("flagged").over(before), F.lit(0))
+    return per.withColumn("first_flag", F.when((F.col("flagged") == 1) & (earlier == 0), F.lit(1))
+                          .otherwise(F.lit(0)))
+
+
+def _dynamics(flags: DataFrame, days: DataFrame | None) -> DataFrame:
+    per_day = flags.groupBy("loop_day").agg(
+        F.sum("flagged").cast("long").alias("predicted"),
+        F.sum("first_flag").cast("long").alias("newly"),
+        F.sum("tp").cast("long").alias("true_positives"),
+        F.sum("fp").cast("long").alias("false_positive"),
+        F.sum("fn").cast("long").alias("false_negative"),
+        F.sum("tn").cast("long").alias("true_negative"),
+    )
+    # Both sides hold one row per day: broadcast the aggregate.
+    j = per_day if days is None else days.join(F.broadcast(per_day), "loop_day", "left")
+    newly = F.coalesce(F.col("newly"), F.lit(0)).cast("long")
+    running = Window.orderBy("loop_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = ["predicted", "true_positives", "false_positive", "false_negative", "true_negative"]
+    return j.select(
+        "loop_day",
+        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in cells],
+        newly.alias("newly_classified"),
+        F.sum(newly).over(running).cast("long").alias("total_classified"),
+    ).withColumn("fallen_out", (F.col("total_classified") - F.col("predicted")).cast("long"))
+
+
 def set_dynamics(preds: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """How the predicted-churner set moves from day to day.
 
@@ -52,38 +99,20 @@ def set_dynamics(preds: DataFrame, days: DataFrame | None = None) -> DataFrame:
 
     Closed form: newly_i = customers whose first flagged day is i; total is
     the running sum of newly; fallen_i = total_i - |P_i|.  The running sum is
-    a window over one row per day (bounded by the as-of table).
+    a window over one row per day (bounded by the as-of table); days without
+    flags are kept when ``days`` is given.
     """
-    flagged = preds.where(F.col("prediction") == 1.0).select("loop_day", "customer_level")
-    per_day = flagged.groupBy("loop_day").agg(F.count_distinct("customer_level").alias("predicted"))
-    first = (
-        flagged.groupBy("customer_level").agg(F.min("loop_day").alias("loop_day"))
-        .groupBy("loop_day").agg(F.count(F.lit(1)).alias("newly"))
-    )
-    if days is None:
-        days = preds.select("loop_day").distinct()
-    j = days.join(per_day, "loop_day", "left").join(first, "loop_day", "left")
-    newly = F.coalesce(F.col("newly"), F.lit(0)).cast("long")
-    running = Window.orderBy("loop_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum(newly).over(running).cast("long")
-    return j.select(
-        "loop_day",
-        F.coalesce(F.col("predicted"), F.lit(0)).cast("long").alias("predicted"),
-        newly.alias("newly_classified"),
-        total.alias("total_classified"),
-    ).withColumn("fallen_out", (F.col("total_classified") - F.col("predicted")).cast("long"))
+    d = _dynamics(day_customer_flags(preds), days)
+    return d.select("loop_day", "predicted", "newly_classified", "total_classified", "fallen_out")
 
 
 def backtest_metrics(preds: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """One row per day: recall, precision, accuracy, newly classified,
     fallen out, total classified and total companies."""
-    cm = confusion_wide(preds)
-    dyn = set_dynamics(preds, days)
+    d = _dynamics(day_customer_flags(preds), days)
     tp, fp, fn, tn = (F.col(c) for c in ("true_positives", "false_positive", "false_negative", "true_negative"))
-    j = dyn.join(cm, "loop_day", "left").fillna(0, ["true_positives", "false_positive",
-                                                    "false_negative", "true_negative"])
     total = tp + fp + fn + tn
-    return j.select(
+    return d.select(
         "loop_day",
         _ratio(tp, tp + fn).alias("recall"),
         _ratio(tp, tp + fp).alias("precision"),
