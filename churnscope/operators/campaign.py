@@ -117,12 +117,24 @@ def largest_churner(enriched: DataFrame) -> DataFrame:
     return top_churners(enriched, 1).select("customer_level")
 
 
-def prediction_audit(frame: DataFrame, preds: DataFrame) -> DataFrame:
-    """Feature columns next to each customer's prediction (left join)."""
-    cols = ["loop_day", "customer_level", *[f"Month_{k}" for k in range(12)],
-            *[f"Week_{j}" for j in range(1, 7)], "feature_days_customer", "UNIQUE_TRANSREFNO_ACTIVE",
-            "total_sales"]
+AUDIT_COLUMNS = (
+    "loop_day", "customer_level", *[f"Month_{k}" for k in range(12)], *[f"Week_{j}" for j in range(1, 7)],
+    "feature_days_customer", "UNIQUE_TRANSREFNO_ACTIVE", "total_sales",
+)
+
+
+def prediction_audit(frame: DataFrame, preds: DataFrame | None = None) -> DataFrame:
+    """Feature columns next to each customer's prediction.
+
+    With ``preds``: a left join of the frame's audit columns with the
+    predictions (any source).  Without: ``frame`` already carries
+    ``prediction`` (``score``/``rule_score`` with ``keep=AUDIT_COLUMNS``),
+    so the feature plan runs once.
+    """
+    cols = list(AUDIT_COLUMNS)
     if "target_churn" in frame.columns:
         cols.append("target_churn")
+    if preds is None:
+        return frame.select(*cols, "prediction")
     p = preds.select("loop_day", "customer_level", "prediction")
     return frame.select(*cols).join(p, ["loop_day", "customer_level"], "left")

@@ -81,9 +81,10 @@ def score(model: PipelineModel, frame: DataFrame, keep: Sequence[str] = ()) -> D
         frame = with_label(frame)
     out = model.transform(frame)
     label = [LABEL] if LABEL in out.columns else []
+    extra = [c for c in keep if c not in ("loop_day", "customer_level", "total_sales", LABEL, "prediction")]
     return out.select(
         "loop_day", "customer_level", "total_sales", *label, "prediction",
-        vector_to_array("probability")[1].alias("probability_churn"), *keep,
+        vector_to_array("probability")[1].alias("probability_churn"), *extra,
     )
 
 
@@ -113,13 +114,15 @@ def feature_importance(model: PipelineModel, frame: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "slot int, feature string, importance double")
 
 
-def rule_score(frame: DataFrame, weeks: Sequence[str] = WEEK_COLUMNS, max_active: int = 1) -> DataFrame:
+def rule_score(frame: DataFrame, weeks: Sequence[str] = WEEK_COLUMNS, max_active: int = 1,
+               keep: Sequence[str] = ()) -> DataFrame:
     """Deterministic stand-in for the model: churn when no purchase in any of
     the last weeks and at most ``max_active`` transactions in the active
-    window.  Same output shape as ``score``."""
+    window.  Same output shape as ``score`` (plus ``keep`` columns)."""
     quiet = F.lit(True)
     for w in weeks:
         quiet = quiet & (F.col(w) == 0)
     pred = F.when(quiet & (F.col("UNIQUE_TRANSREFNO_ACTIVE") <= max_active), F.lit(1.0)).otherwise(F.lit(0.0))
     label = [F.col("target_churn").cast("double").alias(LABEL)] if "target_churn" in frame.columns else []
-    return frame.select("loop_day", "customer_level", "total_sales", *label, pred.alias("prediction"))
+    extra = [c for c in keep if c not in ("loop_day", "customer_level", "total_sales")]
+    return frame.select("loop_day", "customer_level", "total_sales", *label, pred.alias("prediction"), *extra)

@@ -315,7 +315,7 @@ def _top(spark, sf):
 
 def _audit(spark, sf):
     cur, _ = _rule_current(spark, sf)
-    return C.prediction_audit(cur.scoring, cur.predictions)
+    return C.prediction_audit(MD.rule_score(cur.scoring, keep=C.AUDIT_COLUMNS))
 
 
 def _segments(spark, sf):
