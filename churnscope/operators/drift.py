@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,8 +25,8 @@ def population_shift(training: DataFrame, scoring: DataFrame, by: Sequence[str])
     """Counts and shares per value of ``by`` in both frames.
 
     One union + one aggregation (pivot on two fixed values, no discovery
-    job); shares divide by the column total, a window over the aggregated
-    rows (one per distinct value of ``by``, so bounded by the categories).
+    job); shares divide by a one-row total joined back by broadcast, so any
+    cardinality of ``by`` stays distributed.
     """
     tagged = (training.select(*by, F.lit("train").alias("dataset"))
               .unionByName(scoring.select(*by, F.lit("pred").alias("dataset"))))
@@ -34,13 +34,12 @@ def population_shift(training: DataFrame, scoring: DataFrame, by: Sequence[str])
         F.sum(F.when(F.col("dataset") == "train", 1).otherwise(0)).cast("long").alias("train_count"),
         F.sum(F.when(F.col("dataset") == "pred", 1).otherwise(0)).cast("long").alias("pred_count"),
     )
-    whole = Window.partitionBy()
-    return counts.select(
+    totals = counts.agg(F.sum("train_count").alias("train_total"), F.sum("pred_count").alias("pred_total"))
+    j = counts.crossJoin(F.broadcast(totals))  # one row
+    return j.select(
         *by, "train_count", "pred_count",
-        F.try_divide(F.col("train_count").cast("double"),
-                     F.sum("train_count").over(whole).cast("double")).alias("train_share"),
-        F.try_divide(F.col("pred_count").cast("double"),
-                     F.sum("pred_count").over(whole).cast("double")).alias("pred_share"),
+        F.try_divide(F.col("train_count").cast("double"), F.col("train_total").cast("double")).alias("train_share"),
+        F.try_divide(F.col("pred_count").cast("double"), F.col("pred_total").cast("double")).alias("pred_share"),
     )
 
 

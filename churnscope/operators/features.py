@@ -32,6 +32,8 @@ bucket for it, so it serves as the cross-check and the bench's comparison.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,7 +243,7 @@ def _prefilter_register(register: DataFrame, asof: AsOf) -> DataFrame:
 
 def feature_frame(ledger: DataFrame, register: DataFrame, asof: AsOf, level: str = "custno",
                   with_label: bool = True, month_mode: str = "calendar", n_weeks: int = N_WEEKS,
-                  strategy: str = "flags") -> DataFrame:
+                  strategy: str = "flags", latest: dt.date | None = None) -> DataFrame:
     """The model frame: one row per (as-of day, live register row) with
     activity in the active window.
 
@@ -253,6 +255,10 @@ def feature_frame(ledger: DataFrame, register: DataFrame, asof: AsOf, level: str
 
     At company level every register row of a live company gets its own row
     (the company's counts repeated), as in the analysed workload.
+
+    With ``latest`` (newest posting date) and a label, ``label_mature`` marks
+    rows whose whole target window lies within the data; a label is otherwise
+    "no purchase yet", not "no purchase in a year".
     """
     key = level_column(level)
     counts = (
@@ -270,6 +276,8 @@ def feature_frame(ledger: DataFrame, register: DataFrame, asof: AsOf, level: str
             .alias("UNIQUE_TRANSREFNO_TARGET"),
             F.when(F.col("any_target") == 1, F.lit(0)).otherwise(F.lit(1)).alias("target_churn"),
         ]
+        if latest is not None:
+            label.append((F.col("target_end") <= F.lit(latest)).alias("label_mature"))
     return j.select(
         "loop_day",
         "customer_level",

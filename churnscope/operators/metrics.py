@@ -106,9 +106,14 @@ def set_dynamics(preds: DataFrame, days: DataFrame | None = None) -> DataFrame:
     return d.select("loop_day", "predicted", "newly_classified", "total_classified", "fallen_out")
 
 
-def backtest_metrics(preds: DataFrame, days: DataFrame | None = None) -> DataFrame:
+def backtest_metrics(preds: DataFrame, days: DataFrame | None = None, mature_only: bool = False) -> DataFrame:
     """One row per day: recall, precision, accuracy, newly classified,
-    fallen out, total classified and total companies."""
+    fallen out, total classified and total companies.
+
+    ``mature_only`` keeps rows whose target window is complete (needs the
+    ``label_mature`` column, see ``feature_frame(latest=...)``)."""
+    if mature_only:
+        preds = preds.where(F.col("label_mature"))
     d = _dynamics(day_customer_flags(preds), days)
     tp, fp, fn, tn = (F.col(c) for c in ("true_positives", "false_positive", "false_negative", "true_negative"))
     total = tp + fp + fn + tn

@@ -81,6 +81,7 @@ def score(model: PipelineModel, frame: DataFrame, keep: Sequence[str] = ()) -> D
         frame = with_label(frame)
     out = model.transform(frame)
     label = [LABEL] if LABEL in out.columns else []
+    keep = [*keep, *(["label_mature"] if "label_mature" in out.columns else [])]
     extra = [c for c in keep if c not in ("loop_day", "customer_level", "total_sales", LABEL, "prediction")]
     return out.select(
         "loop_day", "customer_level", "total_sales", *label, "prediction",
@@ -124,5 +125,6 @@ def rule_score(frame: DataFrame, weeks: Sequence[str] = WEEK_COLUMNS, max_active
         quiet = quiet & (F.col(w) == 0)
     pred = F.when(quiet & (F.col("UNIQUE_TRANSREFNO_ACTIVE") <= max_active), F.lit(1.0)).otherwise(F.lit(0.0))
     label = [F.col("target_churn").cast("double").alias(LABEL)] if "target_churn" in frame.columns else []
+    keep = [*keep, *(["label_mature"] if "label_mature" in frame.columns else [])]
     extra = [c for c in keep if c not in ("loop_day", "customer_level", "total_sales")]
     return frame.select("loop_day", "customer_level", "total_sales", *label, pred.alias("prediction"), *extra)

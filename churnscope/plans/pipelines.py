@@ -41,9 +41,10 @@ class CurrentPrediction:
 
 
 def backtest(model: PipelineModel | None, ledger: DataFrame, register: DataFrame, days: A.AsOf,
-             level: str = "custno") -> DataFrame:
-    """Score every backtest day in one plan (``model=None``: rule score)."""
-    frame = feature_frame(ledger, register, days, level, with_label=True)
+             level: str = "custno", latest: dt.date | None = None) -> DataFrame:
+    """Score every backtest day in one plan (``model=None``: rule score).
+    With ``latest`` the predictions carry ``label_mature``."""
+    frame = feature_frame(ledger, register, days, level, with_label=True, latest=latest)
     return rule_score(frame) if model is None else score(model, frame)
 
 

@@ -122,3 +122,12 @@ def test_rolling_month_mode_sums_to_year(spark, small):
     a = sorted((r[0], r[1]) for r in cal.selectExpr("customer_level", total).collect())
     b = sorted((r[0], r[1]) for r in rol.selectExpr("customer_level", total).collect())
     assert a == b
+
+
+def test_label_mature_marks_incomplete_target_windows(spark, small):
+    led, reg = small
+    latest = dt.date(2001, 7, 2)
+    days = A.backtest_days(spark, TRAIN)  # target ends 2001-06-30 .. 2001-07-03
+    ff = FE.feature_frame(led, reg, days, latest=latest)
+    got = {r.loop_day: r.m for r in ff.groupBy("loop_day").agg(F.min("label_mature").alias("m")).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False}
