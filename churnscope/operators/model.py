@@ -62,14 +62,26 @@ def classifier_pipeline(params: dict | None = None,
     return Pipeline(stages=[*encoder_stages(categorical, numeric), gbt])
 
 
+# Tree learning runs one job per tree level over every input partition, so
+# the input is sized by rows, not by the session's shuffle partitions.
+ROWS_PER_FIT_PARTITION = 100_000
+
+
 def fit(pipeline: Pipeline, training: DataFrame) -> PipelineModel:
-    """Fit on the labelled frame.  The frame is persisted for the encoder and
-    the boosting passes (spilling to disk, recomputed from lineage if an
-    executor is lost) and released afterwards."""
+    """Fit on the labelled frame.
+
+    The frame is persisted (spilling to disk, recomputed from lineage if an
+    executor is lost), counted once, and its cached partitions are merged to
+    about ``ROWS_PER_FIT_PARTITION`` rows each (a narrow coalesce, no
+    shuffle) before the encoder and the boosting passes; it is released
+    afterwards.
+    """
     train = with_label(training) if LABEL not in training.columns else training
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return pipeline.fit(train)
+        rows = train.count()
+        parts = max(1, -(-rows // ROWS_PER_FIT_PARTITION))
+        return pipeline.fit(train.coalesce(parts))
     finally:
         train.unpersist()
 
