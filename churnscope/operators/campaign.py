@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from churnscope.config import CAMPAIGN_COLUMNS, SegmentRule
 from churnscope.operators.asof import literal_rows
+from churnscope.operators.features import level_column
 
 # Segment tables are parameters; keep them small enough to broadcast.
 MAX_SEGMENTS = 10_000
@@ -28,16 +29,20 @@ def predicted_churners(preds: DataFrame, loop_day: int | None = None) -> DataFra
 
 
 def churners_with_register(preds: DataFrame, register: DataFrame, loop_day: int | None = 1,
-                           columns: Sequence[str] = ("CUSTCAT", "CZTURNOVER")) -> DataFrame:
+                           columns: Sequence[str] = ("CUSTCAT", "CZTURNOVER"),
+                           level: str = "custno") -> DataFrame:
     """Predicted churners with a few register attributes (left join)."""
-    churn = predicted_churners(preds, loop_day).withColumnRenamed("customer_level", "custno")
-    reg = register.select(F.col("CUSTNO").alias("custno"), *columns)
-    return churn.join(reg, "custno", "left")
+    key = level_column(level)
+    name = key.lower()
+    churn = predicted_churners(preds, loop_day).withColumnRenamed("customer_level", name)
+    reg = register.select(F.col(key).alias(name), *columns)
+    return churn.join(reg, name, "left")
 
 
-def enrich_predictions(preds: DataFrame, register: DataFrame) -> DataFrame:
-    """Predictions with every register column (left join on the customer)."""
-    reg = register.withColumnRenamed("CUSTNO", "customer_level")
+def enrich_predictions(preds: DataFrame, register: DataFrame, level: str = "custno") -> DataFrame:
+    """Predictions with every register column (left join on the entity key;
+    at company level each company row meets all its register rows)."""
+    reg = register.withColumnRenamed(level_column(level), "customer_level")
     return preds.join(reg, "customer_level", "left")
 
 

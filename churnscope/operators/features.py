@@ -218,8 +218,7 @@ def live_customers(register: DataFrame, asof: AsOf, level: str = "custno") -> Da
     the target window ends) and ``feature_days_customer``."""
     key = level_column(level)
     reg = _prefilter_register(register, asof)
-    w = asof.broadcast()
-    j = reg.crossJoin(w) if asof.n_days > 1 else reg.join(w, how="cross")
+    j = reg.crossJoin(asof.broadcast())
     return (
         j.where(is_live("CREDATE", "KILLDATE", "feature_end"))
         .select(
