@@ -11,7 +11,7 @@ read path (``read_ledger``: per-extract qualification and hand-over cut
 pushed into the Parquet scans, union).
 
 Each query is forced with a ``noop`` write (full computation, nothing
-collected).  ``naive_backtest_features`` is the comparison the baseline
+collected) and reported as the best of two runs (the model fit: one run).  ``naive_backtest_features`` is the comparison the baseline
 calls for: the four backtest days computed one at a time in a driver loop,
 with a row-at-a-time Python UDF for the week bucket, pivots that first run a
 job to discover their values, conditional distinct counts and one action per
@@ -52,10 +52,15 @@ def force(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def timed(fn) -> float:
-    t = time.perf_counter()
-    fn()
-    return round(time.perf_counter() - t, 3)
+def timed(fn, reps: int = 2) -> float:
+    """Best of ``reps`` runs (the VM's timings are noisy)."""
+    best = None
+    for _ in range(reps):
+        t = time.perf_counter()
+        fn()
+        dt_ = time.perf_counter() - t
+        best = dt_ if best is None else min(best, dt_)
+    return round(best, 3)
 
 
 def prepare(spark) -> tuple[list[str], str]:
@@ -183,7 +188,7 @@ def main() -> None:
     rows_equal = same_rows(led, reg, days)
     q["naive_backtest_features"] = timed(lambda: naive_backtest(led, reg))
     if WITH_MODEL:
-        q["evaluation_gbt"] = timed(lambda: force(P.evaluate(led, reg, TRAIN_END).metrics))
+        q["evaluation_gbt"] = timed(lambda: force(P.evaluate(led, reg, TRAIN_END).metrics), reps=1)
 
     headline = [k for k in q if not k.startswith("naive") and not k.endswith("_distinct")]
     total = round(sum(q[k] for k in headline), 3)
