@@ -35,7 +35,9 @@ def population_shift(training: DataFrame, scoring: DataFrame, by: Sequence[str])
         F.sum(F.when(F.col("dataset") == "pred", 1).otherwise(0)).cast("long").alias("pred_count"),
     )
     totals = counts.agg(F.sum("train_count").alias("train_total"), F.sum("pred_count").alias("pred_total"))
-    j = counts.crossJoin(F.broadcast(totals))  # one row
+    # Equi-join on a constant key with the one-row total (broadcast).
+    one = F.lit(1).alias("_one")
+    j = counts.select("*", one).join(F.broadcast(totals.select("*", one)), "_one")
     return j.select(
         *by, "train_count", "pred_count",
         F.try_divide(F.col("train_count").cast("double"), F.col("train_total").cast("double")).alias("train_share"),

@@ -213,20 +213,27 @@ def week_columns(n_weeks: int = N_WEEKS) -> list[str]:
     return [f"Week_{j}" for j in range(1, n_weeks + 1)] if n_weeks != N_WEEKS else list(WEEK_COLUMNS)
 
 
-def live_customers(register: DataFrame, asof: AsOf, level: str = "custno") -> DataFrame:
+def live_customers(register: DataFrame, asof: AsOf, level: str = "custno",
+                   extra: list[str] | None = None) -> DataFrame:
     """Register rows open on each as-of day, with ``killed`` (closes before
-    the target window ends) and ``feature_days_customer``."""
+    the target window ends) and ``feature_days_customer``.
+
+    The register meets the as-of table in a broadcast nested-loop join whose
+    condition is the live test (the table is bounded), after literal bounds
+    are pushed into the register scan.
+    """
     key = level_column(level)
     reg = _prefilter_register(register, asof)
-    j = reg.crossJoin(asof.broadcast())
+    w = asof.broadcast()
+    j = reg.join(w, is_live(reg["CREDATE"], reg["KILLDATE"], w["feature_end"]), "inner")
     return (
-        j.where(is_live("CREDATE", "KILLDATE", "feature_end"))
-        .select(
+        j.select(
             "loop_day",
             F.col(key).alias("customer_level"),
             *[F.col(c) for c in register.columns],
             killed_flag("KILLDATE", "target_end").alias("killed"),
             customer_age_days("feature_end", "CREDATE").alias("feature_days_customer"),
+            *(extra or []),
         )
     )
 
@@ -259,15 +266,15 @@ def feature_frame(ledger: DataFrame, register: DataFrame, asof: AsOf, level: str
     rows whose whole target window lies within the data; a label is otherwise
     "no purchase yet", not "no purchase in a year".
     """
-    key = level_column(level)
     counts = (
         entity_features(ledger, asof, level, register, with_label, month_mode, n_weeks, strategy)
         .where(F.col("UNIQUE_TRANSREFNO_ACTIVE") > 0)
     )
-    ends = asof.broadcast().select("loop_day", "feature_end", "target_end")
-    counts = counts.join(ends, "loop_day")
-    reg = _prefilter_register(register, asof).withColumn("customer_level", F.col(key))
-    j = counts.join(reg, "customer_level", "inner").where(is_live("CREDATE", "KILLDATE", "feature_end"))
+    # Live register rows per day (register x bounded as-of table, filtered
+    # before any shuffle).  Joining on (day, entity) reuses the aggregation's
+    # hash partitioning, so the aggregated side is not shuffled again.
+    live = live_customers(register, asof, level, extra=["target_end"] if latest is not None else [])
+    j = counts.join(live, ["loop_day", "customer_level"], "inner")
     label = []
     if with_label:
         label = [
@@ -281,13 +288,13 @@ def feature_frame(ledger: DataFrame, register: DataFrame, asof: AsOf, level: str
         "loop_day",
         "customer_level",
         *[F.col(c) for c in register.columns],
-        killed_flag("KILLDATE", "target_end").alias("killed"),
+        "killed",
         *MONTH_COLUMNS,
         *week_columns(n_weeks),
         F.coalesce(F.col("sales_sum").cast("double"), F.lit(0.0)).alias("total_sales"),
         "UNIQUE_TRANSREFNO_ACTIVE",
         *label,
-        customer_age_days("feature_end", "CREDATE").alias("feature_days_customer"),
+        "feature_days_customer",
     )
 
 

@@ -48,12 +48,11 @@ def asof_schedule(ledger: DataFrame, periods: int = BACKTEST_PERIODS,
       active window 365 days;
     * ``prediction_score`` (day 0): the prediction dates shifted by 366.
 
-    Built in one plan: a global max (one row) crossed with a range of
-    ``periods + 2`` rows, so the table stays bounded whatever the ledger size.
+    Built in one plan: the global max (one row) exploded into ``periods + 2``
+    steps, so the table stays bounded whatever the ledger size.
     """
     latest = ledger.agg(F.max("POSTDATE").alias("latest"))
-    steps = ledger.sparkSession.range(0, periods + 2, numPartitions=1)
-    j = steps.crossJoin(F.broadcast(latest))
+    j = latest.select(F.explode(F.sequence(F.lit(0), F.lit(periods + 1))).alias("id"), "latest")
     i = F.col("id").cast("int")
     eval_end = F.date_sub(F.col("latest"), CHURN_DAYS + gap_days)
     pred_end = F.date_sub(F.col("latest"), CHURN_DAYS)

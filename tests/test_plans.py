@@ -20,13 +20,16 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
-def test_feature_plan_has_no_python_and_two_aggregation_shuffles(spark, small):
+def test_feature_plan_has_no_python_and_three_shuffles(spark, small):
     led, reg = small
     plan = _plan(FE.feature_frame(led, reg, A.backtest_days(spark, X.TRAINING_END)))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "Expand"):
         assert node not in plan
     assert "BroadcastNestedLoopJoin" in plan
-    assert plan.count("hashpartitioning(loop_day") == 2
+    # Two aggregations and the register side; the aggregated side meets the
+    # register without a second shuffle (same (day, entity) partitioning).
+    assert plan.count("hashpartitioning(loop_day") == 3
+    assert "hashpartitioning(customer_level" not in plan
 
 
 def test_date_span_reaches_the_parquet_scan(spark, tmp_path):
