@@ -111,6 +111,18 @@ def model_inputs(model: PipelineModel | Pipeline, frame: DataFrame) -> DataFrame
                       vector_to_array("features").alias("features"))
 
 
+def model_input_entries(model: PipelineModel | Pipeline, frame: DataFrame) -> DataFrame:
+    """The encoded input matrix in coordinate form: one row per non-zero
+    slot (``loop_day, customer_level, slot, value``).  Slots are the two
+    one-hot blocks, then ``Month_1..11``, ``Week_1..6`` and
+    ``feature_days_customer``."""
+    stages = model.stages[:3] if isinstance(model, PipelineModel) else None
+    enc = PipelineModel(stages) if stages is not None else model.fit(frame)
+    out = enc.transform(frame).select(
+        "loop_day", "customer_level", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    return out.where(F.col("value") != 0.0)
+
+
 def feature_importance(model: PipelineModel, frame: DataFrame) -> DataFrame:
     """Importance of every assembled input slot, named from the vector's
     attribute metadata (e.g. ``CUSTCLASS_vector_BUILDING``, ``Week_1``)."""

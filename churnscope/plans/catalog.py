@@ -355,6 +355,31 @@ def _model_inputs(spark, sf):
     return MD.model_inputs(MD.encoder(), frame)
 
 
+def _model_input_entries(spark, sf):
+    return MD.model_input_entries(MD.encoder(), _frame(spark, sf))
+
+
+def _entries_sql() -> str:
+    numeric = [f"Month_{k}" for k in range(1, 12)] + [f"Week_{j}" for j in range(1, 7)] + ["feature_days_customer"]
+    parts = [
+        "select t.loop_day, t.customer_level, c.i as slot, cast(1 as double) as value "
+        "from tf t join cls c on c.CUSTCLASS = t.CUSTCLASS",
+        "select t.loop_day, t.customer_level, (select count(*) from cls) + r.i as slot, "
+        "cast(1 as double) as value from tf t join reg r on r.REGION = t.REGION",
+    ]
+    for k, c in enumerate(numeric):
+        parts.append(f"select loop_day, customer_level, (select count(*) from cls) + (select count(*) from reg) "
+                     f"+ {k} as slot, cast({c} as double) as value from tf")
+    body = "\nunion all\n".join(parts)
+    return f"""
+, cls as (select CUSTCLASS, dense_rank() over (order by CUSTCLASS desc) - 1 as i
+          from (select distinct CUSTCLASS from tf where CUSTCLASS is not null) a),
+reg as (select REGION, dense_rank() over (order by cast(REGION as varchar) desc) - 1 as i
+        from (select distinct REGION from tf where REGION is not null) b)
+select loop_day, customer_level, cast(slot as integer) as slot, value
+from ({body}) u where value != 0"""
+
+
 def _current_predictions(spark, sf):
     led, reg = _inputs(spark, sf)
     return P.predict_current(led, reg, gbt_params=PRODUCTION_GBT).predictions
@@ -538,6 +563,8 @@ select ds as dataset, CUSTCLASS, coalesce(idx, (select n from nlab)) as CUSTCLAS
 from (select 'train' as ds, CUSTCLASS from tf union all select 'pred' as ds, CUSTCLASS from sf) u
 left join lab using (CUSTCLASS) group by all"""),
         Query("campaign_csv_roundtrip", _csv_roundtrip, CUR + _segments_sql("pe"), ("CREDATE",)),
+        Query("model_input_entries", _model_input_entries,
+              O.with_base() + ", " + frame_cte("tf", TRAIN_DAYS) + _entries_sql()),
         # Model output: rows-only checks.
         Query("model_inputs", _model_inputs),
         Query("current_predictions", _current_predictions),
