@@ -35,7 +35,6 @@ from churnscope.config import (
     N_WEEKS,
     PREDICTION_SHIFT_DAYS,
     PRODUCTION_GBT,
-    SALES_CUTOFFS,
     fixture_segments,
 )
 from churnscope.operators import asof as A
@@ -155,10 +154,6 @@ CUR = (O.with_base() + ", " + frame_cte("tf", PRED_TRAIN_DAYS, active_days=CHURN
          " on r.CUSTNO = p.customer_level)\n")
 
 
-def _with(*ctes: str) -> str:
-    return ", " + ", ".join(ctes) + "\n" if ctes else ""
-
-
 YEAR = O.with_base(TRAIN_DAYS) + f", yr as ({O.year_rows()})\n"
 LAG_ROWS = (O.with_base(TRAIN_DAYS)
             + ", lg as (select w.loop_day, l.CUSTNO as customer_level, l.TRANSREFNO, "
@@ -409,11 +404,6 @@ def _months_sql() -> str:
     return ", ".join(f"count(distinct case when m = {k} then TRANSREFNO end) as Month_{k}" for k in range(12))
 
 
-def _weeks_sql() -> str:
-    return ", ".join(f"count(distinct case when {O.week_cond(j)} then TRANSREFNO end) as Week_{j}"
-                     for j in range(1, N_WEEKS + 1))
-
-
 def _lags_sql(n: int = 50) -> str:
     return ", ".join(f"count(distinct case when lag = {k} then TRANSREFNO end) as lag_{k}"
                      for k in range(1, n + 1))
