@@ -182,7 +182,7 @@ def main() -> None:
     q["backtest_metrics_rule"] = timed(metrics)
 
     def campaign():
-        cur = P.predict_current(led, reg, use_model=False)
+        cur = P.predict_current(led, reg, use_model=False, checkpoint=False)
         force(C.campaign_segments(C.enrich_predictions(cur.predictions, reg), fixture_segments()))
     q["current_campaign_rule"] = timed(campaign)
     rows_equal = same_rows(led, reg, days)

@@ -121,7 +121,7 @@ def _rule_backtest(spark, sf):
 
 def _rule_current(spark, sf):
     led, reg = _inputs(spark, sf)
-    return P.predict_current(led, reg, use_model=False), reg
+    return P.predict_current(led, reg, use_model=False, checkpoint=False), reg
 
 
 # ---------------------------------------------------------------------------
@@ -377,23 +377,23 @@ from ({body}) u where value != 0"""
 
 def _current_predictions(spark, sf):
     led, reg = _inputs(spark, sf)
-    return P.predict_current(led, reg, gbt_params=PRODUCTION_GBT).predictions
+    return P.predict_current(led, reg, gbt_params=PRODUCTION_GBT, checkpoint=False).predictions
 
 
 def _feature_importance(spark, sf):
     led, reg = _inputs(spark, sf)
-    cur = P.predict_current(led, reg, gbt_params=PRODUCTION_GBT)
+    cur = P.predict_current(led, reg, gbt_params=PRODUCTION_GBT, checkpoint=False)
     return MD.feature_importance(cur.model, cur.training)
 
 
 def _backtest_predictions(spark, sf):
     led, reg = _inputs(spark, sf)
-    return P.evaluate(led, reg, TRAIN_END, gbt_params=EVALUATION_GBT).predictions
+    return P.evaluate(led, reg, TRAIN_END, gbt_params=EVALUATION_GBT, checkpoint=False).predictions
 
 
 def _evaluation(spark, sf):
     led, reg = _inputs(spark, sf)
-    return P.evaluate(led, reg, TRAIN_END, gbt_params=EVALUATION_GBT).metrics
+    return P.evaluate(led, reg, TRAIN_END, gbt_params=EVALUATION_GBT, checkpoint=False).metrics
 
 
 # ---------------------------------------------------------------------------

@@ -1,9 +1,11 @@
 """End-to-end runs: evaluation (fit, backtest, metrics) and current
 prediction (fit on the last labelled year, score as of the next day).
 
-Actions happen only where a model is fitted (and, for the current
-prediction, one scalar job for the newest posting date); everything else
-stays a lazy plan the caller sinks.
+Actions happen where a model is fitted, for the newest posting date (one
+scalar job), and — with ``checkpoint=True`` — where the frames that several
+outputs read (predictions; training and scoring frames) are written once to
+the shared checkpoint folder, so metrics, call lists, audits and drift checks
+do not each re-run the ledger plan.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from churnscope.operators import asof as A
 from churnscope.operators.features import feature_frame
 from churnscope.operators.metrics import backtest_metrics
 from churnscope.operators.model import classifier_pipeline, fit, rule_score, score
+from churnscope.session import materialize
 
 
 @dataclass
@@ -50,25 +53,30 @@ def backtest(model: PipelineModel | None, ledger: DataFrame, register: DataFrame
 
 def evaluate(ledger: DataFrame, register: DataFrame, training_end: dt.date,
              periods: int = BACKTEST_PERIODS, level: str = "custno",
-             gbt_params: dict | None = None, use_model: bool = True) -> Evaluation:
+             gbt_params: dict | None = None, use_model: bool = True,
+             checkpoint: bool = True) -> Evaluation:
     spark = ledger.sparkSession
     train_days = A.training_day(spark, training_end)
     training = feature_frame(ledger, register, train_days, level, with_label=True)
     model = fit(classifier_pipeline(gbt_params or EVALUATION_GBT), training) if use_model else None
     days = A.backtest_days(spark, training_end, periods)
     preds = backtest(model, ledger, register, days, level)
+    if checkpoint:
+        preds = materialize(preds)
     metrics = backtest_metrics(preds, days.frame.select("loop_day"))
     return Evaluation(model, training, preds, metrics, days)
 
 
 def predict_current(ledger: DataFrame, register: DataFrame, level: str = "custno",
                     gbt_params: dict | None = None, latest: dt.date | None = None,
-                    use_model: bool = True) -> CurrentPrediction:
+                    use_model: bool = True, checkpoint: bool = True) -> CurrentPrediction:
     spark = ledger.sparkSession
     latest = latest or A.latest_posting_date(ledger)
     train_days, score_days = A.prediction_days(spark, latest)
     training = feature_frame(ledger, register, train_days, level, with_label=True)
     scoring = feature_frame(ledger, register, score_days, level, with_label=False)
+    if checkpoint:
+        training, scoring = materialize(training), materialize(scoring)
     if use_model:
         model = fit(classifier_pipeline(gbt_params or PRODUCTION_GBT), training)
         preds = score(model, scoring)

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -66,6 +66,17 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return "/".join([base.rstrip("/"), *parts])
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: a reliable checkpoint in the shared checkpoint folder.
+
+    For small results that several outputs read (predictions, model frames),
+    so each output does not re-run the ledger plan, and a lost executor
+    does not send recovery back to the scan.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new, unique folder name under :func:`shared_dir`."""
     return shared_dir(spark, f"{label}-{uuid.uuid4().hex[:12]}")

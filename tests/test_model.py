@@ -75,3 +75,14 @@ def test_prediction_windows_follow_newest_posting(spark, small):
     assert t.feature_end == latest - dt.timedelta(days=365)
     assert s.feature_end == latest + dt.timedelta(days=1)
     assert t.active_start == t.feature_end - dt.timedelta(days=365)
+
+
+def test_evaluation_with_checkpointed_predictions(spark, small):
+    from churnscope.plans import pipelines as P
+
+    led, reg = small
+    ev = P.evaluate(led, reg, X.TRAINING_END, gbt_params=SMALL_GBT, use_model=False, checkpoint=True)
+    # The checkpointed predictions no longer carry the ledger plan.
+    assert "BroadcastNestedLoopJoin" not in ev.predictions._jdf.queryExecution().executedPlan().toString()
+    plain = P.evaluate(led, reg, X.TRAINING_END, use_model=False, checkpoint=False)
+    assert sorted(map(tuple, ev.metrics.collect())) == sorted(map(tuple, plain.metrics.collect()))
