@@ -41,7 +41,13 @@ def read_extract(spark: SparkSession, path: str, fmt: str = "parquet",
     reader = spark.read.format(fmt)
     if schema is not None and fmt == "parquet":
         reader = reader.schema(schema)
-    return reader.load(path)
+    try:
+        return reader.load(path)
+    except Exception as e:  # noqa: BLE001 - Py4J raises generic errors for missing sources
+        if fmt == "delta" and "delta" in str(e).lower() and "path does not exist" not in str(e).lower():
+            raise RuntimeError("reading a Delta extract needs the Delta Lake connector on the Spark "
+                               "classpath (e.g. --packages io.delta:delta-spark_2.13:<version>)") from e
+        raise
 
 
 def qualify(raw: DataFrame, company: str = QUALIFYING_COMPANY,

@@ -40,3 +40,15 @@ def test_csv_is_latin1_with_semicolons(spark):
     assert "Åsa".encode("latin-1") in raw and b"??" in raw
     back = read_call_lists(spark, path, df.schema)
     assert sorted(r.NAME1 for r in back.collect()) == ["??", "Åsa;Ørjan"]
+
+
+def test_delta_without_connector_explains_itself(spark, tmp_path):
+    import pytest
+
+    from churnscope.sources import read_extract
+
+    p = str(tmp_path / "d")
+    spark.range(1).write.parquet(p)
+    with pytest.raises(Exception) as info:
+        read_extract(spark, p, fmt="delta").count()
+    assert "delta" in str(info.value).lower()
