@@ -375,25 +375,42 @@ select loop_day, customer_level, cast(slot as integer) as slot, value
 from ({body}) u where value != 0"""
 
 
+# Fitted models shared by the model keys of one session and data folder (the
+# fit is deterministic for given data and settings), so e.g. the importance
+# query does not refit the model the prediction query already fitted.
+_MODELS: dict[tuple, object] = {}
+
+
+def _model(spark, sf, kind: str):
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _MODELS:
+        led, reg = _inputs(spark, sf)
+        if kind == "production":
+            _MODELS[key] = P.predict_current(led, reg, gbt_params=PRODUCTION_GBT, checkpoint=False).model
+        else:
+            _MODELS[key] = P.evaluate(led, reg, TRAIN_END, gbt_params=EVALUATION_GBT, checkpoint=False).model
+    return _MODELS[key]
+
+
 def _current_predictions(spark, sf):
     led, reg = _inputs(spark, sf)
-    return P.predict_current(led, reg, gbt_params=PRODUCTION_GBT, checkpoint=False).predictions
+    return P.predict_current(led, reg, checkpoint=False, model=_model(spark, sf, "production")).predictions
 
 
 def _feature_importance(spark, sf):
     led, reg = _inputs(spark, sf)
-    cur = P.predict_current(led, reg, gbt_params=PRODUCTION_GBT, checkpoint=False)
+    cur = P.predict_current(led, reg, checkpoint=False, model=_model(spark, sf, "production"))
     return MD.feature_importance(cur.model, cur.training)
 
 
 def _backtest_predictions(spark, sf):
     led, reg = _inputs(spark, sf)
-    return P.evaluate(led, reg, TRAIN_END, gbt_params=EVALUATION_GBT, checkpoint=False).predictions
+    return P.evaluate(led, reg, TRAIN_END, checkpoint=False, model=_model(spark, sf, "evaluation")).predictions
 
 
 def _evaluation(spark, sf):
     led, reg = _inputs(spark, sf)
-    return P.evaluate(led, reg, TRAIN_END, gbt_params=EVALUATION_GBT, checkpoint=False).metrics
+    return P.evaluate(led, reg, TRAIN_END, checkpoint=False, model=_model(spark, sf, "evaluation")).metrics
 
 
 # ---------------------------------------------------------------------------

@@ -54,11 +54,16 @@ def backtest(model: PipelineModel | None, ledger: DataFrame, register: DataFrame
 def evaluate(ledger: DataFrame, register: DataFrame, training_end: dt.date,
              periods: int = BACKTEST_PERIODS, level: str = "custno",
              gbt_params: dict | None = None, use_model: bool = True,
-             checkpoint: bool = True) -> Evaluation:
+             checkpoint: bool = True, model: PipelineModel | None = None) -> Evaluation:
+    """Fit on ``training_end`` (or use the given fitted ``model``), score the
+    backtest days in one plan, compute the metrics."""
     spark = ledger.sparkSession
     train_days = A.training_day(spark, training_end)
     training = feature_frame(ledger, register, train_days, level, with_label=True)
-    model = fit(classifier_pipeline(gbt_params or EVALUATION_GBT), training) if use_model else None
+    if use_model and model is None:
+        model = fit(classifier_pipeline(gbt_params or EVALUATION_GBT), training)
+    elif not use_model:
+        model = None
     days = A.backtest_days(spark, training_end, periods)
     preds = backtest(model, ledger, register, days, level)
     if checkpoint:
@@ -69,7 +74,10 @@ def evaluate(ledger: DataFrame, register: DataFrame, training_end: dt.date,
 
 def predict_current(ledger: DataFrame, register: DataFrame, level: str = "custno",
                     gbt_params: dict | None = None, latest: dt.date | None = None,
-                    use_model: bool = True, checkpoint: bool = True) -> CurrentPrediction:
+                    use_model: bool = True, checkpoint: bool = True,
+                    model: PipelineModel | None = None) -> CurrentPrediction:
+    """Fit on the last labelled year (or use the given fitted ``model``) and
+    score as of the day after the newest posting."""
     spark = ledger.sparkSession
     latest = latest or A.latest_posting_date(ledger)
     train_days, score_days = A.prediction_days(spark, latest)
@@ -78,7 +86,8 @@ def predict_current(ledger: DataFrame, register: DataFrame, level: str = "custno
     if checkpoint:
         training, scoring = materialize(training), materialize(scoring)
     if use_model:
-        model = fit(classifier_pipeline(gbt_params or PRODUCTION_GBT), training)
+        if model is None:
+            model = fit(classifier_pipeline(gbt_params or PRODUCTION_GBT), training)
         preds = score(model, scoring)
     else:
         model = None
