@@ -49,13 +49,16 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder on the storage every executor shares.
 
     Uses the cluster's ``spark.checkpoint.dir`` (or a checkpoint folder set on
-    the context).  Only when the session has neither (local tests) is a fresh
-    scratch folder created and registered, so lineage cuts and written
-    intermediates never land on a machine-local path of a real cluster.
+    the context).  Only a local-mode session with neither (tests) gets a fresh
+    scratch folder; on a cluster a missing setting is an error, so lineage
+    cuts and written intermediates never land on a machine-local path.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares "
+                               "(e.g. on the cluster's object store or HDFS)")
         base = tempfile.mkdtemp(prefix="churnscope-ckpt-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir()
