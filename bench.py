@@ -20,8 +20,10 @@ day.
 
 from __future__ import annotations
 
+import glob
 import json
 import os
+import tempfile
 import sys
 import time
 from datetime import date, timedelta
@@ -52,17 +54,52 @@ def force(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def timed(fn, reps: int = 2) -> float:
-    """Best of ``reps`` runs (the VM's timings are noisy)."""
+def timed(fn, reps: int = 2, name: str | None = None) -> float:
+    """Best of ``reps`` runs (the VM's timings are noisy).  Jobs of each run
+    are tagged ``name#rep`` for the shuffle accounting."""
+    from pyspark import SparkContext
+
+    sc = SparkContext.getOrCreate()
     best = None
-    for _ in range(reps):
+    for rep in range(reps):
+        if name:
+            sc.setJobGroup(f"{name}#{rep}", name)
         t = time.perf_counter()
         fn()
         dt_ = time.perf_counter() - t
         best = dt_ if best is None else min(best, dt_)
+    sc.setJobGroup("untimed", "untimed")
     return round(best, 3)
 
 
+def shuffle_bytes(event_dir: str) -> dict[str, int]:
+    """Shuffle bytes written per query (first run), from the event log."""
+    groups: dict[int, str] = {}
+    stage_group: dict[int, str] = {}
+    written: dict[str, int] = {}
+    for path in sorted(glob.glob(f"{event_dir}/**/events_*", recursive=True) + glob.glob(f"{event_dir}/*")):
+        if os.path.isdir(path):
+            continue
+        with open(path, errors="replace") as fh:
+            for line in fh:
+                try:
+                    e = json.loads(line)
+                except ValueError:
+                    continue
+                kind = e.get("Event")
+                if kind == "SparkListenerJobStart":
+                    g = (e.get("Properties") or {}).get("spark.jobGroup.id", "")
+                    groups[e["Job ID"]] = g
+                    for sid in e.get("Stage IDs", []):
+                        stage_group[sid] = g
+                elif kind == "SparkListenerTaskEnd" and e.get("Task Metrics"):
+                    g = stage_group.get(e["Stage ID"], "")
+                    if g.endswith("#0"):
+                        b = e["Task Metrics"].get("Shuffle Write Metrics", {}).get("Shuffle Bytes Written", 0)
+                        written[g[:-2]] = written.get(g[:-2], 0) + b
+    return written
+
+
 def prepare(spark) -> tuple[list[str], str]:
     """Write the extracts and the register once; return their folders."""
     base = fresh_path(spark, "bench-inputs")
@@ -153,7 +190,9 @@ def same_rows(ledger: DataFrame, register: DataFrame, days) -> bool:
 
 
 def main() -> None:
-    spark = get_session(f"local[{CPUS}]", int(CPUS))
+    events = tempfile.mkdtemp(prefix="bench-events-")  # local scratch for the event log
+    spark = get_session(f"local[{CPUS}]", int(CPUS), extra_conf={
+        "spark.eventLog.enabled": "true", "spark.eventLog.dir": events, "spark.eventLog.compress": "false"})
     q: dict[str, float] = {}
     t0 = time.perf_counter()
     paths, reg_path = prepare(spark)
@@ -169,24 +208,25 @@ def main() -> None:
     force(FE.feature_frame(led, reg, A.training_day(spark, TRAIN_END)))
 
     q["features_training_day"] = timed(lambda: force(
-        FE.feature_frame(led, reg, A.training_day(spark, TRAIN_END))))
+        FE.feature_frame(led, reg, A.training_day(spark, TRAIN_END))), name="features_training_day")
     days = A.backtest_days(spark, TRAIN_END)
-    q["backtest_features_4_days"] = timed(lambda: force(FE.feature_frame(led, reg, days)))
+    q["backtest_features_4_days"] = timed(lambda: force(FE.feature_frame(led, reg, days)),
+                                          name="backtest_features_4_days")
     q["backtest_features_4_days_distinct"] = timed(lambda: force(
-        FE.feature_frame(led, reg, days, strategy="distinct")))
+        FE.feature_frame(led, reg, days, strategy="distinct")), name="backtest_features_4_days_distinct")
 
     def metrics():
         preds = P.backtest(None, led, reg, days)
         force(M.backtest_metrics(preds, days.frame.select("loop_day")))
         force(M.precision_by_cutoff(preds))
-    q["backtest_metrics_rule"] = timed(metrics)
+    q["backtest_metrics_rule"] = timed(metrics, name="backtest_metrics_rule")
 
     def campaign():
         cur = P.predict_current(led, reg, use_model=False, checkpoint=False)
         force(C.campaign_segments(C.enrich_predictions(cur.predictions, reg), fixture_segments()))
-    q["current_campaign_rule"] = timed(campaign)
+    q["current_campaign_rule"] = timed(campaign, name="current_campaign_rule")
     rows_equal = same_rows(led, reg, days)
-    q["naive_backtest_features"] = timed(lambda: naive_backtest(led, reg))
+    q["naive_backtest_features"] = timed(lambda: naive_backtest(led, reg), name="naive_backtest_features")
     if WITH_MODEL:
         q["evaluation_gbt"] = timed(lambda: force(P.evaluate(led, reg, TRAIN_END).metrics), reps=1)
 
@@ -202,6 +242,7 @@ def main() -> None:
         "prepare_inputs_sec": prep,
         "speedup_backtest_vs_naive": round(q["naive_backtest_features"] / q["backtest_features_4_days"], 2),
         "naive_rows_equal": rows_equal,
+        "shuffle_bytes_written": shuffle_bytes(events),
     }
     print(json.dumps(out))
 

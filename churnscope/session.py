@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "churnscope") -> SparkSession:
+                app_name: str = "churnscope", extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Return a session tuned for this workload.
 
     On a cluster the master and most sizes come from ``spark-submit``; here we
@@ -37,6 +37,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf.update(extra_conf or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
