@@ -18,10 +18,11 @@ Plan shape (``strategy="flags"``)::
     ledger scan (date span pushed down)
       -> broadcast nested-loop join with the bounded as-of table
          (each line is copied to the as-of days whose windows contain it)
-      -> per (day, entity, transaction): bit_or of month/week bits, max of
-         active/target flags, sum of sales        [partial agg, shuffle 1]
+      -> per (day, entity, transaction): bit_or of one packed long (month,
+         week, active, target bits), sum of sales in integer cents
+                                                  [partial agg, shuffle 1]
       -> per (day, entity): sums of bits          [partial agg, shuffle 2]
-      -> join register on the entity key, live-customer filter
+      -> join live register rows on (day, entity)
 
 Both aggregations combine map-side, so a customer holding a third of all
 lines reaches the final aggregation as one row per map task, not as its
@@ -127,20 +128,44 @@ def _row_flags(month_mode: str, n_weeks: int) -> dict[str, Column]:
     }
 
 
+def _layout(n_weeks: int) -> tuple[int, int]:
+    """Bit positions of the packed per-transaction flags: months 0..11 at
+    bits 0..11, week j at bit 11 + j, then the active and the target flag."""
+    if n_weeks > 48:
+        raise ValueError("at most 48 week buckets fit the packed flags")
+    return 12 + n_weeks, 13 + n_weeks
+
+
+def _long_bit(position: Column | int) -> Column:
+    pos = F.lit(position) if isinstance(position, int) else position
+    return F.call_function("shiftleft", F.lit(1).cast("long"), pos)
+
+
 def transaction_flags(replicated: DataFrame, month_mode: str = "calendar",
                       n_weeks: int = N_WEEKS) -> DataFrame:
-    """One row per (day, entity, transaction) with the buckets it touches."""
-    f = _row_flags(month_mode, n_weeks)
+    """One row per (day, entity, transaction): ``bits`` (every bucket the
+    transaction touches, packed in one long by ``bit_or``) and ``cents``
+    (trailing-year sales as an exact sum of integer cents).  Two fixed-width
+    fields keep the first shuffle's rows small."""
+    act_bit, tgt_bit = _layout(n_weeks)
+    d = F.col("POSTDATE")
+    end = F.col("feature_end")
+    in_year = in_window(d, "month_start", "feature_end")
+    month = _month_of(month_mode)(d, end)
+    week = F.when(in_window(d, "lag_start", "feature_end"), week_bucket(d, end, n_weeks))
+    zero = F.lit(0).cast("long")
+    bits = (
+        F.when(in_year, _long_bit(month)).otherwise(zero)
+        .bitwiseOR(F.when(in_year & week.isNotNull(), _long_bit(week + 11)).otherwise(zero))
+        .bitwiseOR(F.when(in_year & in_window(d, "active_start", "active_end"), _long_bit(act_bit))
+                   .otherwise(zero))
+        .bitwiseOR(F.when(in_window(d, "target_start", "target_end"), _long_bit(tgt_bit)).otherwise(zero))
+    )
+    cents = F.when(in_year, (F.col("SALES") * 100).cast("long"))
     return (
-        replicated.select("loop_day", "customer_level", "TRANSREFNO", *[v.alias(k) for k, v in f.items()])
+        replicated.select("loop_day", "customer_level", "TRANSREFNO", bits.alias("bits"), cents.alias("cents"))
         .groupBy("loop_day", "customer_level", "TRANSREFNO")
-        .agg(
-            F.bit_or("mbit").alias("mbits"),
-            F.bit_or("wbit").alias("wbits"),
-            F.max("act").alias("act"),
-            F.max("tgt").alias("tgt"),
-            F.sum("sales").alias("sales"),
-        )
+        .agg(F.bit_or("bits").alias("bits"), F.sum("cents").alias("cents"))
     )
 
 
@@ -153,22 +178,23 @@ def entity_counts(flags: DataFrame, n_weeks: int = N_WEEKS) -> DataFrame:
 
     Rows with a null transaction reference are not counted, but their sales
     are summed and they still mark the entity as present (as a grouping of
-    the raw lines would).
+    the raw lines would).  Sales come back as an exact decimal.
     """
+    act_bit, tgt_bit = _layout(n_weeks)
     valid = F.col("TRANSREFNO").isNotNull()
 
     def count_if(c: Column) -> Column:
         return F.sum(F.when(valid, c).otherwise(F.lit(0))).cast("long")
 
-    aggs = [count_if(_bit("mbits", k)).alias(f"Month_{k}") for k in range(N_MONTHS)]
-    aggs += [count_if(_bit("wbits", j)).alias(f"Week_{j}") for j in range(1, n_weeks + 1)]
+    aggs = [count_if(_bit("bits", k)).alias(f"Month_{k}") for k in range(N_MONTHS)]
+    aggs += [count_if(_bit("bits", 11 + j)).alias(f"Week_{j}") for j in range(1, n_weeks + 1)]
     aggs += [
-        F.bit_or("mbits").alias("any_month"),
-        F.bit_or("wbits").alias("any_week"),
-        F.sum("sales").alias("sales_sum"),
-        count_if(F.col("act")).alias("UNIQUE_TRANSREFNO_ACTIVE"),
-        F.max("tgt").alias("any_target"),
-        count_if(F.col("tgt")).alias("target_count"),
+        F.bit_or(F.col("bits").bitwiseAND(F.lit((1 << N_MONTHS) - 1))).alias("any_month"),
+        F.bit_or(F.shiftright("bits", 12).bitwiseAND(F.lit((1 << n_weeks) - 1))).alias("any_week"),
+        (F.sum("cents").cast("decimal(38,0)") / F.lit(100)).cast("decimal(38,2)").alias("sales_sum"),
+        count_if(_bit("bits", act_bit)).alias("UNIQUE_TRANSREFNO_ACTIVE"),
+        F.max(_bit("bits", tgt_bit)).alias("any_target"),
+        count_if(_bit("bits", tgt_bit)).alias("target_count"),
     ]
     return flags.groupBy("loop_day", "customer_level").agg(*aggs)
 
