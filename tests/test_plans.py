@@ -58,3 +58,22 @@ def test_builders_run_no_jobs(spark, small):
         assert sc.statusTracker().getJobIdsForGroup("builder-check") == []
     finally:
         sc.setJobGroup("other", "other")
+
+
+def test_broadcast_tables_are_bounded(spark):
+    import datetime as dt
+
+    import pytest
+
+    from churnscope.config import MAX_ASOF_DAYS, SegmentRule
+    from churnscope.operators import campaign as C
+
+    start = dt.date(2000, 1, 1)
+    with pytest.raises(ValueError):
+        A.asof_days(spark, [start + dt.timedelta(days=i) for i in range(MAX_ASOF_DAYS + 1)])
+    with pytest.raises(ValueError):
+        A.backtest_days(spark, start, periods=MAX_ASOF_DAYS + 2)
+    with pytest.raises(ValueError):
+        C.segment_rules(spark, [SegmentRule(str(i), 0.0, 1)] * (C.MAX_SEGMENTS + 1))
+    # Within the bound the table has exactly the requested rows.
+    assert A.backtest_days(spark, start, periods=5).frame.count() == 4
