@@ -74,6 +74,6 @@ def test_broadcast_tables_are_bounded(spark):
     with pytest.raises(ValueError):
         A.backtest_days(spark, start, periods=MAX_ASOF_DAYS + 2)
     with pytest.raises(ValueError):
-        C.segment_rules(spark, [SegmentRule(str(i), 0.0, 1)] * (C.MAX_SEGMENTS + 1))
+        C.segment_rules(spark, [SegmentRule(str(i), 0.0, 1) for i in range(C.MAX_SEGMENTS + 1)])
     # Within the bound the table has exactly the requested rows.
     assert A.backtest_days(spark, start, periods=5).frame.count() == 4
