@@ -11,7 +11,9 @@ read path (``read_ledger``: per-extract qualification and hand-over cut
 pushed into the Parquet scans, union).
 
 Each query is forced with a ``noop`` write (full computation, nothing
-collected) and reported as the best of two runs (the model fit: one run).  ``naive_backtest_features`` is the comparison the baseline
+collected) and reported as the best of two runs (the model fit: one run).
+``shuffle_bytes_written`` sums, per query, the shuffle bytes of its first run
+from Spark's event log (written to a local scratch folder).  ``naive_backtest_features`` is the comparison the baseline
 calls for: the four backtest days computed one at a time in a driver loop,
 with a row-at-a-time Python UDF for the week bucket, pivots that first run a
 job to discover their values, conditional distinct counts and one action per
