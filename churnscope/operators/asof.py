@@ -41,6 +41,9 @@ class AsOf:
     ``frame``: one row per ``loop_day`` with the seven window dates.
     ``first`` / ``last``: earliest date any window reads and latest target end.
     ``first_end`` / ``last_end``: earliest and latest feature end.
+    ``single``: ``(loop_day, feature_end)`` when the set holds one day whose
+    dates are known on the driver; such a day is attached to rows as literal
+    columns instead of a join.
     """
 
     frame: DataFrame
@@ -50,11 +53,20 @@ class AsOf:
     first_end: dt.date
     last_end: dt.date
     active_days: int
+    single: tuple[int, dt.date] | None = None
 
     def broadcast(self) -> DataFrame:
         # Size is bounded by MAX_ASOF_DAYS at construction.
         return F.broadcast(self.frame)
 
+    def day_literal(self) -> Column:
+        return F.lit(self.single[0]).cast("int").alias("loop_day")
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """Add the single day's ``loop_day`` and window dates as literal
+        columns (constant-folded, so conditions on them reach the scan)."""
+        return df.select("*", self.day_literal(), *_windows_from_end(F.lit(self.single[1]), self.active_days))
+
 
 def literal_rows(spark: SparkSession, rows: Sequence[Column]) -> DataFrame:
     """A small literal table from struct columns, built in the JVM (folds to
@@ -93,7 +105,8 @@ def asof_days(spark: SparkSession, ends: Sequence[dt.date], loop_days: Sequence[
         for i, e in zip(loop_days, ends)])
     frame = base.select(F.col("loop_day"), *_windows_from_end(F.col("e"), active_days))
     first, last = _span(ends, active_days)
-    return AsOf(frame, len(ends), first, last, min(ends), max(ends), active_days)
+    single = (int(loop_days[0]), ends[0]) if len(ends) == 1 else None
+    return AsOf(frame, len(ends), first, last, min(ends), max(ends), active_days, single)
 
 
 def training_day(spark: SparkSession, end: dt.date, active_days: int = ACTIVE_DAYS_EVALUATION) -> AsOf:

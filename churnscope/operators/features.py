@@ -92,12 +92,18 @@ def replicate(lines: DataFrame, asof: AsOf, with_target: bool = True) -> DataFra
     """
     hi = asof.last if with_target else asof.last_end
     rows = lines.where((F.col("POSTDATE") >= F.lit(asof.first)) & (F.col("POSTDATE") <= F.lit(hi)))
-    w = asof.broadcast()
-    d = rows["POSTDATE"]
+    if asof.single is not None:
+        # One day known on the driver: literal window columns, no join.
+        rows = asof.attach(rows)
+        w = {k: F.col(k) for k in ("month_start", "feature_end", "target_start", "target_end")}
+        d = F.col("POSTDATE")
+    else:
+        w = asof.broadcast()
+        d = rows["POSTDATE"]
     cond = (d >= w["month_start"]) & (d <= w["feature_end"])
     if with_target:
         cond = cond | ((d >= w["target_start"]) & (d <= w["target_end"]))
-    return rows.join(w, cond, "inner")
+    return rows.where(cond) if asof.single is not None else rows.join(w, cond, "inner")
 
 
 def _month_of(month_mode: str) -> callable:
@@ -162,13 +168,20 @@ def transaction_flags(replicated: DataFrame, month_mode: str = "calendar",
         .bitwiseOR(F.when(in_window(d, "target_start", "target_end"), _long_bit(tgt_bit)).otherwise(zero))
     )
     cents = F.when(in_year, (F.col("SALES") * 100).cast("long"))
+    keys = _day_keys(replicated, "customer_level", "TRANSREFNO")
     return (
-        replicated.select("loop_day", "customer_level", "TRANSREFNO", bits.alias("bits"), cents.alias("cents"))
-        .groupBy("loop_day", "customer_level", "TRANSREFNO")
+        replicated.select(*keys, bits.alias("bits"), cents.alias("cents"))
+        .groupBy(*keys)
         .agg(F.bit_or("bits").alias("bits"), F.sum("cents").alias("cents"))
     )
 
 
+def _day_keys(df: DataFrame, *keys: str) -> list[str]:
+    """Grouping keys, with ``loop_day`` first when the frame carries it
+    (single-day frames drop it before aggregating; see ``entity_features``)."""
+    return (["loop_day"] if "loop_day" in df.columns else []) + list(keys)
+
+
 def _bit(col: str, k: int) -> Column:
     return F.shiftright(F.col(col), k).bitwiseAND(F.lit(1))
 
@@ -196,7 +209,7 @@ def entity_counts(flags: DataFrame, n_weeks: int = N_WEEKS) -> DataFrame:
         F.max(_bit("bits", tgt_bit)).alias("any_target"),
         count_if(_bit("bits", tgt_bit)).alias("target_count"),
     ]
-    return flags.groupBy("loop_day", "customer_level").agg(*aggs)
+    return flags.groupBy(*_day_keys(flags, "customer_level")).agg(*aggs)
 
 
 def _counts_by_distinct(rep: DataFrame, month_mode: str, n_weeks: int) -> DataFrame:
@@ -219,7 +232,7 @@ def _counts_by_distinct(rep: DataFrame, month_mode: str, n_weeks: int) -> DataFr
         F.max(f["tgt"]).alias("any_target"),
         F.count_distinct(F.when(f["tgt"] == 1, t)).alias("target_count"),
     ]
-    return rep.groupBy("loop_day", "customer_level").agg(*aggs)
+    return rep.groupBy(*_day_keys(rep, "customer_level")).agg(*aggs)
 
 
 def entity_features(ledger: DataFrame, asof: AsOf, level: str = "custno",
@@ -228,11 +241,19 @@ def entity_features(ledger: DataFrame, asof: AsOf, level: str = "custno",
                     strategy: str = "flags") -> DataFrame:
     """Per (day, entity) counts for every entity with a line in any window."""
     rep = replicate(entity_ledger(ledger, register, level), asof, with_target)
+    if asof.single is not None:
+        # A constant day is left out of the grouping (and added back after)
+        # so the aggregates stay hash-partitioned on the entity alone.
+        rep = rep.drop("loop_day")
     if strategy == "flags":
-        return entity_counts(transaction_flags(rep, month_mode, n_weeks), n_weeks)
-    if strategy == "distinct":
-        return _counts_by_distinct(rep, month_mode, n_weeks)
-    raise ValueError("strategy must be 'flags' or 'distinct'")
+        out = entity_counts(transaction_flags(rep, month_mode, n_weeks), n_weeks)
+    elif strategy == "distinct":
+        out = _counts_by_distinct(rep, month_mode, n_weeks)
+    else:
+        raise ValueError("strategy must be 'flags' or 'distinct'")
+    if asof.single is not None:
+        out = out.select(asof.day_literal(), "*")
+    return out
 
 
 def week_columns(n_weeks: int = N_WEEKS) -> list[str]:
@@ -250,8 +271,11 @@ def live_customers(register: DataFrame, asof: AsOf, level: str = "custno",
     """
     key = level_column(level)
     reg = _prefilter_register(register, asof)
-    w = asof.broadcast()
-    j = reg.join(w, is_live(reg["CREDATE"], reg["KILLDATE"], w["feature_end"]), "inner")
+    if asof.single is not None:
+        j = asof.attach(reg).where(is_live("CREDATE", "KILLDATE", "feature_end"))
+    else:
+        w = asof.broadcast()
+        j = reg.join(w, is_live(reg["CREDATE"], reg["KILLDATE"], w["feature_end"]), "inner")
     return (
         j.select(
             "loop_day",
@@ -300,7 +324,12 @@ def feature_frame(ledger: DataFrame, register: DataFrame, asof: AsOf, level: str
     # before any shuffle).  Joining on (day, entity) reuses the aggregation's
     # hash partitioning, so the aggregated side is not shuffled again.
     live = live_customers(register, asof, level, extra=["target_end"] if latest is not None else [])
-    j = counts.join(live, ["loop_day", "customer_level"], "inner")
+    if asof.single is not None:
+        # One constant day: join on the entity alone (the aggregates are
+        # hash-partitioned on it).
+        j = counts.join(live.drop("loop_day"), "customer_level", "inner")
+    else:
+        j = counts.join(live, ["loop_day", "customer_level"], "inner")
     label = []
     if with_label:
         label = [
