@@ -132,7 +132,8 @@ def backtest_days(spark: SparkSession, training_end: dt.date, periods: int = BAC
     frame = ids.select(F.col("loop_day"), *_windows_from_end(end, active_days))
     ends = [training_end + dt.timedelta(days=i + shift_days) for i in (1, n)]
     first, last = _span(ends, active_days)
-    return AsOf(frame, n, first, last, ends[0], ends[-1], active_days)
+    single = (1, ends[0]) if n == 1 else None
+    return AsOf(frame, n, first, last, ends[0], ends[-1], active_days, single)
 
 
 def prediction_days(spark: SparkSession, latest_posting: dt.date, churn_days: int = CHURN_DAYS,

@@ -131,3 +131,11 @@ def test_label_mature_marks_incomplete_target_windows(spark, small):
     ff = FE.feature_frame(led, reg, days, latest=latest)
     got = {r.loop_day: r.m for r in ff.groupBy("loop_day").agg(F.min("label_mature").alias("m")).collect()}
     assert got == {1: True, 2: True, 3: True, 4: False}
+
+
+def test_one_backtest_day_equals_first_day_of_four(spark, small):
+    led, reg = small
+    one = FE.feature_frame(led, reg, A.backtest_days(spark, TRAIN, periods=2))
+    four = FE.feature_frame(led, reg, A.backtest_days(spark, TRAIN)).where(F.col("loop_day") == 1)
+    assert one.count() > 0
+    assert _rows(one) == _rows(four)
