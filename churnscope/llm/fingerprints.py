@@ -28,6 +28,8 @@ _LANES = BITS // 64
 # Odd 64-bit mixing constants of the splitmix64 finaliser, and a lane step.
 _MIX_1, _MIX_2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
+_STEPS = _STEP * np.arange(1, _LANES + 1, dtype=np.uint64)
+
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX_1
@@ -56,7 +58,7 @@ def text_fingerprint(raw: bytes, known: dict[bytes, int]) -> bytes:
     votes = np.zeros(BITS, np.float64)
     for at in range(0, len(terms), 16_384):  # bounded memory for very long texts
         part, w = terms[at:at + 16_384], weights[at:at + 16_384]
-        lanes = np.stack([_mixed(part + _STEP * np.uint64(k + 1)) for k in range(_LANES)], axis=1)
+        lanes = np.stack([_mixed(part + _STEPS[k]) for k in range(_LANES)], axis=1)
         ones = np.unpackbits(lanes.astype(">u8").view(np.uint8).reshape(len(part), BITS // 8), axis=1)
         votes += 2 * (w @ ones.astype(np.float32)).astype(np.float64) - w.sum(dtype=np.float64)
     return np.packbits(votes > 0).tobytes()

@@ -183,8 +183,8 @@ def oracle_sql(min_words: int = MIN_WORDS, table: str = "documents") -> str:
     """The same in DuckDB SQL, by writing out every shortest run: doc_id, n_lines, n_deleted, text."""
     steps = [
         f"d as (select doc_id, coalesce(text, '') as text from {table})",
-        "l as (select doc_id, i - 1 as pos, line, len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]'), "
-        "x -> x <> '')) as words from (select doc_id, unnest(string_split(text, chr(10))) as line, "
+        "l as (select doc_id, i - 1 as pos, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as words from "
+        "(select doc_id, unnest(string_split(text, chr(10))) as line, "
         "unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from d))",
         "c as (select *, sum(words) over (partition by doc_id order by pos) as total from l)",
         "w as (select a.doc_id, a.pos as s, min(b.pos) as e from c a join c b on a.doc_id = b.doc_id and b.pos >= a.pos "
