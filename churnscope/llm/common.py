@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnscope.session import materialize
 
-__all__ = ["documents", "materialize", "non_ascii_safe_crc", "shuffle_width", "table", "text_or_empty"]
+__all__ = ["broadcast_if_small", "connected_components", "documents", "fold_of", "kept_between_tasks", "materialize", "table"]
+
+
+def kept_between_tasks(name: str, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker keeps from one task to the next.
+
+    Functions of this package come to the worker by value, with new globals for
+    every task; a module registered here outlives them.
+    """
+    kept = sys.modules.setdefault("_churnscope_worker", ModuleType("_churnscope_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +36,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def broadcast_if_small(rows: DataFrame, limit: int) -> DataFrame:
+    """``rows``, marked for broadcast if a count shows at most ``limit``; otherwise the join shuffles.
 
-
-def non_ascii_safe_crc(column: Column) -> Column:
-    """CRC-32 of a string's UTF-8 bytes, unsigned, as long."""
-    return F.crc32(F.encode(column, "UTF-8"))
+    ``rows`` is read twice, so pass a table or a checkpointed frame.
+    """
+    return F.broadcast(rows) if rows.count() <= limit else rows
 
 
 def fold_of(id_column: str, n_folds: int) -> Column:
@@ -33,10 +49,6 @@ def fold_of(id_column: str, n_folds: int) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(id_column).cast("string"), F.lit("")), "UTF-8")) % n_folds
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _smallest(pairs: DataFrame) -> DataFrame:
     """Per node ``a``: the smallest of itself and its neighbours ``b``."""
     return pairs.groupBy("a").agg(F.least("a", F.min("b")).alias("least"))

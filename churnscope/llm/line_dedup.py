@@ -33,6 +33,7 @@ from churnscope.llm.common import materialize
 MIN_WORDS = 50
 CELL = 2000
 MAX_CELLS = 4096
+BROADCAST_RUNS = 500_000  # runs (some 30 bytes each) up to this many go to every task; more are joined by shuffle
 _PLACE = ("doc_id", "key", "pos")
 
 
@@ -153,30 +154,55 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                                                     F.min_by("first_doc", "pos").alias("first_doc")).drop("run")
 
 
+def _marked(docs: DataFrame, min_words: int) -> DataFrame:
+    """``docs`` with ``_runs`` to delete (null: none), ``_lines`` in all and ``_deleted``."""
+    copies = materialize(later_copies(docs, min_words))
+    runs = (copies.groupBy("doc_id", "key")
+            .agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_doc"))).alias("_runs"))
+            .select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "_runs"))
+    if copies.count() <= BROADCAST_RUNS:
+        runs = F.broadcast(runs)
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    joined = keyed.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left")
+    count = F.aggregate("_runs", F.lit(0), lambda a, run: a + run["end"] - run["start"] + 1)
+    return (joined.withColumn("_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))))
+            .withColumn("_deleted", F.coalesce(count, F.lit(0))).drop("_doc", "_key", "_text_key"))
+
+
+def _kept_text() -> Column:
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.exists("_runs", lambda run: (run["start"] <= i) & (i <= run["end"])))
+    return F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later copies of repeated line runs deleted from ``text``.
-
-    A run is one or more whole lines (cut at line feeds) that hold at least
-    ``min_words`` words and stand at two places or more, within a document or
-    across; the first place by (doc_id, nulls first, text hash, line) keeps it.
-    Where copies overlap their first, the overlapping lines go too.  Null text
-    is empty and stays null; rows equal in doc_id and text are one document and
-    fare alike.  Adds ``n_lines``, ``n_deleted`` and ``runs``: array of (start,
-    end, first_doc), lines from 0; columns of those names are replaced.
+    """``doc_id, n_lines, n_deleted, runs, text`` of every row of ``docs`` (doc_id, text; others are ignored).
+
+    ``text`` is left without later copies of repeated line runs; ``runs`` tells
+    them as (start, end, first_doc), lines from 0.  A run is one or more whole
+    lines (cut at line feeds) that hold at least ``min_words`` words and stand
+    at two places or more, within a document or across; the first place by
+    (doc_id, nulls first, text hash, line) keeps it.  Where copies overlap
+    their first, the overlapping lines go too.  A null text stays null and has
+    no lines; rows equal in doc_id and text are one document and fare alike.
     """
-    runs = (later_copies(docs, min_words).groupBy("doc_id", "key")
-            .agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_doc"))).alias("runs"))
-            .select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "runs"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.drop("n_lines", "n_deleted", "runs").withColumn("_text_key", F.xxhash64(text))
-    joined = keyed.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line, i: ~F.exists("runs", lambda run: (run["start"] <= i) & (i <= run["end"])))
-    count = F.aggregate("runs", F.lit(0), lambda a, run: a + run["end"] - run["start"] + 1)
-    out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
-    return (out.withColumn("text", F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-            .withColumn("n_deleted", F.coalesce(count, F.lit(0)))
-            .drop("_doc", "_key", "_text_key"))
+    runs = F.coalesce(F.col("_runs"), F.array().cast("array<struct<start: int, end: int, first_doc: long>>"))
+    return _marked(docs, min_words).select("doc_id", F.col("_lines").cast("long").alias("n_lines"),
+                                           F.col("_deleted").cast("long").alias("n_deleted"), runs.alias("runs"),
+                                           _kept_text().alias("text"))
+
+
+def without_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with the text of :func:`dedup_lines`, all columns kept.
+
+    A document whose lines have all been deleted goes (other documents hold
+    them); ``n_chars``, if there, tells the new length of a changed text.
+    """
+    changed = F.col("_deleted") > 0
+    rows = _marked(docs, min_words).filter(~changed | (F.col("_deleted") < F.col("_lines"))).withColumn("text", _kept_text())
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        rows = rows.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
 
 
 def oracle_sql(min_words: int = MIN_WORDS, table: str = "documents") -> str:

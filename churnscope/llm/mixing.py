@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnscope.llm.common import materialize
+from churnscope.llm.common import broadcast_if_small, materialize
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERATURE = 0.5     # target share of a value: its tokens to this power, normalised
@@ -19,6 +19,7 @@ ROUNDS = 12
 ROUNDS_A_PLAN = 4
 BUDGET = 0.5          # tokens wanted, as a share of all
 REFILLS = 5
+BROADCAST_CELLS = 200_000  # cells (some 50 bytes each) up to this many go to every task; more are joined by shuffle
 SEED = "mix"
 
 
@@ -105,24 +106,32 @@ def chance(id_column: str, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16 ** 13)
 
 
+def _with_chances(docs: DataFrame, dimensions: tuple[str, ...], budget: float, temperature: float, rounds: int) -> DataFrame:
+    """``docs`` with ``_tokens``, the dimensions' values ``_d0``, ... and the probability ``_p``."""
+    keys = [f"_d{k}" for k in range(len(dimensions))]
+    rows = described(docs, dimensions)
+    cells = probabilities(rows.select(*keys, "_tokens"), keys, budget, temperature, rounds)
+    return rows.join(broadcast_if_small(cells.select(*keys, F.col("probability").alias("_p")), BROADCAST_CELLS), keys)
+
+
+def sample(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, budget: float = BUDGET,
+           temperature: float = TEMPERATURE, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+    """The sampled rows of ``docs``, with its own columns alone; see :func:`sampled`."""
+    rows = _with_chances(docs, dimensions, budget, temperature, rounds)
+    return rows.filter(chance("doc_id", seed) < F.col("_p")).select(*docs.columns)
+
+
 def sampled(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, budget: float = BUDGET,
             temperature: float = TEMPERATURE, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``topic``, ``tokens``, ``probability`` and ``kept``.
+    """``doc_id``, the dimensions' values, ``tokens``, ``probability`` and ``kept`` of every row of ``docs``.
 
-    Null dimensions count as the empty value, null texts as no tokens (such a
-    cell is never sampled).  Rows with equal ids fare alike where their cell
-    does.  Columns of these four names other than a dimension are replaced.
+    Null dimensions count as the empty value; an empty or null text has no
+    tokens, and a cell without tokens is never sampled.  Rows with equal ids
+    fare alike where their cells do.  Other columns are ignored.
     """
-    keys = [f"_d{k}" for k in range(len(dimensions))]
-    base = docs.drop(*(c for c in ("topic", "tokens", "probability", "kept") if c not in dimensions))
-    rows = described(base, dimensions)
-    cells = probabilities(rows.select(*keys, "_tokens"), keys, budget, temperature, rounds)
-    chances = cells.select(*keys, F.col("probability").alias("_p"))
-    joined = rows.join(chances, keys)  # few cells: Spark broadcasts them if they are small, and splits a hot cell if not
-    topic = F.col(f"_d{dimensions.index('topic')}") if "topic" in dimensions else F.lit(None).cast("string")
-    out = joined.withColumn("topic", topic) if "topic" not in docs.columns else joined
-    return (out.withColumn("tokens", F.col("_tokens")).withColumn("probability", F.col("_p"))
-            .withColumn("kept", chance("doc_id", seed) < F.col("_p")).drop("_tokens", "_p", *keys))
+    rows = _with_chances(docs, dimensions, budget, temperature, rounds)
+    return rows.select("doc_id", *(F.col(f"_d{k}").alias(d) for k, d in enumerate(dimensions)), F.col("_tokens").alias("tokens"),
+                       F.col("_p").alias("probability"), (chance("doc_id", seed) < F.col("_p")).alias("kept"))
 
 
 def oracle_sql(table: str = "documents", budget: float = BUDGET, temperature: float = TEMPERATURE, rounds: int = ROUNDS) -> str:

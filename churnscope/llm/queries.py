@@ -70,9 +70,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without later copies of repeated line runs."""
-    rows = line_dedup.dedup_lines(documents(spark, sf_dir))
-    return rows.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"),
-                       F.col("n_deleted").cast("long").alias("n_deleted"), "text")
+    return line_dedup.dedup_lines(documents(spark, sf_dir)).drop("runs")
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

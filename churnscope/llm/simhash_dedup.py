@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.llm.common import connected_components, materialize
+from churnscope.llm.common import broadcast_if_small, connected_components, materialize
 
 SHINGLE = 3
 RADIUS = 2
@@ -29,6 +29,7 @@ SEED = 42
 BLOCKS = 4
 BLOCK_BITS = 16
 BUCKET_LIMIT = 2048
+BROADCAST_IDS = 2_000_000  # ids of documents to drop (8 bytes each) up to this many go to every task; more are joined by shuffle
 
 
 def shingle_fingerprint(raw: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
@@ -177,7 +178,13 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Of rows that share that id one stays; rows without an id are left alone.
     """
-    groups = near_duplicates(docs, **options)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return (docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-            .unionByName(docs.filter("doc_id is null")))
+    groups = materialize(near_duplicates(docs, **options).filter("doc_id is not null"))
+    others = materialize(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct())
+    kept = docs.join(broadcast_if_small(others, BROADCAST_IDS), F.col("doc_id") == F.col("_other"), "left_anti")
+    repeated = materialize(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+                           .filter("n > 1").select(F.col("doc_id").alias("_repeated")))
+    if repeated.isEmpty():
+        return kept
+    again = F.col("doc_id") == F.col("_repeated")
+    return (kept.join(repeated, again, "left_anti")
+            .unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id"])))

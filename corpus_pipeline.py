@@ -12,16 +12,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import packing, simhash_dedup
-from churnscope.llm.common import documents, materialize
+from churnscope.llm import line_dedup, mixing, packing, quality, simhash_dedup
+from churnscope.llm.common import documents, materialize, table
 from churnscope.llm.queries import tokenizer_file
 from churnscope.session import fresh_path
 
+#: Share of the tokens that the mixture takes.
+MIX_BUDGET = 0.8
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accept(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs."""
+    return line_dedup.without_copies(docs)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash near-duplicate group."""
     return simhash_dedup.keep_one(docs)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled to the target shares of source, language and topic."""
+    return mixing.sample(docs, budget=MIX_BUDGET)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row a piece: its place in the packed sequences."""
     pieces = packing.tokenize_pieces(docs, tokenizer_file())
@@ -30,11 +49,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", keep_quality),
+    ("line_dedup", drop_copied_lines),
     ("simhash_near_dedup", near_dedup),
+    ("mixing_sources", mix),
     ("best_fit_packing", pack),
 ]
 
-#: SQL cannot express shingle fingerprints or the packing search; tests hold run() against brute force.
+#: SQL cannot express the classifier, shingle fingerprints or the packing search; tests hold run() against brute force.
 ORACLE_SQL: str | None = None
 
 
