@@ -97,13 +97,17 @@ def neighbour_buckets(docs: DataFrame, buckets: int) -> DataFrame:
     (after the lowest: of the highest), whose first row follows the bucket's last.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ids = base.select("doc_id").filter("doc_id is not null")
-    cuts = np.array(sorted(set(ids.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.1 / buckets))))
+    shares = [k / buckets for k in range(1, buckets)] or [0.5]
+    found = base.agg(F.percentile_approx("doc_id", shares, 10 * buckets)).first()[0]
+    cuts = np.array(sorted(set(found or [])), np.int64)
+
+    def bucket_numbers(doc_id: pd.Series) -> np.ndarray:
+        at = np.searchsorted(cuts, doc_id.fillna(0).to_numpy(np.int64), side="right")
+        return np.where(doc_id.isna(), -1, at).astype(np.int64)
 
     @F.pandas_udf("long")
     def bucket_of(doc_id: pd.Series) -> pd.Series:
-        at = np.searchsorted(cuts, doc_id.to_numpy(np.float64, na_value=np.nan), side="right")
-        return pd.Series(np.where(doc_id.isna(), -1, at).astype(np.int64))
+        return pd.Series(bucket_numbers(doc_id))
 
     firsts = sorted((r[0], r[1]) for r in base.select("doc_id", bucket_of("doc_id").alias("b")).groupBy("b")
                     .agg(F.max("doc_id")).collect())  # one row a bucket
@@ -112,8 +116,7 @@ def neighbour_buckets(docs: DataFrame, buckets: int) -> DataFrame:
 
     @F.pandas_udf("array<struct<bucket: long, border: boolean>>")
     def places(doc_id: pd.Series) -> pd.Series:
-        at = np.searchsorted(cuts, doc_id.to_numpy(np.float64, na_value=np.nan), side="right")
-        at = np.where(doc_id.isna(), -1, at)
+        at = bucket_numbers(doc_id)
         out = []
         for b, i in zip(at.tolist(), doc_id.tolist(), strict=True):
             own = [{"bucket": b, "border": False}]
