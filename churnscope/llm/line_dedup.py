@@ -7,8 +7,8 @@ alone:
 1. line ids (two 64-bit hashes) are ranked; a rank is the number of suffixes
    that come before, so equal prefixes have equal ranks and order is kept;
 2. each round sorts the suffixes by twice as many lines: pairs (own rank, rank
-   2^k lines on) are counted map-side and ranked among the pairs that share
-   the first; suffixes that are unique already are left out;
+   2^k lines on) are ranked among those that share the first; suffixes that
+   are unique already, or sorted as deep as a run needs, are left out;
 3. a suffix that reaches ``min_words`` in its first L lines belongs to the
    longest-common-prefix interval of depth L: neighbours in the suffix array
    share it if two overlapping power-of-two prefixes that cover L lines have
@@ -60,10 +60,12 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def _places(docs: DataFrame, min_words: int) -> DataFrame:
-    """Places of repeated lines: ``doc_id, key, pos, seg`` (unbroken sequence), rank ``r``, class size ``n``, ``upto``.
+    """Places of repeated lines: ``doc_id, key, pos``, unbroken sequence ``seg``, line rank ``r``, its places ``n``,
+    ``upto`` and ``want``.
 
     ``upto`` is the last line of the shortest run from here that has
-    ``min_words`` words, null if the sequence ends before.
+    ``min_words`` words, null if the sequence ends before; ``want`` the lines
+    of the longest such run in the sequence, 0 if there is none.
     """
     line = F.col("line")
     words = F.size(F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), ""))
@@ -75,76 +77,101 @@ def _places(docs: DataFrame, min_words: int) -> DataFrame:
     cells = max(1, min(MAX_CELLS, ids.count() // CELL))
     share = F.col("h1").cast("double") / 2.0 ** 64 + 0.5
     ranked = _count_before(ids, [], F.floor(share * cells), ["h1", "h2"], "n").withColumnRenamed("before", "r")
-    own = lines.join(ranked, ["h1", "h2"]).select(*_PLACE, "words", "r").dropDuplicates([*_PLACE])
+    # one exchange by document serves all windows below
+    own = lines.join(ranked, ["h1", "h2"]).select(*_PLACE, "words", "r", "n").repartition("doc_id", "key")
+    once = own.withColumn("nth", F.row_number().over(Window.partitionBy(*_PLACE).orderBy("r"))).filter("nth = 1").drop("nth")
     by_doc = Window.partitionBy("doc_id", "key").orderBy("pos")
-    segments = own.withColumn("seg", F.col("pos") - F.row_number().over(by_doc))
+    segments = once.withColumn("seg", F.col("pos") - F.row_number().over(by_doc))
     in_seg = Window.partitionBy("doc_id", "key", "seg")
-    total = F.sum("words").over(in_seg.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    summed = segments.withColumn("total", total)
+    summed = segments.withColumn("total", F.sum("words").over(in_seg.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     # a line stands at its total, a question at the total it has to reach; scanned from the top, the least line so far answers
     asked = summed.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_line")).withColumn(
         "at", F.when(F.col("is_line"), F.col("total")).otherwise(F.col("total") - F.col("words") + min_words))
     down = in_seg.orderBy(F.col("at").desc(), F.col("is_line").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return (asked.withColumn("upto", F.min(F.when(F.col("is_line"), F.col("pos"))).over(down))
-            .filter(~F.col("is_line")).select(*_PLACE, "seg", "r", "upto"))
+    answered = (asked.withColumn("upto", F.min(F.when(F.col("is_line"), F.col("pos"))).over(down))
+                .filter(~F.col("is_line")).select(*_PLACE, "seg", "r", "n", "upto"))
+    return answered.withColumn("want", F.coalesce(F.max(F.col("upto") - F.col("pos") + 1).over(in_seg), F.lit(0)))
+
+
+def _refined(open_: DataFrame, biggest: int, width: int) -> DataFrame:
+    """Rows ranked anew by (r, r2): ``r`` grows by the rows of its class that come before, ``n`` is the size of the new class.
+
+    A class of up to ``CELL`` rows is ranked by one window; larger ones by their
+    distinct pairs, counted map-side, in cells.
+    """
+    by_pair = Window.partitionBy("r", "r2")
+    small = (open_.filter(F.col("n") <= CELL)
+             .withColumn("before", F.rank().over(Window.partitionBy("r").orderBy("r2")).cast("long") - 1)
+             .withColumn("n", F.count("*").over(by_pair)))
+    if biggest <= CELL:
+        return small.withColumn("r", F.col("r") + F.col("before")).drop("before", "r2")
+    large = open_.filter(F.col("n") > CELL).drop("n")
+    pairs = large.groupBy("r", "r2").agg(F.count("*").alias("n"))
+    ranked = materialize(_count_before(pairs, ["r"], F.floor(F.col("r2") / width), ["r2"], "n"))
+    both = small.unionByName(large.join(ranked, ["r", "r2"]).select(*small.columns))
+    return both.withColumn("r", F.col("r") + F.col("before")).drop("before", "r2")
 
 
 def suffix_array(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Ranks of the suffixes that start at repeated lines, sorted as deep as a run of ``min_words`` needs.
 
-    ``doc_id, key, pos, seg, upto, r, levels``: ``levels[k]`` is the rank by the
-    first 2^k lines, ``r`` the last of them.
+    ``doc_id, key, pos, seg, upto, want, r, n, levels``: ``levels[k]`` is the
+    rank by the first 2^k lines, ``r`` the last of them, ``n`` the suffixes that
+    share it.  Sequences whose runs are sorted to their depth leave the rounds.
     """
-    places = materialize(_places(docs, min_words))
-    sized = places.join(places.groupBy("r").agg(F.count("*").alias("n")), "r")  # repeated rows were one place each
-    now = materialize(sized.withColumn("levels", F.array("r")))
-    total, deepest = now.agg(F.count("*"), F.max(F.col("upto") - F.col("pos") + 1)).first()
-    width = max(CELL, -(-total // MAX_CELLS))
-    k = 0
-    while deepest is not None and 2 ** k < deepest:
+    now = materialize(_places(docs, min_words).withColumn("levels", F.array("r")))
+    width = max(CELL, -(-now.count() // MAX_CELLS))
+    columns, done, k = now.columns, [], 0
+    while True:
+        done.append(now.filter(F.col("want") <= 2 ** k))
+        now = now.filter(F.col("want") > 2 ** k)
+        biggest = now.agg(F.max("n")).first()[0]
+        if biggest is None:
+            return reduce(DataFrame.unionByName, done)
         along = Window.partitionBy("doc_id", "key", "seg").orderBy("pos")
         paired = now.withColumn("r2", F.coalesce(F.lead("r", 2 ** k).over(along), F.lit(-1).cast("long")))
-        open_ = paired.filter("n > 1")
-        pairs = open_.groupBy("r", "r2").agg(F.count("*").alias("m"))
-        ranked = _count_before(pairs, ["r"], F.floor(F.col("r2") / width), ["r2"], "m")
-        sorted_ = (open_.join(ranked, ["r", "r2"])
-                   .withColumn("r", F.col("r") + F.col("before")).withColumn("n", F.col("m")).select(*now.columns[:-1], "levels"))
-        now = materialize(sorted_.unionByName(paired.filter("n = 1").select(*sorted_.columns))
-                          .withColumn("levels", F.array_append("levels", F.col("r"))))
+        if biggest > CELL:
+            paired = materialize(paired)  # read along three ways
+        fixed = paired.filter("n = 1").select(*columns)
+        ranked = fixed.unionByName(_refined(paired.filter("n > 1"), biggest, width).select(*columns))
+        now = materialize(ranked.withColumn("levels", F.array_append("levels", F.col("r"))))
         k += 1
-    return now
+
+
+def _intervals(headed: DataFrame) -> DataFrame:
+    """``r, place, interval``: suffixes of one rank, their first place, and the longest-common-prefix interval they are in.
+
+    Neighbours in the suffix array are in one interval if their prefixes are
+    equal; intervals are numbered along the array, cell by cell.
+    """
+    suffixes = headed.groupBy("r").agg(F.min(F.struct(*_PLACE)).alias("place"), F.min(F.struct("depth", "head", "tail")).alias("prefix"))
+    celled = materialize(suffixes.withColumn("cell", F.floor(F.col("r") / max(CELL, -(-headed.count() // MAX_CELLS)))))
+    # the first of a cell looks back at the last of the cell before
+    last = celled.groupBy("cell").agg(F.max_by("prefix", "r").alias("last"))
+    back = last.select("cell", F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("cell")).alias("back"))
+    previous = F.coalesce(F.lag("prefix").over(Window.partitionBy("cell").orderBy("r")), F.col("back"))
+    opens = (celled.join(back, "cell").withColumn("previous", previous)
+             .withColumn("opens", F.when(F.col("prefix").eqNullSafe(F.col("previous")), 0).otherwise(1)))
+    numbered = _count_before(materialize(opens.select("r", "place", "cell", "opens")), [], F.col("cell"), ["r"], "opens")
+    return numbered.select("r", "place", (F.col("before") + F.col("opens")).alias("interval"))
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, key, start, end, first_doc``: lines start to end are a later copy; ``first_doc`` holds the first."""
     array = suffix_array(docs, min_words)
-    depth = F.col("upto") - F.col("pos") + 1
-    heads = (array.filter("upto is not null").withColumn("depth", depth)
+    heads = (array.filter("upto is not null").withColumn("depth", F.col("upto") - F.col("pos") + 1)
              .withColumn("k", F.floor(F.log2(F.col("depth").cast("double"))).cast("int"))
              .withColumn("head", F.element_at("levels", F.col("k") + 1))
-             .withColumn("tail_pos", F.col("upto") + 1 - F.pow(F.lit(2), F.col("k")).cast("int")))
-    tails = array.select(F.col("doc_id").alias("t_doc"), F.col("key").alias("t_key"), F.col("pos").alias("t_pos"),
-                         F.col("levels").alias("t_levels"))
-    headed = materialize(
-        heads.join(tails, F.col("doc_id").eqNullSafe(F.col("t_doc")) & (F.col("key") == F.col("t_key"))
-                   & (F.col("tail_pos") == F.col("t_pos")))
-        .select(*_PLACE, "upto", "r", "depth", "head", F.element_at("t_levels", F.col("k") + 1).alias("tail")))
-    place = F.struct(*_PLACE)
-    suffixes = headed.groupBy("r").agg(F.min(place).alias("place"), F.min(F.struct("depth", "head", "tail")).alias("prefix"))
-    n = headed.count()
-    cell = F.floor(F.col("r") / max(CELL, -(-n // MAX_CELLS)))
-    celled = suffixes.withColumn("cell", cell)
-    # neighbours in the suffix array; the first of a cell looks back at the last of the cell before
-    last = celled.groupBy("cell").agg(F.max_by("prefix", "r").alias("last"))
-    back = last.select("cell", F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("cell")).alias("back"))
-    opens = (celled.withColumn("previous", F.lag("prefix").over(Window.partitionBy("cell").orderBy("r")))
-             .join(back, "cell").withColumn("previous", F.coalesce("previous", "back"))
-             .withColumn("opens", F.when(F.col("prefix").eqNullSafe(F.col("previous")), 0).otherwise(1)))
-    numbered = _count_before(opens.select("r", "place", "cell", "opens"), [], F.col("cell"), ["r"], "opens")
-    intervals = numbered.select("r", "place", (F.col("before") + F.col("opens")).alias("interval"))
+             .withColumn("tail_pos", F.col("upto") + 1 - F.pow(F.lit(2), F.col("k")).cast("int"))
+             .select(*_PLACE, "upto", "r", "depth", "k", "head", "tail_pos"))
+    tails = array.select(F.col("doc_id").alias("t_doc"), F.col("key").alias("t_key"), F.col("pos").alias("t_pos"), "levels")
+    found = heads.join(tails, F.col("doc_id").eqNullSafe(F.col("t_doc")) & (F.col("key") == F.col("t_key"))
+                       & (F.col("tail_pos") == F.col("t_pos")))
+    headed = materialize(found.select(*_PLACE, "upto", "r", "depth", "head", F.element_at("levels", F.col("k") + 1).alias("tail")))
+    intervals = materialize(_intervals(headed))
     firsts = intervals.groupBy("interval").agg(F.min("place").alias("first"))
     of_rank = intervals.join(firsts, "interval").select("r", "first")
-    copies = (headed.join(of_rank, "r").filter(~place.eqNullSafe(F.col("first")))
+    copies = (headed.join(of_rank, "r").filter(~F.struct(*_PLACE).eqNullSafe(F.col("first")))
               .select("doc_id", "key", "pos", "upto", F.col("first.doc_id").alias("first_doc")))
     by_doc = Window.partitionBy("doc_id", "key").orderBy("pos")
     reached = F.max("upto").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
