@@ -11,6 +11,9 @@ through the driver and the token ids are never shuffled.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnscope.llm.common import kept_between_tasks
+
 CAPACITY = 2048
 CELL_ROWS = 512      # pieces numbered by one window group, until MAX_CELLS groups a length
 MAX_CELLS = 4096
@@ -26,59 +31,104 @@ MAX_CELLS = 4096
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 
 
-def _word_ids(tokenizer, words: list[str], known: dict[str, bytes]) -> None:
-    """Add the missing words' ids (little-endian unsigned 32-bit) to ``known``."""
-    missing = [w for w in dict.fromkeys(words) if w not in known]
-    for word, enc in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-        known[word] = np.array(enc.ids, dtype="<u4").tobytes()
+# Words of Latin letters, with a full stop or comma at most: lower case and mark can be split off without changing ids.
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)")
+# White space to Python, but not to the tokenizer.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
 
+def _byte_signs() -> dict[int, str]:
+    """Byte -> sign of the byte-level alphabet, by code point: visible Latin-1 signs stand for themselves."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
-def text_ids(tokenizer, text: str, known: dict[str, bytes]) -> bytes:
-    """Token ids of a whole text.
 
-    The text is cut at ASCII spaces and line ends, which no token of the
-    tokenizer spans (its pre-tokenizer drops white space), and every distinct
-    word is encoded once; ``known`` carries the words met so far.
+class WordTokenizer:
+    """Ids of words (little-endian unsigned 32-bit), by a tokenizer that drops white space and never spans it.
+
+    Plain words go to the tokenizer's model directly, if that gives the ids of
+    its full chain for some probes; all other words go through the chain.
     """
-    words = [w for w in text.replace("\n", " ").split(" ") if w]
-    try:
-        return b"".join(map(known.__getitem__, words))
-    except KeyError:
-        _word_ids(tokenizer, words, known)
-        return b"".join(map(known.__getitem__, words))
+
+    def __init__(self, path: str, known_words: int = 1_000_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on every core
+        from tokenizers import Tokenizer
+
+        self.chain, self.known, self.known_words = Tokenizer.from_file(path), {}, known_words
+        self.model, self.signs = self.chain.model, _byte_signs()
+        probes = ["the", "Thndbleou.", "\u00dcbergr\u00f6\u00dfe,", "NA\u00cfVE", "a"]
+        self.plain = all(self._plain_ids(w) == self._chain_ids([w])[0] for w in probes)
+
+    def _chain_ids(self, words: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.chain.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _model_ids(self, part: str) -> bytes:
+        signs = part if part.isascii() else part.encode().decode("latin-1").translate(self.signs)
+        ids = [token.id for token in self.model.tokenize(signs)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _plain_ids(self, word: str) -> bytes | None:
+        found = _PLAIN.fullmatch(low := word.lower())
+        if not found or len(low) != len(word):
+            return None
+        ids = b""
+        for part in found.groups():
+            if part:
+                own = self.known.get(part)
+                if own is None:
+                    own = self.known[part] = self._model_ids(part)
+                ids += own
+        return ids
+
+    def text_ids(self, text: str) -> bytes:
+        """Ids of a whole text: cut at white space, every distinct word encoded once."""
+        words = text.split() if not _SEPARATORS.search(text) else [w for w in text.replace("\n", " ").split(" ") if w]
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            if len(self.known) > self.known_words:
+                self.known.clear()
+            rest = []
+            for word in set(words).difference(self.known):
+                ids = self._plain_ids(word) if self.plain else None
+                if ids is None:
+                    rest.append(word)
+                else:
+                    self.known[word] = ids
+            self.known.update(zip(rest, self._chain_ids(rest), strict=True))
+            return b"".join(map(self.known.__getitem__, words))
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = 0,
-                    known_words: int = 400_000) -> DataFrame:
+                    known_words: int = 1_000_000) -> DataFrame:
     """Token ids of each document plus ``separator``, cut into pieces of ``capacity``.
 
     Needs ``doc_id`` and ``text``; other columns are ignored.  Null text is
     empty (one piece with the separator alone); repeated rows give repeated
     pieces.  ``ids`` are little-endian unsigned 32-bit numbers.
-    ``known_words`` bounds the word memory of a task (it is emptied when full).
-    The tokenizer must drop white space and never span it.
+    ``known_words`` bounds a worker's word memory (it is emptied when full).
+    The tokenizer must be case-blind, drop white space and never span it (see
+    :class:`WordTokenizer`).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        tokenizer = kept_between_tasks(f"tokenizer {tokenizer_path}", lambda: WordTokenizer(tokenizer_path, known_words))
         end = np.array([separator], dtype="<u4").tobytes()
-        known: dict[str, bytes] = {}
         step = 4 * capacity
-        for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(known) > known_words:
-                    known.clear()
-                ids = text_ids(tokenizer, text, known) + end
-                for n, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at:at + step]
-                    for out, value in zip(rows, (doc_id, n, at // 4, len(part) // 4, part), strict=True):
-                        out.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)],
-                                             names=["doc_id", "piece", "start", "length", "ids"])
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        for whole in batches:
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
+                rows: tuple[list, ...] = ([], [], [], [], [])
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    ids = tokenizer.text_ids(text) + end
+                    for n, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at:at + step]
+                        for out, value in zip(rows, (doc_id, n, at // 4, len(part) // 4, part), strict=True):
+                            out.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)],
+                                                 names=["doc_id", "piece", "start", "length", "ids"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                          F.coalesce(F.col("text"), F.lit("")).alias("text"))
