@@ -13,11 +13,10 @@ pushed into the Parquet scans, union).
 Each query is forced with a ``noop`` write (full computation, nothing
 collected) and reported as the best of two runs (the model fit: one run).
 ``shuffle_bytes_written`` sums, per query, the shuffle bytes of its first run
-from Spark's event log (written to a local scratch folder).  ``naive_backtest_features`` is the comparison the baseline
-calls for: the four backtest days computed one at a time in a driver loop,
-with a row-at-a-time Python UDF for the week bucket, pivots that first run a
-job to discover their values, conditional distinct counts and one action per
-day.
+from Spark's event log (written to a local scratch folder).
+``naive_backtest_features`` is the comparison: the four backtest days asked
+for one at a time in a driver loop, each in the direct count-distinct form,
+forced by the same sink.
 """
 
 from __future__ import annotations
@@ -25,16 +24,15 @@ from __future__ import annotations
 import glob
 import json
 import os
-import tempfile
 import sys
+import tempfile
 import time
-from datetime import date, timedelta
+from datetime import timedelta
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
-from pyspark.sql import types as T  # noqa: E402
 
 from churnscope.config import fixture_segments  # noqa: E402
 from churnscope.operators import asof as A  # noqa: E402
@@ -49,6 +47,7 @@ from churnscope.sources import read_ledger  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 WITH_MODEL = os.environ.get("BENCH_MODEL", "1") != "0"
+WITH_PRODUCTION = os.environ.get("BENCH_PRODUCTION", "1") != "0"
 TRAIN_END = X.TRAINING_END
 
 
@@ -118,77 +117,24 @@ def prepare(spark) -> tuple[list[str], str]:
 
 
 # --------------------------------------------------------------------------
-# Naive comparison: one driver loop iteration per day.
+# Naive comparison: a driver loop with one plan per day, each in the direct
+# count-distinct form.
 # --------------------------------------------------------------------------
 
-def _naive_week(d, end, n):
-    if d is None:
-        return None
-    age = (end - d).days
-    if 0 <= age < 7 * n:
-        return age // 7 + 1
-    return None
-
-
-def naive_day(ledger: DataFrame, register: DataFrame, end: date) -> DataFrame:
-    week_udf = F.udf(lambda d: _naive_week(d, end, 6), T.IntegerType())
-    start = end - timedelta(days=364)
-    yr = ledger.where(F.col("POSTDATE").between(F.lit(start), F.lit(end))).withColumn(
-        "customer_level", F.col("CUSTNO"))
-    m = yr.withColumn("Month_variable", F.month("POSTDATE"))
-    remap = {k: (end.month - k) % 12 for k in range(1, 13)}
-    m = m.replace(remap, subset=["Month_variable"])
-    wk = (yr.where(F.col("POSTDATE").between(F.lit(end - timedelta(days=50)), F.lit(end)))
-          .withColumn("Week_variable", week_udf(F.col("POSTDATE"))).where(F.col("Week_variable") >= 1))
-    mon = (m.groupBy("customer_level", "Month_variable").agg(F.countDistinct("TRANSREFNO").alias("u"))
-           .groupBy("customer_level").pivot("Month_variable").agg(F.first("u")).na.fill(0))
-    mon = mon.select([F.col(c).alias(f"Month_{c}") if c != "customer_level" else F.col(c) for c in mon.columns])
-    wek = (wk.groupBy("customer_level", "Week_variable").agg(F.countDistinct("TRANSREFNO").alias("u"))
-           .groupBy("customer_level").pivot("Week_variable").agg(F.first("u")).na.fill(0))
-    wek = wek.select([F.col(c).alias(f"Week_{c}") if c != "customer_level" else F.col(c) for c in wek.columns])
-    sales = yr.groupBy("customer_level").agg(F.sum("SALES").alias("total_sales"))
-    full = mon.join(wek, "customer_level", "outer").join(sales, "customer_level", "left").na.fill(0)
-    live = register.where((F.col("CREDATE") <= F.lit(end))
-                          & ((F.col("KILLDATE") > F.lit(end)) | F.col("KILLDATE").isNull()))
-    live = live.withColumn("customer_level", F.col("CUSTNO"))
-    act = (yr.where(F.col("POSTDATE") >= F.lit(end - timedelta(days=90)))
-           .groupBy("customer_level").agg(F.countDistinct("TRANSREFNO").alias("UNIQUE_TRANSREFNO_ACTIVE")))
-    tgt = (ledger.where(F.col("POSTDATE").between(F.lit(end + timedelta(days=1)), F.lit(end + timedelta(days=365))))
-           .withColumn("customer_level", F.col("CUSTNO"))
-           .groupBy("customer_level").agg(F.countDistinct("TRANSREFNO").alias("UNIQUE_TRANSREFNO_TARGET")))
-    out = (live.join(full, "customer_level").join(act, "customer_level", "left")
-           .join(tgt, "customer_level", "left")
-           .withColumn("target_churn", F.when(F.col("UNIQUE_TRANSREFNO_TARGET").isNull(), 1).otherwise(0))
-           .where(F.col("UNIQUE_TRANSREFNO_ACTIVE") > 0))
-    return out
-
-
-def naive_backtest(ledger: DataFrame, register: DataFrame) -> int:
-    rows = 0
-    for i in range(1, 5):
-        pdf = naive_day(ledger, register, TRAIN_END + timedelta(days=i + 365)).toPandas()
-        rows += len(pdf)
-    return rows
-
-
-def same_rows(ledger: DataFrame, register: DataFrame, days) -> bool:
-    """The naive per-day form and the one-plan form give the same rows."""
-    ours = FE.feature_frame(ledger, register, days).toPandas()
-    keys = ["customer_level", *[f"Month_{k}" for k in range(12)], *[f"Week_{j}" for j in range(1, 7)],
-            "total_sales", "UNIQUE_TRANSREFNO_ACTIVE", "UNIQUE_TRANSREFNO_TARGET", "target_churn"]
-
-    def canon(pdf, cols):
-        out = pdf[cols].copy()
-        out["total_sales"] = out["total_sales"].astype(float).round(2)
-        out["UNIQUE_TRANSREFNO_TARGET"] = out["UNIQUE_TRANSREFNO_TARGET"].astype(float).fillna(-1)
-        return sorted(map(tuple, out.astype(float).values.tolist()))
-
-    for i in range(1, 5):
-        naive = naive_day(ledger, register, TRAIN_END + timedelta(days=i + 365)).toPandas()
-        cols = [c for c in keys if c in naive.columns]
-        if canon(naive, cols) != canon(ours[ours.loop_day == i], cols):
-            return False
-    return True
+def day_by_day(spark, ledger: DataFrame, register: DataFrame, n_days: int):
+    """One frame per backtest day, as a driver loop would ask for them."""
+    for i in range(1, n_days + 1):
+        day = A.asof_days(spark, [TRAIN_END + timedelta(days=i + 365)], [i])
+        yield FE.feature_frame(ledger, register, day, strategy="distinct")
+
+
+def same_rows(spark, ledger: DataFrame, register: DataFrame, days) -> bool:
+    """The loop and the one-plan form give the same rows."""
+    ours = FE.feature_frame(ledger, register, days)
+    naive = None
+    for frame in day_by_day(spark, ledger, register, days.n_days):
+        naive = frame if naive is None else naive.unionByName(frame)
+    return ours.exceptAll(naive).isEmpty() and naive.exceptAll(ours).isEmpty()
 
 
 def main() -> None:
@@ -223,14 +169,34 @@ def main() -> None:
         force(M.precision_by_cutoff(preds))
     q["backtest_metrics_rule"] = timed(metrics, name="backtest_metrics_rule")
 
+    latest = A.latest_posting_date(led)
+
     def campaign():
-        cur = P.predict_current(led, reg, use_model=False, checkpoint=False)
+        cur = P.predict_current(led, reg, use_model=False, checkpoint=False, latest=latest)
         force(C.campaign_segments(C.enrich_predictions(cur.predictions, reg), fixture_segments()))
     q["current_campaign_rule"] = timed(campaign, name="current_campaign_rule")
-    rows_equal = same_rows(led, reg, days)
-    q["naive_backtest_features"] = timed(lambda: naive_backtest(led, reg), name="naive_backtest_features")
+
+    def company():
+        cur = P.predict_current(led, reg, "compid", use_model=False, checkpoint=False, latest=latest)
+        force(C.enrich_predictions(cur.predictions, reg, "compid"))
+    q["company_predictions_rule"] = timed(company, name="company_predictions_rule")
+    many = A.backtest_days(spark, TRAIN_END, periods=33)
+    q["backtest_features_32_days"] = timed(lambda: force(FE.feature_frame(led, reg, many)), name="backtest_features_32_days")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    q["backtest_features_4_days_no_broadcast"] = timed(lambda: force(FE.feature_frame(led, reg, days)),
+                                                       name="backtest_features_4_days_no_broadcast")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    rows_equal = same_rows(spark, led, reg, days)
+
+    def naive():
+        for frame in day_by_day(spark, led, reg, days.n_days):
+            force(frame)
+    q["naive_backtest_features"] = timed(naive, name="naive_backtest_features")
     if WITH_MODEL:
         q["evaluation_gbt"] = timed(lambda: force(P.evaluate(led, reg, TRAIN_END).metrics), reps=1)
+    if WITH_PRODUCTION:
+        q["production_gbt"] = timed(lambda: force(P.predict_current(led, reg, latest=latest).predictions), reps=1)
 
     headline = [k for k in q if not k.startswith("naive") and not k.endswith("_distinct")]
     total = round(sum(q[k] for k in headline), 3)

@@ -15,7 +15,6 @@ Layout:
                  model, metrics, campaign, drift)
 * ``plans``      end-to-end compositions (evaluation, current prediction) and
                  the catalogue of named queries
-* ``streaming``  intentionally empty: the analysed workload has no stream
 """
 
 from churnscope.session import get_session, shared_dir

@@ -9,10 +9,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 # ---------------------------------------------------------------------------
-# Fixed values.  These must equal the analysed notebook's for equal results:
-# window offsets in days, the week/month feature layout, the qualifying ledger
-# codes, model settings, the nine sales cutoffs, the campaign projection and
-# its three segment presets.
+# Fixed values, defaults of the operators' parameters: window offsets in days,
+# the week/month feature layout, the qualifying ledger codes, model settings,
+# the nine sales cutoffs and the campaign projection.
 # ---------------------------------------------------------------------------
 MONTH_WINDOW_DAYS = 364          # month features: [end - 364, end]
 LAG_WINDOW_DAYS = 50             # lag/week window: [end - 50, end]
@@ -23,7 +22,7 @@ N_MONTHS = 12                    # relative months 0..11
 BACKTEST_PERIODS = 5             # backtest days 1..periods-1
 BACKTEST_SHIFT_DAYS = 365        # backtest day i shifts every date by i + 365
 PREDICTION_SHIFT_DAYS = 366      # scoring shifts the training dates by 366
-EVALUATION_GAP_DAYS = 30         # optional training end: max date - 365 - 30
+EVALUATION_GAP_DAYS = 30         # evaluation training end: max date - 365 - 30
 QUALIFYING_COMPANY = "10"
 QUALIFYING_ORDER_TYPES = (61, 66)
 SALES_CUTOFFS = (0, 1000, 5000, 10000, 15000, 20000, 50000, 150000, 500000)
@@ -42,23 +41,11 @@ CAMPAIGN_COLUMNS = (
     "COMPID", "EMAILLONG", "CITY", "SALESMAN_EMPLOYNAME", "SALESMAN_EMAIL",
     "CZSNI", "CZTURNOVER", "CZRATING",
 )
-# The notebook's three call-list presets (segment, sales above, region,
-# districts, customer categories).
-NOTEBOOK_SEGMENTS = (
-    ("vs", 2000, 87, (202,), (800, 801, 802)),
-    ("el", 3000, 87, (202,), (840, 841, 842, 843)),
-    ("bygg", 15000, 83, (116, 130), (860, 861, 862, 863, 864, 868)),
-)
 # ---------------------------------------------------------------------------
 
 MONTH_COLUMNS = tuple(f"Month_{k}" for k in range(N_MONTHS))
 WEEK_COLUMNS = tuple(f"Week_{j}" for j in range(1, N_WEEKS + 1))
 
-# Largest as-of table any builder will emit.  As-of tables are broadcast to
-# every ledger task, so their size must be bounded by construction.
-MAX_ASOF_DAYS = 4096
-
-
 @dataclass(frozen=True)
 class SegmentRule:
     """One campaign segment: churners above a sales level in one region.
@@ -73,13 +60,9 @@ class SegmentRule:
     categories: tuple[int, ...] = field(default_factory=tuple)
 
 
-def notebook_segments() -> list[SegmentRule]:
-    return [SegmentRule(s, float(m), r, tuple(d), tuple(c)) for s, m, r, d, c in NOTEBOOK_SEGMENTS]
-
-
 def fixture_segments() -> list[SegmentRule]:
-    """Presets shaped like the notebook's, scaled to the test tables' prices
-    and codes (regions 0-4, nations 0-24, categories 800-869)."""
+    """Presets scaled to the test tables' prices and codes (regions 0-4,
+    nations 0-24, categories 800-869)."""
     return [
         SegmentRule("a", 20000.0, 1, (1, 6), tuple(range(800, 840))),
         SegmentRule("b", 30000.0, 3, (3, 8, 13), tuple(range(810, 850))),

@@ -16,9 +16,6 @@ from churnscope.config import CAMPAIGN_COLUMNS, SegmentRule
 from churnscope.operators.asof import literal_rows
 from churnscope.operators.features import level_column
 
-# Segment tables are parameters; keep them small enough to broadcast.
-MAX_SEGMENTS = 10_000
-
 
 def predicted_churners(preds: DataFrame, loop_day: int | None = None) -> DataFrame:
     """Rows predicted to churn (optionally of one day)."""
@@ -31,19 +28,33 @@ def predicted_churners(preds: DataFrame, loop_day: int | None = None) -> DataFra
 def churners_with_register(preds: DataFrame, register: DataFrame, loop_day: int | None = 1,
                            columns: Sequence[str] = ("CUSTCAT", "CZTURNOVER"),
                            level: str = "custno") -> DataFrame:
-    """Predicted churners with a few register attributes (left join)."""
-    key = level_column(level)
-    name = key.lower()
-    churn = predicted_churners(preds, loop_day).withColumnRenamed("customer_level", name)
-    reg = register.select(F.col(key).alias(name), *columns)
-    return churn.join(reg, name, "left")
+    """Predicted churners with a few register attributes (left join).
+
+    At company level the predictions carry their register row's ``CUSTNO``,
+    which is the join key, so each row meets its own register row only.
+    """
+    name = level_column(level).lower()
+    churn = predicted_churners(preds, loop_day)
+    if level_column(level) == "CUSTNO":
+        churn = churn.withColumnRenamed("customer_level", name)
+        return churn.join(register.select(F.col("CUSTNO").alias(name), *columns), name, "left")
+    reg = register.select("CUSTNO", *columns)
+    return _by_customer(churn, reg).withColumnRenamed("customer_level", name)
+
+
+def _by_customer(preds: DataFrame, register: DataFrame) -> DataFrame:
+    if "CUSTNO" not in preds.columns:
+        raise ValueError("company-level predictions need CUSTNO (score with keep=('CUSTNO',))")
+    return preds.join(register, "CUSTNO", "left")
 
 
 def enrich_predictions(preds: DataFrame, register: DataFrame, level: str = "custno") -> DataFrame:
-    """Predictions with every register column (left join on the entity key;
-    at company level each company row meets all its register rows)."""
-    reg = register.withColumnRenamed(level_column(level), "customer_level")
-    return preds.join(reg, "customer_level", "left")
+    """Predictions with every register column (left join on the customer
+    number: ``customer_level`` itself, or at company level the ``CUSTNO`` that
+    the predictions carry, so there is one row per prediction)."""
+    if level_column(level) != "CUSTNO":
+        return _by_customer(preds, register)
+    return preds.join(register.withColumnRenamed("CUSTNO", "customer_level"), "customer_level", "left")
 
 
 def campaign_view(enriched: DataFrame, columns: Sequence[str] = CAMPAIGN_COLUMNS) -> DataFrame:
@@ -57,9 +68,6 @@ def campaign_view(enriched: DataFrame, columns: Sequence[str] = CAMPAIGN_COLUMNS
 
 
 def segment_rules(spark: SparkSession, rules: Sequence[SegmentRule]) -> DataFrame:
-    if len(rules) > MAX_SEGMENTS:
-        raise ValueError(f"at most {MAX_SEGMENTS} segment rules")
-
     def ints(xs):
         return F.array(*[F.lit(int(x)) for x in xs]).cast("array<int>")
 
@@ -79,8 +87,8 @@ def campaign_segments(enriched: DataFrame, rules: DataFrame | Sequence[SegmentRu
     if not isinstance(rules, DataFrame):
         rules = segment_rules(enriched.sparkSession, rules)
     view = campaign_view(enriched, columns).where(F.col("prediction") == 1.0)
-    r = F.broadcast(rules)  # bounded by MAX_SEGMENTS
-    j = view.join(r, view["REGION"] == r["region"], "inner")
+    r = rules.withColumnRenamed("region", "_region")
+    j = view.join(r, view["REGION"] == r["_region"], "inner")
 
     def listed(arr: str, value: str):
         return (F.size(F.col(arr)) == 0) | F.array_contains(F.col(arr), F.col(value))
@@ -110,10 +118,10 @@ def top_churners(enriched: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def drilldown(frame: DataFrame, customer: DataFrame | object) -> DataFrame:
-    """Rows of one entity.  ``customer`` is a key value, or a one-row frame
-    with ``customer_level`` (a broadcast semi join keeps it in the plan)."""
+    """Rows of one entity or several.  ``customer`` is a key value, or a frame
+    with ``customer_level`` (a semi join keeps it in the plan)."""
     if isinstance(customer, DataFrame):
-        return frame.join(F.broadcast(customer.select("customer_level").limit(1)), "customer_level", "left_semi")
+        return frame.join(customer.select("customer_level"), "customer_level", "left_semi")
     return frame.where(F.col("customer_level") == F.lit(customer))
 
 
@@ -122,24 +130,25 @@ def largest_churner(enriched: DataFrame) -> DataFrame:
     return top_churners(enriched, 1).select("customer_level")
 
 
-AUDIT_COLUMNS = (
-    "loop_day", "customer_level", *[f"Month_{k}" for k in range(12)], *[f"Week_{j}" for j in range(1, 7)],
-    "feature_days_customer", "UNIQUE_TRANSREFNO_ACTIVE", "total_sales",
-)
+def audit_columns(frame: DataFrame) -> list[str]:
+    """The audit's columns of a feature frame: all its months and weeks."""
+    buckets = [c for c in frame.columns if c.startswith(("Month_", "Week_"))]
+    return ["loop_day", "customer_level", *buckets, "feature_days_customer", "UNIQUE_TRANSREFNO_ACTIVE", "total_sales"]
 
 
 def prediction_audit(frame: DataFrame, preds: DataFrame | None = None) -> DataFrame:
     """Feature columns next to each customer's prediction.
 
     With ``preds``: a left join of the frame's audit columns with the
-    predictions (any source).  Without: ``frame`` already carries
-    ``prediction`` (``score``/``rule_score`` with ``keep=AUDIT_COLUMNS``),
-    so the feature plan runs once.
+    predictions (any source), at company level by the ``CUSTNO`` that both
+    carry.  Without: ``frame`` already carries ``prediction``
+    (``score``/``rule_score`` with ``keep=audit_columns(frame)``), so the
+    feature plan runs once.
     """
-    cols = list(AUDIT_COLUMNS)
+    cols = audit_columns(frame)
     if "target_churn" in frame.columns:
         cols.append("target_churn")
     if preds is None:
         return frame.select(*cols, "prediction")
-    p = preds.select("loop_day", "customer_level", "prediction")
-    return frame.select(*cols).join(p, ["loop_day", "customer_level"], "left")
+    keys = ["loop_day", "customer_level", *(["CUSTNO"] if "CUSTNO" in preds.columns else [])]
+    return frame.select(*dict.fromkeys([*keys, *cols])).join(preds.select(*keys, "prediction"), keys, "left")

@@ -9,6 +9,8 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnscope.session import materialize
+
 
 def class_balance(preds: DataFrame, training: DataFrame) -> DataFrame:
     """Row counts by predicted class and by true label."""
@@ -48,27 +50,30 @@ def population_shift(training: DataFrame, scoring: DataFrame, by: Sequence[str])
 def class_index_counts(training: DataFrame, scoring: DataFrame, column: str = "CUSTCLASS",
                        indexer: PipelineModel | None = None) -> DataFrame:
     """Counts per (dataset, value, index) with the index fitted on training:
-    the same value must get the same index in both frames."""
+    the same value must get the same index in both frames; null values and
+    values that training lacks share the index after the last.
+
+    Each frame is read once: values are counted first, and the index is
+    fitted on and applied to the counts."""
     out_col = f"{column}_index"
+    counts = materialize(
+        training.select(F.lit("train").alias("dataset"), column)
+        .unionByName(scoring.select(F.lit("pred").alias("dataset"), column))
+        .groupBy("dataset", column).agg(F.count(F.lit(1)).alias("count")))
     if indexer is None:
         indexer = StringIndexer(inputCol=column, outputCol=out_col, stringOrderType="alphabetDesc",
-                                handleInvalid="keep").fit(training)
-    t = indexer.transform(training).select(F.lit("train").alias("dataset"), column, out_col)
-    s = indexer.transform(scoring).select(F.lit("pred").alias("dataset"), column, out_col)
-    return t.unionByName(s).groupBy("dataset", column, out_col).agg(F.count(F.lit(1)).alias("count"))
+                                handleInvalid="keep").fit(counts.where("dataset = 'train'"))
+    return indexer.transform(counts).select("dataset", column, out_col, "count")
 
 
 def category_index(training: DataFrame, columns: Sequence[str] = ("CUSTCLASS", "REGION")) -> DataFrame:
-    """The fitted index of every category value: (input_column, value,
-    label_index)."""
-    parts = []
-    for c in columns:
-        model = StringIndexer(inputCol=c, outputCol=f"{c}_index", stringOrderType="alphabetDesc",
-                              handleInvalid="keep").fit(training)
-        parts.append(model.transform(training.select(c).distinct()).select(
-            F.lit(c).alias("input_column"), F.col(c).cast("string").alias("value"),
-            F.col(f"{c}_index").alias("label_index")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The fitted index of every category value in ``training``:
+    (input_column, value, label_index).  Null is no value and has no row.
+
+    One pass over ``training``; the fitted labels, one per distinct value,
+    are held by the driver, as in any string indexer."""
+    values = materialize(training.select(*columns).distinct())
+    model = StringIndexer(inputCols=list(columns), outputCols=[f"{c}_index" for c in columns],
+                          stringOrderType="alphabetDesc", handleInvalid="keep").fit(values)
+    rows = [(c, value, float(k)) for c, labels in zip(columns, model.labelsArray, strict=True) for k, value in enumerate(labels)]
+    return training.sparkSession.createDataFrame(rows, "input_column string, value string, label_index double")

@@ -13,20 +13,27 @@ For every as-of day and customer (or company):
 
 joined to the customers live on that day.
 
-Plan shape (``strategy="flags"``)::
+Plan shape (``strategy="flags"``), several days::
 
     ledger scan (date span pushed down)
-      -> broadcast nested-loop join with the bounded as-of table
-         (each line is copied to the as-of days whose windows contain it)
-      -> per (day, entity, transaction): bit_or of one packed long (month,
-         week, active, target bits), sum of sales in integer cents
-                                                  [partial agg, shuffle 1]
-      -> per (day, entity): sums of bits          [partial agg, shuffle 2]
-      -> join live register rows on (day, entity)
-
-Both aggregations combine map-side, so a customer holding a third of all
+      -> per (entity, transaction): its posting dates, and
+         per (entity, posting date): sum of sales     [partial agg, shuffle 1]
+      -> equi-join with the as-of table on 32-day buckets: each date meets the
+         days whose windows contain it (no shuffle)
+      -> per (day, entity, transaction): bit_or of packed longs (month, week,
+         active, target bits)            [same partitioning: no shuffle]
+      -> per (day, entity): sums of bits              [partial agg, shuffle 2]
+      -> join register rows on the entity, live on the day
+
+The first shuffle carries no day, so its size does not depend on how many
+days are evaluated.  One day known on the driver needs no join and packs the
+bits before the first shuffle.  At company level customers' rows are combined
+first and meet their company after, so no raw line is shuffled for it.
+
+All aggregations combine map-side, so a customer holding a third of all
 lines reaches the final aggregation as one row per map task, not as its
-lines.  ``strategy="distinct"`` is the direct form (one conditional
+lines.  Sales are summed as decimals, whatever the path.
+``strategy="distinct"`` is the direct form (one conditional
 ``count_distinct`` per bucket); Spark expands every row once per distinct
 bucket for it, so it serves as the cross-check and the bench's comparison.
 """
@@ -37,6 +44,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from churnscope.config import MONTH_COLUMNS, N_MONTHS, N_WEEKS, WEEK_COLUMNS
 from churnscope.functions.dates import (
@@ -83,27 +91,11 @@ def entity_ledger(ledger: DataFrame, register: DataFrame | None, level: str) ->
     return ledger.withColumn("customer_level", F.col(key))
 
 
-def replicate(lines: DataFrame, asof: AsOf, with_target: bool = True) -> DataFrame:
-    """Copy each ledger line to every as-of day whose windows contain it.
-
-    The overall date span is applied first as literals (pushed into the scan);
-    then a broadcast nested-loop join with the as-of table, whose size is
-    bounded by construction.
-    """
-    hi = asof.last if with_target else asof.last_end
-    rows = lines.where((F.col("POSTDATE") >= F.lit(asof.first)) & (F.col("POSTDATE") <= F.lit(hi)))
-    if asof.single is not None:
-        # One day known on the driver: literal window columns, no join.
-        rows = asof.attach(rows)
-        w = {k: F.col(k) for k in ("month_start", "feature_end", "target_start", "target_end")}
-        d = F.col("POSTDATE")
-    else:
-        w = asof.broadcast()
-        d = rows["POSTDATE"]
-    cond = (d >= w["month_start"]) & (d <= w["feature_end"])
-    if with_target:
-        cond = cond | ((d >= w["target_start"]) & (d <= w["target_end"]))
-    return rows.where(cond) if asof.single is not None else rows.join(w, cond, "inner")
+def exact_sales(ledger: DataFrame) -> Column:
+    """``SALES`` as a decimal: as it is, or rounded to 6 places if it is not
+    one (sums of doubles would depend on their order)."""
+    sales = F.col("SALES")
+    return sales if isinstance(ledger.schema["SALES"].dataType, T.DecimalType) else sales.cast("decimal(28,6)")
 
 
 def _month_of(month_mode: str) -> callable:
@@ -114,76 +106,139 @@ def _month_of(month_mode: str) -> callable:
     raise ValueError("month_mode must be 'calendar' or 'rolling'")
 
 
-def _bit_of(position: Column) -> Column:
-    """``1 << position`` with a column shift (integer bit set)."""
-    return F.call_function("shiftleft", F.lit(1), position)
+# Packed flags of a transaction: word 0 holds months 0..11, the active and the
+# target bit, and the first weeks; further words hold weeks alone.
+_ACTIVE_BIT, _TARGET_BIT, _FIRST_WEEK_BIT = N_MONTHS, N_MONTHS + 1, N_MONTHS + 2
+_WORD_BITS = 62
+_WEEKS_IN_FIRST = _WORD_BITS - _FIRST_WEEK_BIT
 
 
-def _row_flags(month_mode: str, n_weeks: int) -> dict[str, Column]:
-    d = F.col("POSTDATE")
-    end = F.col("feature_end")
-    in_year = in_window(d, "month_start", "feature_end")
-    month = _month_of(month_mode)(d, end)
-    week = F.when(in_window(d, "lag_start", "feature_end"), week_bucket(d, end, n_weeks))
-    return {
-        "mbit": F.when(in_year, _bit_of(month)).otherwise(F.lit(0)),
-        "wbit": F.when(in_year & week.isNotNull(), _bit_of(week)).otherwise(F.lit(0)),
-        "act": F.when(in_year & in_window(d, "active_start", "active_end"), F.lit(1)).otherwise(F.lit(0)),
-        "tgt": F.when(in_window(d, "target_start", "target_end"), F.lit(1)).otherwise(F.lit(0)),
-        "sales": F.when(in_year, F.col("SALES")),
-    }
+def _week_place(week: int) -> tuple[int, int]:
+    """(word, bit) of week 1, 2, ..."""
+    if week <= _WEEKS_IN_FIRST:
+        return 0, _FIRST_WEEK_BIT + week - 1
+    rest = week - _WEEKS_IN_FIRST - 1
+    return 1 + rest // _WORD_BITS, rest % _WORD_BITS
 
 
-def _layout(n_weeks: int) -> tuple[int, int]:
-    """Bit positions of the packed per-transaction flags: months 0..11 at
-    bits 0..11, week j at bit 11 + j, then the active and the target flag."""
-    if n_weeks > 48:
-        raise ValueError("at most 48 week buckets fit the packed flags")
-    return 12 + n_weeks, 13 + n_weeks
+def _words(n_weeks: int) -> list[str]:
+    return [f"bits_{k}" for k in range(_week_place(max(n_weeks, 1))[0] + 1)]
 
 
-def _long_bit(position: Column | int) -> Column:
+def _shift(position: Column | int) -> Column:
     pos = F.lit(position) if isinstance(position, int) else position
     return F.call_function("shiftleft", F.lit(1).cast("long"), pos)
 
 
-def transaction_flags(replicated: DataFrame, month_mode: str = "calendar",
-                      n_weeks: int = N_WEEKS) -> DataFrame:
-    """One row per (day, entity, transaction): ``bits`` (every bucket the
-    transaction touches, packed in one long by ``bit_or``) and ``cents``
-    (trailing-year sales as an exact sum of integer cents).  Two fixed-width
-    fields keep the first shuffle's rows small."""
-    act_bit, tgt_bit = _layout(n_weeks)
-    d = F.col("POSTDATE")
-    end = F.col("feature_end")
-    in_year = in_window(d, "month_start", "feature_end")
-    month = _month_of(month_mode)(d, end)
-    week = F.when(in_window(d, "lag_start", "feature_end"), week_bucket(d, end, n_weeks))
-    zero = F.lit(0).cast("long")
-    bits = (
-        F.when(in_year, _long_bit(month)).otherwise(zero)
-        .bitwiseOR(F.when(in_year & week.isNotNull(), _long_bit(week + 11)).otherwise(zero))
-        .bitwiseOR(F.when(in_year & in_window(d, "active_start", "active_end"), _long_bit(act_bit))
-                   .otherwise(zero))
-        .bitwiseOR(F.when(in_window(d, "target_start", "target_end"), _long_bit(tgt_bit)).otherwise(zero))
-    )
-    cents = F.when(in_year, (F.col("SALES") * 100).cast("long"))
-    keys = _day_keys(replicated, "customer_level", "TRANSREFNO")
-    return (
-        replicated.select(*keys, bits.alias("bits"), cents.alias("cents"))
-        .groupBy(*keys)
-        .agg(F.bit_or("bits").alias("bits"), F.sum("cents").alias("cents"))
-    )
+def _bit(word: str, k: int) -> Column:
+    return F.shiftright(F.col(word), k).bitwiseAND(F.lit(1))
+
+
+def _window_tests(n_weeks: int, month_mode: str) -> dict[str, Column]:
+    """Columns that tell which windows and buckets a line's date is in."""
+    d, end = F.col("POSTDATE"), F.col("feature_end")
+    in_month = in_window(d, "month_start", "feature_end")
+    return {"month": F.when(in_month, _month_of(month_mode)(d, end)),
+            "week": F.when(in_window(d, "lag_start", "feature_end"), week_bucket(d, end, n_weeks)),
+            "in_month": in_month,
+            "active": in_window(d, "active_from", "active_end"),
+            "target": in_window(d, "target_start", "target_end")}
+
+
+def _packed(n_weeks: int, month_mode: str, with_target: bool) -> list[Column]:
+    """One long per word: every bucket that the line's date touches."""
+    t, zero = _window_tests(n_weeks, month_mode), F.lit(0).cast("long")
+    week = t["week"]
+    out = []
+    for k, word in enumerate(_words(n_weeks)):
+        if k == 0:
+            first = F.when(t["month"].isNotNull(), _shift(t["month"])).otherwise(zero)
+            first = first.bitwiseOR(F.when(t["active"], _shift(_ACTIVE_BIT)).otherwise(zero))
+            if with_target:
+                first = first.bitwiseOR(F.when(t["target"], _shift(_TARGET_BIT)).otherwise(zero))
+            weeks = F.when(week <= _WEEKS_IN_FIRST, _shift(week + (_FIRST_WEEK_BIT - 1))).otherwise(zero)
+            out.append(first.bitwiseOR(weeks).alias(word))
+        else:
+            low = _WEEKS_IN_FIRST + (k - 1) * _WORD_BITS
+            out.append(F.when((week > low) & (week <= low + _WORD_BITS), _shift(week - (low + 1))).otherwise(zero).alias(word))
+    return out
 
 
-def _day_keys(df: DataFrame, *keys: str) -> list[str]:
-    """Grouping keys, with ``loop_day`` first when the frame carries it
-    (single-day frames drop it before aggregating; see ``entity_features``)."""
-    return (["loop_day"] if "loop_day" in df.columns else []) + list(keys)
+def _read_windows(with_target: bool) -> tuple[str, ...]:
+    return ("month", "lag", "active", "target") if with_target else ("month", "lag", "active")
+
 
+def _merged(rows: DataFrame, keys: list[str], n_weeks: int) -> DataFrame:
+    return rows.groupBy(*keys).agg(*(F.bit_or(w).alias(w) for w in _words(n_weeks)), F.sum("sales").alias("sales"))
 
-def _bit(col: str, k: int) -> Column:
-    return F.shiftright(F.col(col), k).bitwiseAND(F.lit(1))
+
+def _customer_lines(ledger: DataFrame, register: DataFrame | None, level: str) -> tuple[DataFrame, DataFrame | None]:
+    """Lines with ``customer_level``, and the (CUSTNO, COMPID) keys that still have to be met after combining."""
+    key = level_column(level)
+    if key in ledger.columns:
+        return ledger.withColumn("customer_level", F.col(key)), None
+    if register is None:
+        raise ValueError(f"ledger has no {key}; pass the register to attach it")
+    keys = register.select(F.col("CUSTNO").alias("customer_level"), F.col(key).alias("_company"))
+    return ledger.withColumn("customer_level", F.col("CUSTNO")), keys
+
+
+def _with_company(rows: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """Combined rows under their company (left join on the customer)."""
+    if keys is None:
+        return rows
+    return rows.join(keys, "customer_level", "left").withColumn("customer_level", F.col("_company")).drop("_company")
+
+
+def day_flags(lines: DataFrame, asof: AsOf, keys: DataFrame | None, with_target: bool, month_mode: str,
+              n_weeks: int) -> DataFrame:
+    """One day: per (entity, transaction) packed bits and the month window's
+    sales, combined before the first shuffle."""
+    met = asof.meet(lines, *_read_windows(with_target))
+    sales = F.when(in_window("POSTDATE", "month_start", "feature_end"), exact_sales(lines))
+    rows = met.select("customer_level", F.col("TRANSREFNO").alias("key"), F.lit(0).alias("kind"),
+                      *_packed(n_weeks, month_mode, with_target), sales.alias("sales"))
+    out = _merged(rows, ["customer_level", "kind", "key"], n_weeks)
+    return out if keys is None else _merged(_with_company(out, keys), ["customer_level", "kind", "key"], n_weeks)
+
+
+def posting_dates(lines: DataFrame, asof: AsOf, keys: DataFrame | None, with_target: bool) -> DataFrame:
+    """Per (entity, transaction) its posting dates (kind 0), and per (entity,
+    posting date) the sum of sales (kind 1): nothing here depends on the days,
+    but for the span that is read."""
+    first, last = asof.span(*_read_windows(with_target))
+    posted = F.col("POSTDATE")
+    rows = lines.where((posted >= F.lit(first)) & (posted <= F.lit(last)))
+    two = F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("TRANSREFNO").cast("long").alias("key")),
+        F.struct(F.lit(1).alias("kind"), F.unix_date(posted).cast("long").alias("key"))))
+    both = rows.select("customer_level", "POSTDATE", exact_sales(lines).alias("sales"), two.alias("k"))
+
+    def combined(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("customer_level", "kind", "key").agg(
+            F.collect_set("POSTDATE").alias("dates"), F.sum("sales").alias("sales"))
+
+    out = combined(both.select("customer_level", "k.kind", "k.key", "POSTDATE", F.when(F.col("k.kind") == 1, F.col("sales")).alias("sales")))
+    if keys is None:
+        return out
+    met = _with_company(out, keys)
+    dated = met.select("customer_level", "kind", "key", F.explode("dates").alias("POSTDATE"),
+                       F.when(F.col("kind") == 1, F.col("sales")).alias("sales"))
+    return combined(dated)
+
+
+def days_flags(lines: DataFrame, asof: AsOf, keys: DataFrame | None, with_target: bool, month_mode: str,
+               n_weeks: int) -> DataFrame:
+    """Several days: packed bits and sales per (day, entity, transaction)."""
+    dated = posting_dates(lines, asof, keys, with_target).select(
+        "customer_level", "kind", "key", F.explode("dates").alias("POSTDATE"), "sales")
+    met = asof.meet(dated, *_read_windows(with_target))
+    is_line, zero = F.col("kind") == 0, F.lit(0).cast("long")
+    bits = [F.when(is_line, c).otherwise(zero).alias(w)
+            for c, w in zip(_packed(n_weeks, month_mode, with_target), _words(n_weeks), strict=True)]
+    sales = F.when(in_window("POSTDATE", "month_start", "feature_end"), F.col("sales"))
+    rows = met.select("loop_day", "customer_level", "kind", "key", *bits, sales.alias("sales"))
+    return _merged(rows, ["loop_day", "customer_level", "kind", "key"], n_weeks)
 
 
 def entity_counts(flags: DataFrame, n_weeks: int = N_WEEKS) -> DataFrame:
@@ -191,46 +246,47 @@ def entity_counts(flags: DataFrame, n_weeks: int = N_WEEKS) -> DataFrame:
 
     Rows with a null transaction reference are not counted, but their sales
     are summed and they still mark the entity as present (as a grouping of
-    the raw lines would).  Sales come back as an exact decimal.
+    the raw lines would).
     """
-    act_bit, tgt_bit = _layout(n_weeks)
-    valid = F.col("TRANSREFNO").isNotNull()
+    valid = (F.col("kind") == 0) & F.col("key").isNotNull()
+
+    def count_of(word: int, bit: int) -> Column:
+        return F.sum(F.when(valid, _bit(f"bits_{word}", bit)).otherwise(F.lit(0))).cast("long")
 
-    def count_if(c: Column) -> Column:
-        return F.sum(F.when(valid, c).otherwise(F.lit(0))).cast("long")
+    def any_of(mask: int, word: str = "bits_0") -> Column:
+        return F.bit_or(F.col(word).bitwiseAND(F.lit(mask).cast("long")))
 
-    aggs = [count_if(_bit("bits", k)).alias(f"Month_{k}") for k in range(N_MONTHS)]
-    aggs += [count_if(_bit("bits", 11 + j)).alias(f"Week_{j}") for j in range(1, n_weeks + 1)]
+    weeks = [_week_place(j) for j in range(1, n_weeks + 1)]
+    aggs = [count_of(0, k).alias(f"Month_{k}") for k in range(N_MONTHS)]
+    aggs += [count_of(*place).alias(f"Week_{j}") for j, place in enumerate(weeks, 1)]
     aggs += [
-        F.bit_or(F.col("bits").bitwiseAND(F.lit((1 << N_MONTHS) - 1))).alias("any_month"),
-        F.bit_or(F.shiftright("bits", 12).bitwiseAND(F.lit((1 << n_weeks) - 1))).alias("any_week"),
-        (F.sum("cents").cast("decimal(38,0)") / F.lit(100)).cast("decimal(38,2)").alias("sales_sum"),
-        count_if(_bit("bits", act_bit)).alias("UNIQUE_TRANSREFNO_ACTIVE"),
-        F.max(_bit("bits", tgt_bit)).alias("any_target"),
-        count_if(_bit("bits", tgt_bit)).alias("target_count"),
+        any_of((1 << N_MONTHS) - 1).alias("any_month"),
+        F.sum("sales").alias("sales_sum"),
+        count_of(0, _ACTIVE_BIT).alias("UNIQUE_TRANSREFNO_ACTIVE"),
+        F.max(F.when(F.col("kind") == 0, _bit("bits_0", _TARGET_BIT))).alias("any_target"),
+        count_of(0, _TARGET_BIT).alias("target_count"),
     ]
     return flags.groupBy(*_day_keys(flags, "customer_level")).agg(*aggs)
 
 
-def _counts_by_distinct(rep: DataFrame, month_mode: str, n_weeks: int) -> DataFrame:
+def _day_keys(df: DataFrame, *keys: str) -> list[str]:
+    """Grouping keys, with ``loop_day`` first when the frame carries it
+    (single-day frames have it added after; see ``entity_features``)."""
+    return (["loop_day"] if "loop_day" in df.columns else []) + list(keys)
+
+
+def _counts_by_distinct(rep: DataFrame, month_mode: str, n_weeks: int, with_target: bool) -> DataFrame:
     """Same columns as ``entity_counts`` from conditional count_distincts."""
-    f = _row_flags(month_mode, n_weeks)
-    t = F.col("TRANSREFNO")
-    d = F.col("POSTDATE")
-    end = F.col("feature_end")
-    in_year = in_window(d, "month_start", "feature_end")
-    month = _month_of(month_mode)(d, end)
-    week = F.when(in_window(d, "lag_start", "feature_end"), week_bucket(d, end, n_weeks))
-    aggs = [F.count_distinct(F.when(in_year & (month == k), t)).alias(f"Month_{k}") for k in range(N_MONTHS)]
-    aggs += [F.count_distinct(F.when(in_year & (week == j), t)).alias(f"Week_{j}")
-             for j in range(1, n_weeks + 1)]
+    t, ref = _window_tests(n_weeks, month_mode), F.col("TRANSREFNO")
+    target = t["target"] if with_target else F.lit(False)
+    aggs = [F.count_distinct(F.when(t["month"] == k, ref)).alias(f"Month_{k}") for k in range(N_MONTHS)]
+    aggs += [F.count_distinct(F.when(t["week"] == j, ref)).alias(f"Week_{j}") for j in range(1, n_weeks + 1)]
     aggs += [
-        F.bit_or(f["mbit"]).alias("any_month"),
-        F.bit_or(f["wbit"]).alias("any_week"),
-        F.sum(f["sales"]).alias("sales_sum"),
-        F.count_distinct(F.when(f["act"] == 1, t)).alias("UNIQUE_TRANSREFNO_ACTIVE"),
-        F.max(f["tgt"]).alias("any_target"),
-        F.count_distinct(F.when(f["tgt"] == 1, t)).alias("target_count"),
+        F.bit_or(F.when(t["in_month"], _shift(t["month"])).otherwise(F.lit(0).cast("long"))).alias("any_month"),
+        F.sum(F.when(t["in_month"], exact_sales(rep))).alias("sales_sum"),
+        F.count_distinct(F.when(t["active"], ref)).alias("UNIQUE_TRANSREFNO_ACTIVE"),
+        F.max(F.when(target, 1).otherwise(0)).alias("any_target"),
+        F.count_distinct(F.when(target, ref)).alias("target_count"),
     ]
     return rep.groupBy(*_day_keys(rep, "customer_level")).agg(*aggs)
 
@@ -239,21 +295,23 @@ def entity_features(ledger: DataFrame, asof: AsOf, level: str = "custno",
                     register: DataFrame | None = None, with_target: bool = True,
                     month_mode: str = "calendar", n_weeks: int = N_WEEKS,
                     strategy: str = "flags") -> DataFrame:
-    """Per (day, entity) counts for every entity with a line in any window."""
-    rep = replicate(entity_ledger(ledger, register, level), asof, with_target)
-    if asof.single is not None:
-        # A constant day is left out of the grouping (and added back after)
-        # so the aggregates stay hash-partitioned on the entity alone.
-        rep = rep.drop("loop_day")
+    """Per (day, entity) counts for every entity with a line in any window.
+
+    The lag window is widened to hold ``n_weeks`` weeks.
+    """
+    asof = asof.reaching(7 * n_weeks - 1)
     if strategy == "flags":
-        out = entity_counts(transaction_flags(rep, month_mode, n_weeks), n_weeks)
+        lines, keys = _customer_lines(ledger, register, level)
+        flags = (day_flags if asof.single is not None else days_flags)(lines, asof, keys, with_target, month_mode, n_weeks)
+        out = entity_counts(flags, n_weeks)
     elif strategy == "distinct":
-        out = _counts_by_distinct(rep, month_mode, n_weeks)
+        rep = asof.meet(entity_ledger(ledger, register, level), *_read_windows(with_target))
+        # A constant day is left out of the grouping, so the aggregate stays
+        # hash-partitioned on the entity alone.
+        out = _counts_by_distinct(rep if asof.single is None else rep.drop("loop_day"), month_mode, n_weeks, with_target)
     else:
         raise ValueError("strategy must be 'flags' or 'distinct'")
-    if asof.single is not None:
-        out = out.select(asof.day_literal(), "*")
-    return out
+    return out if asof.single is None else out.select(asof.day_literal(), "*")
 
 
 def week_columns(n_weeks: int = N_WEEKS) -> list[str]:
@@ -263,28 +321,23 @@ def week_columns(n_weeks: int = N_WEEKS) -> list[str]:
 def live_customers(register: DataFrame, asof: AsOf, level: str = "custno",
                    extra: list[str] | None = None) -> DataFrame:
     """Register rows open on each as-of day, with ``killed`` (closes before
-    the target window ends) and ``feature_days_customer``.
-
-    The register meets the as-of table in a broadcast nested-loop join whose
-    condition is the live test (the table is bounded), after literal bounds
-    are pushed into the register scan.
+    the target window ends) and ``feature_days_customer``: one row per day and
+    register row, so the as-of table meets the register on the live test
+    itself, after literal bounds are pushed into the register scan.
     """
-    key = level_column(level)
     reg = _prefilter_register(register, asof)
     if asof.single is not None:
         j = asof.attach(reg).where(is_live("CREDATE", "KILLDATE", "feature_end"))
     else:
-        w = asof.broadcast()
+        w = asof.frame
         j = reg.join(w, is_live(reg["CREDATE"], reg["KILLDATE"], w["feature_end"]), "inner")
-    return (
-        j.select(
-            "loop_day",
-            F.col(key).alias("customer_level"),
-            *[F.col(c) for c in register.columns],
-            killed_flag("KILLDATE", "target_end").alias("killed"),
-            customer_age_days("feature_end", "CREDATE").alias("feature_days_customer"),
-            *(extra or []),
-        )
+    return j.select(
+        "loop_day",
+        F.col(level_column(level)).alias("customer_level"),
+        *[F.col(c) for c in register.columns],
+        killed_flag("KILLDATE", "target_end").alias("killed"),
+        customer_age_days("feature_end", "CREDATE").alias("feature_days_customer"),
+        *(extra or []),
     )
 
 
@@ -320,16 +373,14 @@ def feature_frame(ledger: DataFrame, register: DataFrame, asof: AsOf, level: str
         entity_features(ledger, asof, level, register, with_label, month_mode, n_weeks, strategy)
         .where(F.col("UNIQUE_TRANSREFNO_ACTIVE") > 0)
     )
-    # Live register rows per day (register x bounded as-of table, filtered
-    # before any shuffle).  Joining on (day, entity) reuses the aggregation's
-    # hash partitioning, so the aggregated side is not shuffled again.
-    live = live_customers(register, asof, level, extra=["target_end"] if latest is not None else [])
-    if asof.single is not None:
-        # One constant day: join on the entity alone (the aggregates are
-        # hash-partitioned on it).
-        j = counts.join(live.drop("loop_day"), "customer_level", "inner")
-    else:
-        j = counts.join(live, ["loop_day", "customer_level"], "inner")
+    # Both sides meet on the entity; the day's dates come with the counts, and
+    # the live test is part of the join.
+    reg = _prefilter_register(register, asof).withColumn("_entity", F.col(level_column(level)))
+    counts = asof.attach(counts.drop("loop_day")) if asof.single is not None else counts.join(asof.frame, "loop_day")
+    live = is_live(reg["CREDATE"], reg["KILLDATE"], counts["feature_end"])
+    j = (counts.join(reg, (counts["customer_level"] == reg["_entity"]) & live)
+         .withColumn("killed", killed_flag("KILLDATE", "target_end"))
+         .withColumn("feature_days_customer", customer_age_days("feature_end", "CREDATE")))
     label = []
     if with_label:
         label = [
@@ -367,31 +418,28 @@ def features_month(ledger: DataFrame, asof: AsOf, level: str = "custno",
 
 def features_week(ledger: DataFrame, asof: AsOf, level: str = "custno",
                   register: DataFrame | None = None, n_weeks: int = N_WEEKS) -> DataFrame:
-    """Wide week counts for every entity with a line in the first weeks."""
-    c = entity_features(ledger, asof, level, register, False, n_weeks=n_weeks)
-    return c.where(F.col("any_week") != 0).select("loop_day", "customer_level", *week_columns(n_weeks))
+    """Wide week counts for every entity with a line in the first weeks; reads
+    those weeks only."""
+    long = features_week_long(ledger, asof, level, register, n_weeks)
+    return long.groupBy("loop_day", "customer_level").agg(*(
+        F.coalesce(F.max(F.when(F.col("Week_variable") == j, F.col("UNIQUE_TRANSREFNO"))), F.lit(0)).cast("long").alias(f"Week_{j}")
+        for j in range(1, n_weeks + 1)))
 
 
 def total_sales(ledger: DataFrame, asof: AsOf, level: str = "custno",
                 register: DataFrame | None = None) -> DataFrame:
     """Sales over the trailing year per entity (exact decimal sum)."""
-    rep = replicate(entity_ledger(ledger, register, level), asof, with_target=False)
-    return (
-        rep.where(in_window("POSTDATE", "month_start", "feature_end"))
-        .groupBy("loop_day", "customer_level")
-        .agg(F.sum("SALES").alias("total_sales"))
-    )
+    met = asof.meet(entity_ledger(ledger, register, level), "month")
+    return met.groupBy("loop_day", "customer_level").agg(F.sum(exact_sales(met)).alias("total_sales"))
 
 
 def active_customers(ledger: DataFrame, asof: AsOf, level: str = "custno",
                      register: DataFrame | None = None) -> DataFrame:
-    """Entities with at least one transaction in the active window (within
-    the trailing year), with the distinct count."""
-    rep = replicate(entity_ledger(ledger, register, level), asof, with_target=False)
-    d = F.col("POSTDATE")
+    """Entities with at least one transaction in the active window, with the
+    distinct count."""
+    met = asof.meet(entity_ledger(ledger, register, level), "active")
     return (
-        rep.where(in_window(d, "month_start", "feature_end") & in_window(d, "active_start", "active_end")
-                  & F.col("TRANSREFNO").isNotNull())
+        met.where(F.col("TRANSREFNO").isNotNull())
         .groupBy("loop_day", "customer_level")
         .agg(F.count_distinct("TRANSREFNO").alias("UNIQUE_TRANSREFNO_ACTIVE"))
     )
@@ -401,11 +449,8 @@ def target_counts(ledger: DataFrame, asof: AsOf, level: str = "custno",
                   register: DataFrame | None = None) -> DataFrame:
     """Distinct transactions in each day's target window, per entity with
     any line there."""
-    lines = entity_ledger(ledger, register, level)
-    lines = lines.where((F.col("POSTDATE") >= F.lit(asof.first_end)) & (F.col("POSTDATE") <= F.lit(asof.last)))
-    w = asof.broadcast()
-    rep = lines.join(w, in_window(lines["POSTDATE"], w["target_start"], w["target_end"]), "inner")
-    return rep.groupBy("loop_day", "customer_level").agg(
+    met = asof.meet(entity_ledger(ledger, register, level), "target")
+    return met.groupBy("loop_day", "customer_level").agg(
         F.count_distinct("TRANSREFNO").alias("UNIQUE_TRANSREFNO_TARGET"))
 
 
@@ -422,9 +467,8 @@ def churn_labels(ledger: DataFrame, register: DataFrame, asof: AsOf, level: str
 def features_month_long(ledger: DataFrame, asof: AsOf, level: str = "custno",
                         register: DataFrame | None = None, month_mode: str = "calendar") -> DataFrame:
     """Distinct transactions per (day, entity, relative month)."""
-    rep = replicate(entity_ledger(ledger, register, level), asof, with_target=False)
     return (
-        rep.where(in_window("POSTDATE", "month_start", "feature_end"))
+        asof.meet(entity_ledger(ledger, register, level), "month")
         .select("loop_day", "customer_level", "TRANSREFNO",
                 _month_of(month_mode)("POSTDATE", "feature_end").alias("Month_variable"))
         .groupBy("loop_day", "customer_level", "Month_variable")
@@ -434,11 +478,10 @@ def features_month_long(ledger: DataFrame, asof: AsOf, level: str = "custno",
 
 def features_week_long(ledger: DataFrame, asof: AsOf, level: str = "custno",
                        register: DataFrame | None = None, n_weeks: int = N_WEEKS) -> DataFrame:
-    """Distinct transactions per (day, entity, week bucket); lines older than
-    the last bucket are dropped."""
-    rep = replicate(entity_ledger(ledger, register, level), asof, with_target=False)
+    """Distinct transactions per (day, entity, week bucket); the lag window is
+    widened to hold ``n_weeks``, lines older than the last bucket are dropped."""
     return (
-        rep.where(in_window("POSTDATE", "lag_start", "feature_end"))
+        asof.reaching(7 * n_weeks - 1).meet(entity_ledger(ledger, register, level), "lag")
         .select("loop_day", "customer_level", "TRANSREFNO",
                 week_bucket("POSTDATE", "feature_end", n_weeks).alias("Week_variable"))
         .where(F.col("Week_variable").isNotNull())
@@ -448,15 +491,15 @@ def features_week_long(ledger: DataFrame, asof: AsOf, level: str = "custno",
 
 
 def daily_lag_counts(ledger: DataFrame, asof: AsOf, level: str = "custno",
-                     register: DataFrame | None = None) -> DataFrame:
+                     register: DataFrame | None = None, n_lags: int = 0) -> DataFrame:
     """Distinct transactions per (day, entity, lag in days) for lines in
-    ``[lag_start, feature_end)`` — lags run 1..50."""
-    rep = replicate(entity_ledger(ledger, register, level), asof, with_target=False)
-    d = F.col("POSTDATE")
+    ``[lag_start, feature_end)`` — lags run from 1 to the lag window's length,
+    at least ``n_lags``."""
     return (
-        rep.where((d >= F.col("lag_start")) & (d < F.col("feature_end")))
+        asof.reaching(n_lags).meet(entity_ledger(ledger, register, level), "lag")
+        .where(F.col("POSTDATE") < F.col("feature_end"))
         .select("loop_day", "customer_level", "TRANSREFNO",
-                age_days("feature_end", d).cast("int").alias("lag"))
+                age_days("feature_end", "POSTDATE").cast("int").alias("lag"))
         .groupBy("loop_day", "customer_level", "lag")
         .agg(F.count_distinct("TRANSREFNO").alias("UNIQUE_TRANSREFNO"))
     )
@@ -466,7 +509,7 @@ def daily_lag_wide(ledger: DataFrame, asof: AsOf, level: str = "custno",
                    register: DataFrame | None = None, n_lags: int = 50) -> DataFrame:
     """``lag_1..lag_n`` columns (explicit pivot values, no discovery job),
     missing lags 0."""
-    long = daily_lag_counts(ledger, asof, level, register)
+    long = daily_lag_counts(ledger, asof, level, register, n_lags)
     lags = list(range(1, n_lags + 1))
     wide = long.groupBy("loop_day", "customer_level").pivot("lag", lags).agg(F.first("UNIQUE_TRANSREFNO"))
     return wide.select("loop_day", "customer_level",

@@ -76,8 +76,7 @@ def _dynamics(flags: DataFrame, days: DataFrame | None) -> DataFrame:
         F.sum("fn").cast("long").alias("false_negative"),
         F.sum("tn").cast("long").alias("true_negative"),
     )
-    # Both sides hold one row per day: broadcast the aggregate.
-    j = per_day if days is None else days.join(F.broadcast(per_day), "loop_day", "left")
+    j = per_day if days is None else days.join(per_day, "loop_day", "left")
     newly = F.coalesce(F.col("newly"), F.lit(0)).cast("long")
     running = Window.orderBy("loop_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = ["predicted", "true_positives", "false_positive", "false_negative", "true_negative"]
@@ -108,7 +107,8 @@ def set_dynamics(preds: DataFrame, days: DataFrame | None = None) -> DataFrame:
 
 def backtest_metrics(preds: DataFrame, days: DataFrame | None = None, mature_only: bool = False) -> DataFrame:
     """One row per day: recall, precision, accuracy, newly classified,
-    fallen out, total classified and total companies.
+    fallen out, total classified and total companies (0 on a day without
+    predictions, where the ratios are null).
 
     ``mature_only`` keeps rows whose target window is complete (needs the
     ``label_mature`` column, see ``feature_frame(latest=...)``)."""

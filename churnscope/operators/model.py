@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from churnscope.config import CATEGORICAL_INPUTS, EVALUATION_GBT, NUMERIC_INPUTS, WEEK_COLUMNS
+from churnscope.session import materialize
 
 LABEL = "indexedLabel"
 
@@ -54,6 +55,13 @@ def encoder(categorical: Sequence[str] = CATEGORICAL_INPUTS,
     return Pipeline(stages=encoder_stages(categorical, numeric))
 
 
+def numeric_inputs(frame: DataFrame) -> list[str]:
+    """The numeric inputs of a feature frame with any number of weeks."""
+    months = [c for c in NUMERIC_INPUTS if c.startswith("Month_")]
+    weeks = sorted((c for c in frame.columns if c.startswith("Week_")), key=lambda c: int(c[5:]))
+    return [*months, *weeks, "feature_days_customer"]
+
+
 def classifier_pipeline(params: dict | None = None,
                         categorical: Sequence[str] = CATEGORICAL_INPUTS,
                         numeric: Sequence[str] = NUMERIC_INPUTS) -> Pipeline:
@@ -62,28 +70,27 @@ def classifier_pipeline(params: dict | None = None,
     return Pipeline(stages=[*encoder_stages(categorical, numeric), gbt])
 
 
-# Tree learning runs one job per tree level over every input partition, so
-# the input is sized by rows, not by the session's shuffle partitions.
+# Rows of one fit partition, beyond the session's default parallelism.
 ROWS_PER_FIT_PARTITION = 100_000
 
 
 def fit(pipeline: Pipeline, training: DataFrame) -> PipelineModel:
     """Fit on the labelled frame.
 
-    The frame is persisted (spilling to disk, recomputed from lineage if an
-    executor is lost), counted once, and its cached partitions are merged to
-    about ``ROWS_PER_FIT_PARTITION`` rows each (a narrow coalesce, no
-    shuffle) before the encoder and the boosting passes; it is released
-    afterwards.
+    The frame is checkpointed, dealt by entity to the session's default
+    parallelism (more partitions where they would exceed
+    ``ROWS_PER_FIT_PARTITION`` rows), and persisted for the boosting passes
+    (spilling to disk, read again from the checkpoint if an executor is lost);
+    it is released afterwards.
     """
     train = with_label(training) if LABEL not in training.columns else training
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train = materialize(train)
+    parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-train.count() // ROWS_PER_FIT_PARTITION))
+    dealt = train.repartition(parts, "loop_day", "customer_level").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows = train.count()
-        parts = max(1, -(-rows // ROWS_PER_FIT_PARTITION))
-        return pipeline.fit(train.coalesce(parts))
+        return pipeline.fit(dealt)
     finally:
-        train.unpersist()
+        dealt.unpersist()
 
 
 def score(model: PipelineModel, frame: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -101,11 +108,18 @@ def score(model: PipelineModel, frame: DataFrame, keep: Sequence[str] = ()) -> D
     )
 
 
-def model_inputs(model: PipelineModel | Pipeline, frame: DataFrame) -> DataFrame:
-    """Encoded frame with ``features`` as an array (for inspection/export)."""
+def model_inputs(model: PipelineModel | Pipeline, frame: DataFrame, keep_all: bool = False) -> DataFrame:
+    """Encoded frame with ``features`` as an array (for inspection/export).
+
+    ``keep_all``: every column of ``frame``, the index and one-hot columns
+    (vectors as arrays) and ``features``; otherwise the keys and the label.
+    """
     stages = model.stages[:3] if isinstance(model, PipelineModel) else None
     enc = PipelineModel(stages) if stages is not None else model.fit(frame)
     out = enc.transform(frame)
+    if keep_all:
+        vectors = [c for c in out.columns if c == "features" or c.endswith("_vector")]
+        return out.withColumns({c: vector_to_array(c) for c in vectors})
     label = [LABEL] if LABEL in out.columns else (["target_churn"] if "target_churn" in out.columns else [])
     return out.select("loop_day", "customer_level", "total_sales", *label,
                       vector_to_array("features").alias("features"))

@@ -33,7 +33,6 @@ from churnscope.config import (
     CHURN_DAYS,
     EVALUATION_GBT,
     N_WEEKS,
-    PREDICTION_SHIFT_DAYS,
     PRODUCTION_GBT,
     fixture_segments,
 )
@@ -46,16 +45,23 @@ from churnscope.operators import metrics as M
 from churnscope.operators import model as MD
 from churnscope.plans import oracle as O
 from churnscope.plans import pipelines as P
-from churnscope.session import fresh_path
+from churnscope.session import fresh_path, materialize, remove_path
+from churnscope.sources import (
+    normalise_register,
+    qualify,
+    read_call_lists,
+    read_ledger,
+    read_register_snapshot,
+    write_call_lists,
+)
 from churnscope.sources import fixtures as X
-from churnscope.sources import qualify, read_call_lists, write_call_lists
 
 TRAIN_END = X.TRAINING_END
 TRAIN_DAYS = [(0, TRAIN_END)]
 BACKTEST_DAYS = [(i, TRAIN_END + dt.timedelta(days=i + 365)) for i in range(1, BACKTEST_PERIODS)]
 LATEST_SQL = "(select max(POSTDATE) from ledger)"
 PRED_TRAIN_DAYS = [(0, f"{LATEST_SQL} - {CHURN_DAYS}")]
-PRED_SCORE_DAYS = [(0, f"{LATEST_SQL} - {CHURN_DAYS} + {PREDICTION_SHIFT_DAYS}")]
+PRED_SCORE_DAYS = [(0, f"{LATEST_SQL} - {CHURN_DAYS} + {CHURN_DAYS + 1}")]
 
 
 @dataclass
@@ -119,9 +125,14 @@ def _rule_backtest(spark, sf):
     return P.backtest(None, led, reg, days), days
 
 
-def _rule_current(spark, sf):
+def _latest(spark, sf) -> dt.date:
+    """The newest posting, from the newest extract alone."""
+    return A.latest_posting_date(X.newest_extract(spark, sf))
+
+
+def _rule_current(spark, sf, level="custno"):
     led, reg = _inputs(spark, sf)
-    return P.predict_current(led, reg, use_model=False, checkpoint=False), reg
+    return P.predict_current(led, reg, level, use_model=False, checkpoint=False, latest=_latest(spark, sf)), reg
 
 
 # ---------------------------------------------------------------------------
@@ -137,10 +148,10 @@ def frame_cte(name: str, days, level: str = "custno", with_label: bool = True,
     return f"{name} as ({O.feature_frame_sql(days, level, with_label, active_days)})"
 
 
-def rule_sql(frame: str, labelled: bool = True) -> str:
+def rule_sql(frame: str, labelled: bool = True, keep: str = "") -> str:
     quiet = " and ".join(f"Week_{j} = 0" for j in range(1, N_WEEKS + 1))
     label = "cast(target_churn as double) as indexedLabel, " if labelled else ""
-    return (f"select loop_day, customer_level, total_sales, {label}"
+    return (f"select loop_day, customer_level, {keep}total_sales, {label}"
             f"case when {quiet} and UNIQUE_TRANSREFNO_ACTIVE <= 1 then cast(1 as double) "
             f"else cast(0 as double) end as prediction from {frame}")
 
@@ -154,6 +165,11 @@ CUR = (O.with_base() + ", " + frame_cte("tf", PRED_TRAIN_DAYS, active_days=CHURN
          " on r.CUSTNO = p.customer_level)\n")
 
 
+COMPANY = (O.with_base() + ", " + frame_cte("sf", PRED_SCORE_DAYS, "compid", with_label=False, active_days=CHURN_DAYS)
+           + f", preds as ({rule_sql('sf', labelled=False, keep='CUSTNO, ')})"
+           + ", pe as (select p.*, r.* exclude (CUSTNO) from preds p left join register r using (CUSTNO))\n")
+
+
 YEAR = O.with_base(TRAIN_DAYS) + f", yr as ({O.year_rows()})\n"
 LAG_ROWS = (O.with_base(TRAIN_DAYS)
             + ", lg as (select w.loop_day, l.CUSTNO as customer_level, l.TRANSREFNO, "
@@ -299,22 +315,22 @@ def _class_balance(spark, sf):
     return D.class_balance(cur.predictions, cur.training)
 
 
-def _enriched(spark, sf):
-    cur, reg = _rule_current(spark, sf)
-    return C.enrich_predictions(cur.predictions, reg)
+def _enriched(spark, sf, level="custno"):
+    cur, reg = _rule_current(spark, sf, level)
+    return C.enrich_predictions(cur.predictions, reg, level)
 
 
 def _top(spark, sf):
     return C.top_churners(_enriched(spark, sf))
 
 
-def _audit(spark, sf):
-    cur, _ = _rule_current(spark, sf)
-    return C.prediction_audit(MD.rule_score(cur.scoring, keep=C.AUDIT_COLUMNS))
+def _audit(spark, sf, level="custno"):
+    cur, _ = _rule_current(spark, sf, level)
+    return C.prediction_audit(cur.scoring, cur.predictions)
 
 
-def _segments(spark, sf):
-    return C.campaign_segments(_enriched(spark, sf), fixture_segments())
+def _segments(spark, sf, level="custno"):
+    return C.campaign_segments(_enriched(spark, sf, level), fixture_segments())
 
 
 def _segment_counts(spark, sf):
@@ -326,6 +342,45 @@ def _drilldown(spark, sf):
     return C.drilldown(pe, C.largest_churner(pe))
 
 
+def _drilldown_several(spark, sf):
+    pe = _enriched(spark, sf)
+    return C.drilldown(pe, C.top_churners(pe, 3).select("customer_level"))
+
+
+# Two as-of days whose windows follow no common rule.
+FREE_WINDOWS = [
+    {"loop_day": 0, "month_start": dt.date(1998, 12, 1), "lag_start": dt.date(1999, 5, 1), "feature_end": dt.date(1999, 6, 30),
+     "active_start": dt.date(1998, 6, 1), "active_end": dt.date(1999, 5, 31),
+     "target_start": dt.date(1999, 8, 1), "target_end": dt.date(1999, 12, 31)},
+    {"loop_day": 7, "month_start": dt.date(1999, 7, 1), "lag_start": dt.date(1999, 11, 20), "feature_end": dt.date(2000, 3, 31),
+     "active_start": dt.date(1999, 1, 1), "active_end": dt.date(2000, 3, 31),
+     "target_start": dt.date(2000, 4, 1), "target_end": dt.date(2000, 6, 30)},
+]
+
+
+def _free_frame(spark, sf):
+    led, reg = _inputs(spark, sf)
+    return FE.feature_frame(led, reg, A.asof_rows(spark, FREE_WINDOWS))
+
+
+def _frame_from_files(spark, sf):
+    """The training frame through the real readers: raw extracts and a
+    register snapshot of text columns, written to the shared folder and
+    removed once the frame stands."""
+    base = fresh_path(spark, "raw-inputs")
+    paths = []
+    for i, raw in enumerate(X.raw_extracts(spark, sf)):
+        paths.append(f"{base}/tx{i}")
+        raw.write.parquet(paths[-1])
+    reg = X.register(spark, sf)
+    texts = [c for c in ("CUSTNO", "COMPID", "CREDATE", "KILLDATE", "REGION", "DISTRICT", "CUSTCAT")]
+    reg.withColumns({c: F.col(c).cast("string") for c in texts}).write.parquet(f"{base}/register/2022/24")
+    register = normalise_register(read_register_snapshot(spark, f"{base}/register", "2022/24"))
+    frame = materialize(FE.feature_frame(read_ledger(spark, paths, X.HANDOVER), register, _train(spark)))
+    remove_path(spark, base)
+    return frame
+
+
 def _drift_region(spark, sf):
     cur, _ = _rule_current(spark, sf)
     return D.population_shift(cur.training, cur.scoring, ["REGION"])
@@ -341,8 +396,9 @@ def _csv_roundtrip(spark, sf):
     path = fresh_path(spark, "call-lists")
     write_call_lists(seg, path, partition_by="segment")
     schema = T.StructType([f for f in seg.schema.fields])
-    back = read_call_lists(spark, path, schema)
-    return back.select(*seg.columns)
+    back = materialize(read_call_lists(spark, path, schema).select(*seg.columns))
+    remove_path(spark, path)
+    return back
 
 
 def _model_inputs(spark, sf):
@@ -375,42 +431,36 @@ select loop_day, customer_level, cast(slot as integer) as slot, value
 from ({body}) u where value != 0"""
 
 
-# Fitted models shared by the model keys of one session and data folder (the
-# fit is deterministic for given data and settings), so e.g. the importance
-# query does not refit the model the prediction query already fitted.
-_MODELS: dict[tuple, object] = {}
-
-
-def _model(spark, sf, kind: str):
-    key = (spark.sparkContext.applicationId, sf, kind)
-    if key not in _MODELS:
-        led, reg = _inputs(spark, sf)
-        if kind == "production":
-            _MODELS[key] = P.predict_current(led, reg, gbt_params=PRODUCTION_GBT, checkpoint=False).model
-        else:
-            _MODELS[key] = P.evaluate(led, reg, TRAIN_END, gbt_params=EVALUATION_GBT, checkpoint=False).model
-    return _MODELS[key]
+def _current(spark, sf, gbt_params=None):
+    led, reg = _inputs(spark, sf)
+    return P.predict_current(led, reg, gbt_params=gbt_params or PRODUCTION_GBT, latest=_latest(spark, sf))
 
 
-def _current_predictions(spark, sf):
+def _evaluate(spark, sf, gbt_params=None):
     led, reg = _inputs(spark, sf)
-    return P.predict_current(led, reg, checkpoint=False, model=_model(spark, sf, "production")).predictions
+    return P.evaluate(led, reg, TRAIN_END, gbt_params=gbt_params or EVALUATION_GBT)
 
 
-def _feature_importance(spark, sf):
-    led, reg = _inputs(spark, sf)
-    cur = P.predict_current(led, reg, checkpoint=False, model=_model(spark, sf, "production"))
-    return MD.feature_importance(cur.model, cur.training)
+# What of a fitted run does not depend on the trees is compared with SQL, on a quick fit.
+QUICK_GBT = {"maxIter": 2, "maxDepth": 2, "seed": 42}
 
 
-def _backtest_predictions(spark, sf):
-    led, reg = _inputs(spark, sf)
-    return P.evaluate(led, reg, TRAIN_END, checkpoint=False, model=_model(spark, sf, "evaluation")).predictions
+def _importance_slots(spark, sf):
+    cur = _current(spark, sf, QUICK_GBT)
+    return MD.feature_importance(cur.model, cur.training).select("slot", "feature")
 
 
-def _evaluation(spark, sf):
-    led, reg = _inputs(spark, sf)
-    return P.evaluate(led, reg, TRAIN_END, checkpoint=False, model=_model(spark, sf, "evaluation")).metrics
+def _slots_sql() -> str:
+    numeric = [f"Month_{k}" for k in range(1, 12)] + [f"Week_{j}" for j in range(1, 7)] + ["feature_days_customer"]
+    rest = ", ".join(f"({k}, '{c}')" for k, c in enumerate(numeric))
+    return f""", cls as (select CUSTCLASS as v, dense_rank() over (order by CUSTCLASS desc) - 1 as i
+       from (select distinct CUSTCLASS from tf where CUSTCLASS is not null) a),
+reg as (select cast(REGION as varchar) as v, dense_rank() over (order by cast(REGION as varchar) desc) - 1 as i
+        from (select distinct REGION from tf where REGION is not null) b)
+select cast(i as integer) as slot, 'CUSTCLASS_vector_' || v as feature from cls
+union all select cast((select count(*) from cls) + i as integer) as slot, 'REGION_vector_' || v as feature from reg
+union all select cast((select count(*) from cls) + (select count(*) from reg) + k as integer) as slot, c as feature
+from (values {rest}) t(k, c)"""
 
 
 # ---------------------------------------------------------------------------
@@ -426,6 +476,25 @@ def _lags_sql(n: int = 50) -> str:
                      for k in range(1, n + 1))
 
 
+WINDOW_DATES = ("month_start", "lag_start", "feature_end", "active_start", "active_end", "target_start", "target_end")
+
+
+def _asof_sql(churn: int = CHURN_DAYS) -> str:
+    return O.with_base() + f"""
+, latest as (select max(POSTDATE) as latest from ledger),
+steps as (select cast(range as integer) as i from range(0, {BACKTEST_PERIODS + 2})),
+ends as (select i, case when i = 0 then latest - {churn + 30} when i < {BACKTEST_PERIODS} then latest - {churn + 30} + i + {churn}
+                        when i = {BACKTEST_PERIODS} then latest - {churn} else latest + 1 end as e
+         from steps, latest)
+select case when i = 0 then 'evaluation_train' when i < {BACKTEST_PERIODS} then 'backtest'
+            when i = {BACKTEST_PERIODS} then 'prediction_train' else 'prediction_score' end as purpose,
+       case when i < {BACKTEST_PERIODS} then i else 0 end as loop_day,
+       e - 364 as month_start, e - 50 as lag_start, e as feature_end,
+       e - case when i < {BACKTEST_PERIODS} then 90 else {churn} end as active_start, e as active_end,
+       e + 1 as target_start, e + {churn} as target_end
+from ends"""
+
+
 def build_catalog() -> dict[str, Query]:
     q: list[Query] = [
         Query("ledger_scan", _ledger_scan,
@@ -444,22 +513,8 @@ def build_catalog() -> dict[str, Query]:
         Query("ledger_date_range", lambda s, sf: L.date_range(X.ledger(s, sf)),
               O.with_base() + "select min(POSTDATE) as min_date, max(POSTDATE) as max_date from ledger",
               ("min_date", "max_date")),
-        Query("asof_windows", _asof_windows,
-              O.with_base() + f"""
-, latest as (select max(POSTDATE) as latest from ledger),
-steps as (select cast(range as integer) as i from range(0, {BACKTEST_PERIODS + 2})),
-ends as (select i, case when i = 0 then latest - 395 when i < {BACKTEST_PERIODS} then latest - 395 + i + 365
-                        when i = {BACKTEST_PERIODS} then latest - 365 else latest - 365 + 366 end as e
-         from steps, latest)
-select case when i = 0 then 'evaluation_train' when i < {BACKTEST_PERIODS} then 'backtest'
-            when i = {BACKTEST_PERIODS} then 'prediction_train' else 'prediction_score' end as purpose,
-       case when i < {BACKTEST_PERIODS} then i else 0 end as loop_day,
-       e - 364 as month_start, e - 50 as lag_start, e as feature_end,
-       e - case when i < {BACKTEST_PERIODS} then 90 else 365 end as active_start, e as active_end,
-       e + 1 as target_start, e + 365 as target_end
-from ends""",
-              ("month_start", "lag_start", "feature_end", "active_start", "active_end", "target_start",
-               "target_end")),
+        Query("asof_windows", _asof_windows, _asof_sql(), WINDOW_DATES),
+        Query("asof_windows_churn_180", lambda s, sf: L.asof_schedule(X.ledger(s, sf), churn_days=180), _asof_sql(180), WINDOW_DATES),
         Query("features_month_long", lambda s, sf: FE.features_month_long(X.ledger(s, sf), _train(s)),
               YEAR + "select loop_day, customer_level, cast(m as integer) as Month_variable, "
               "count(distinct TRANSREFNO) as UNIQUE_TRANSREFNO from yr group by all"),
@@ -472,6 +527,11 @@ from ends""",
               WEEK_ROWS + "select loop_day, customer_level, " + ", ".join(
                   f"count(distinct case when Week_variable = {j} then TRANSREFNO end) as Week_{j}"
                   for j in range(1, N_WEEKS + 1)) + " from wk group by all"),
+        Query("features_week_12", lambda s, sf: FE.features_week(X.ledger(s, sf), _train(s), n_weeks=12),
+              O.with_base(TRAIN_DAYS) + "select w.loop_day, l.CUSTNO as customer_level, " + ", ".join(
+                  f"count(distinct case when date_diff('day', l.POSTDATE, w.e) between {7 * j - 7} and {7 * j - 1} then TRANSREFNO end) "
+                  f"as Week_{j}" for j in range(1, 13))
+              + " from ledger l join windows w on l.POSTDATE between w.e - 83 and w.e group by all"),
         Query("daily_lag_counts", lambda s, sf: FE.daily_lag_counts(X.ledger(s, sf), _train(s)),
               LAG_ROWS + "select loop_day, customer_level, lag, count(distinct TRANSREFNO) as UNIQUE_TRANSREFNO "
               "from lg group by all"),
@@ -496,6 +556,10 @@ from ends""",
               O.feature_frame_sql(TRAIN_DAYS), FRAME_DATES, ("UNIQUE_TRANSREFNO_TARGET",)),
         Query("features_company_level", lambda s, sf: _frame(s, sf, "compid"),
               O.feature_frame_sql(TRAIN_DAYS, level="compid"), FRAME_DATES, ("UNIQUE_TRANSREFNO_TARGET",)),
+        Query("feature_frame_custom_windows", _free_frame, O.free_frame_sql(FREE_WINDOWS), FRAME_DATES,
+              ("UNIQUE_TRANSREFNO_TARGET",)),
+        Query("feature_frame_from_files", _frame_from_files,
+              O.feature_frame_sql(TRAIN_DAYS), FRAME_DATES, ("UNIQUE_TRANSREFNO_TARGET",)),
         Query("register_newest", lambda s, sf: L.register_newest(X.register(s, sf)),
               O.with_base() + "select * from register order by CREDATE desc, CUSTNO", REG_DATES),
         Query("class_index", _class_index,
@@ -519,7 +583,7 @@ select d.loop_day,
         'true_positives + false_positive + false_negative + true_negative')} as accuracy,
   cast(d.newly_classified as bigint) as newly_classified, cast(d.fallen_out as bigint) as fallen_out,
   cast(d.total_classified as bigint) as total_classified,
-  cast(true_positives + false_positive + false_negative + true_negative as bigint) as total_companies
+  cast(coalesce(true_positives + false_positive + false_negative + true_negative, 0) as bigint) as total_companies
 from dyn d left join cm on cm.loop_day = d.loop_day"""),
         Query("churn_set_dynamics", _dynamics,
               BT_PREDS + ", " + _dynamics_sql() + """
@@ -557,6 +621,18 @@ from tf group by target_churn"""),
               + ", ".join(f"s.Week_{j}" for j in range(1, 7))
               + ", s.feature_days_customer, s.UNIQUE_TRANSREFNO_ACTIVE, s.total_sales, p.prediction "
               "from sf s left join preds p on p.loop_day = s.loop_day and p.customer_level = s.customer_level"),
+        Query("customers_drilldown", _drilldown_several,
+              CUR + "select * from pe where customer_level in (select customer_level from pe where prediction = 1 "
+              "order by total_sales desc, customer_level limit 3)", REG_DATES),
+        Query("company_predictions_enriched", lambda s, sf: _enriched(s, sf, "compid"),
+              COMPANY + "select * from pe", REG_DATES),
+        Query("company_campaign_segments", lambda s, sf: _segments(s, sf, "compid"),
+              COMPANY + _segments_sql("pe"), ("CREDATE",)),
+        Query("company_prediction_audit", lambda s, sf: _audit(s, sf, "compid"),
+              COMPANY + "select s.loop_day, s.customer_level, s.CUSTNO, " + ", ".join(f"s.Month_{k}" for k in range(12)) + ", "
+              + ", ".join(f"s.Week_{j}" for j in range(1, 7))
+              + ", s.feature_days_customer, s.UNIQUE_TRANSREFNO_ACTIVE, s.total_sales, p.prediction from sf s left join preds p "
+              "on p.loop_day = s.loop_day and p.customer_level = s.customer_level and p.CUSTNO = s.CUSTNO"),
         Query("campaign_segments", _segments, CUR + _segments_sql("pe"), ("CREDATE",)),
         Query("segment_counts", _segment_counts,
               CUR + ", seg as (" + _segments_sql("pe") + "), names as (select * from (values "
@@ -572,12 +648,23 @@ left join lab using (CUSTCLASS) group by all"""),
         Query("campaign_csv_roundtrip", _csv_roundtrip, CUR + _segments_sql("pe"), ("CREDATE",)),
         Query("model_input_entries", _model_input_entries,
               O.with_base() + ", " + frame_cte("tf", TRAIN_DAYS) + _entries_sql()),
+        # Of fitted runs: what does not depend on the trees.
+        Query("backtest_prediction_rows", lambda s, sf: _evaluate(s, sf, QUICK_GBT).predictions.select(
+            "loop_day", "customer_level", "total_sales", "indexedLabel"),
+              BT_PREDS + "select loop_day, customer_level, total_sales, indexedLabel from preds"),
+        Query("evaluation_population", lambda s, sf: _evaluate(s, sf, QUICK_GBT).metrics.select("loop_day", "total_companies"),
+              BT_PREDS + "select loop_day, count(*) as total_companies from preds group by loop_day"),
+        Query("current_prediction_rows", lambda s, sf: _current(s, sf, QUICK_GBT).predictions.select(
+            "loop_day", "customer_level", "total_sales"),
+              CUR + "select loop_day, customer_level, total_sales from preds"),
+        Query("feature_importance_slots", _importance_slots,
+              O.with_base() + ", " + frame_cte("tf", PRED_TRAIN_DAYS, active_days=CHURN_DAYS) + _slots_sql()),
         # Model output: rows-only checks.
         Query("model_inputs", _model_inputs),
-        Query("current_predictions", _current_predictions),
-        Query("feature_importance", _feature_importance),
-        Query("backtest_predictions", _backtest_predictions),
-        Query("evaluation_end_to_end", _evaluation),
+        Query("current_predictions", lambda s, sf: _current(s, sf).predictions),
+        Query("feature_importance", lambda s, sf: (lambda cur: MD.feature_importance(cur.model, cur.training))(_current(s, sf))),
+        Query("backtest_predictions", lambda s, sf: _evaluate(s, sf).predictions),
+        Query("evaluation_end_to_end", lambda s, sf: _evaluate(s, sf).metrics),
     ]
     return {x.name: x for x in q}
 

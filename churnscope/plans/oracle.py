@@ -164,5 +164,35 @@ where r.CREDATE <= w.e and (r.KILLDATE > w.e or r.KILLDATE is null) and f.UNIQUE
 """
 
 
+def free_frame_sql(rows: Sequence[dict]) -> str:
+    """The feature frame of as-of rows with seven free dates: every window
+    stands for itself."""
+    names = ["month_start", "lag_start", "feature_end", "active_start", "active_end", "target_start", "target_end"]
+    table = " union all ".join(
+        f"select {r['loop_day']} as loop_day, " + ", ".join(f"{d(r[n])} as {n}" for n in names) for r in rows)
+    months = ", ".join(f"count(distinct case when POSTDATE between month_start and feature_end and m = {k} then TRANSREFNO end) "
+                       f"as Month_{k}" for k in range(N_MONTHS))
+    weeks = ", ".join(f"count(distinct case when POSTDATE between lag_start and feature_end and age between {7 * j - 7} and {7 * j - 1} "
+                      f"then TRANSREFNO end) as Week_{j}" for j in range(1, N_WEEKS + 1))
+    reg_cols = ", ".join(f"r.{c}" for c in REGISTER_COLUMNS)
+    feat_cols = ", ".join(f"f.{c}" for c in MONTHS + WEEKS)
+    return with_base() + f""", windows as ({table}),
+ln as (select w.*, l.CUSTNO as customer_level, l.POSTDATE, l.TRANSREFNO, l.SALES,
+       (month(w.feature_end) - month(l.POSTDATE) + 12) % 12 as m, date_diff('day', l.POSTDATE, w.feature_end) as age
+       from ledger l cross join windows w),
+f as (select loop_day, customer_level, {months}, {weeks},
+      cast(coalesce(sum(case when POSTDATE between month_start and feature_end then SALES end), 0) as double) as total_sales,
+      count(distinct case when POSTDATE between active_start and active_end then TRANSREFNO end) as UNIQUE_TRANSREFNO_ACTIVE,
+      nullif(count(distinct case when POSTDATE between target_start and target_end then TRANSREFNO end), 0) as target
+      from ln group by loop_day, customer_level)
+select cast(f.loop_day as integer) as loop_day, f.customer_level, {reg_cols},
+       case when r.KILLDATE < w.target_end then 1 else 0 end as killed, {feat_cols}, f.total_sales, f.UNIQUE_TRANSREFNO_ACTIVE,
+       f.target as UNIQUE_TRANSREFNO_TARGET, case when f.target is null then 1 else 0 end as target_churn,
+       cast(date_diff('day', r.CREDATE, w.feature_end) + 1 as integer) as feature_days_customer
+from f join windows w using (loop_day) join register r on r.CUSTNO = f.customer_level
+where r.CREDATE <= w.feature_end and (r.KILLDATE > w.feature_end or r.KILLDATE is null) and f.UNIQUE_TRANSREFNO_ACTIVE > 0
+"""
+
+
 def cutoffs_values() -> str:
     return ", ".join(f"({c})" for c in SALES_CUTOFFS)

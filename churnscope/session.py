@@ -81,6 +81,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`fresh_path` named, wherever Spark keeps it."""
+    if not path.startswith(shared_dir(spark).rstrip("/") + "/"):
+        raise ValueError("not a folder of this session's shared folder")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new, unique folder name under :func:`shared_dir`."""
     return shared_dir(spark, f"{label}-{uuid.uuid4().hex[:12]}")

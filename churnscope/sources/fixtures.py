@@ -20,7 +20,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.sources.ledger import ledger_from_extracts
+from churnscope.sources.ledger import ledger_from_extracts, qualify
 
 # Extract slices (start inclusive, end exclusive) and the hand-over date that
 # removes their overlap.
@@ -74,6 +74,11 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_from_extracts(raw_extracts(spark, sf_dir), HANDOVER)
 
 
+def newest_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The qualified lines of the newest extract: it alone holds the newest posting."""
+    return qualify(raw_extracts(spark, sf_dir)[-1])
+
+
 def register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer register snapshot, one row per customer."""
     c = table(spark, sf_dir, "customer")

@@ -74,12 +74,15 @@ def cut(raw: DataFrame, start: dt.date | None = None, end: dt.date | None = None
 def to_ledger(df: DataFrame) -> DataFrame:
     """Project to the ledger columns with fixed types.  ``POSTDATE`` becomes a
     date so closed ranges include their end day even if the source holds
-    timestamps."""
+    timestamps.  ``SALES`` keeps a decimal's scale; other numbers become
+    decimals of 6 places."""
+    sales = df.schema["SALES"].dataType
+    exact = F.col("SALES") if isinstance(sales, T.DecimalType) else F.col("SALES").cast("decimal(28,6)")
     return df.select(
         F.col("CUSTNO").cast("long").alias("CUSTNO"),
         F.col("POSTDATE").cast("date").alias("POSTDATE"),
         F.col("TRANSREFNO").cast("long").alias("TRANSREFNO"),
-        F.col("SALES").cast("decimal(18,2)").alias("SALES"),
+        exact.alias("SALES"),
     )
 
 

@@ -4,6 +4,7 @@ builders run no jobs, broadcast sides are the bounded tables."""
 from __future__ import annotations
 
 import io
+import re
 from contextlib import redirect_stdout
 
 from churnscope.operators import asof as A
@@ -20,16 +21,28 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
-def test_feature_plan_has_no_python_and_three_shuffles(spark, small):
+def test_several_days_plan_has_no_python_and_carries_no_day_into_its_first_shuffle(spark, small):
     led, reg = small
     plan = _plan(FE.feature_frame(led, reg, A.backtest_days(spark, X.TRAINING_END)))
-    for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "Expand"):
+    for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "Expand", "BroadcastNestedLoopJoin"):
         assert node not in plan
-    assert "BroadcastNestedLoopJoin" in plan
-    # Two aggregations and the register side; the aggregated side meets the
-    # register without a second shuffle (same (day, entity) partitioning).
-    assert plan.count("hashpartitioning(loop_day") == 3
-    assert "hashpartitioning(customer_level" not in plan
+    # Transactions and posting dates are combined once, without the days; the
+    # only exchange with a day is the one of (day, entity) sums.
+    assert plan.count("hashpartitioning(customer_level") >= 1
+    assert plan.count("hashpartitioning(loop_day") == 1
+    exchanges = re.findall(r"Arguments: hashpartitioning\((.*?), 8\)", plan)
+    assert any(x.startswith("customer_level") and "kind" in x and "key" in x for x in exchanges)
+
+
+def test_first_shuffle_does_not_grow_with_the_days(spark, small):
+    led, _ = small
+    rows = {}
+    for n in (4, 32):
+        days = A.backtest_days(spark, X.TRAINING_END, periods=n + 1)
+        lines, keys = FE._customer_lines(led, None, "custno")
+        rows[n] = FE.posting_dates(lines, days, keys, True).count()
+    # 28 more days read 28 more days of lines, of some 760
+    assert rows[32] <= 1.1 * rows[4]
 
 
 def test_date_span_reaches_the_parquet_scan(spark, tmp_path):
@@ -60,20 +73,21 @@ def test_builders_run_no_jobs(spark, small):
         sc.setJobGroup("other", "other")
 
 
-def test_broadcast_tables_are_bounded(spark):
+def test_any_number_of_days_and_rules(spark):
     import datetime as dt
 
-    import pytest
-
-    from churnscope.config import MAX_ASOF_DAYS, SegmentRule
+    from churnscope.config import SegmentRule
     from churnscope.operators import campaign as C
 
-    start = dt.date(2000, 1, 1)
-    with pytest.raises(ValueError):
-        A.asof_days(spark, [start + dt.timedelta(days=i) for i in range(MAX_ASOF_DAYS + 1)])
-    with pytest.raises(ValueError):
-        A.backtest_days(spark, start, periods=MAX_ASOF_DAYS + 2)
-    with pytest.raises(ValueError):
-        C.segment_rules(spark, [SegmentRule(str(i), 0.0, 1) for i in range(C.MAX_SEGMENTS + 1)])
-    # Within the bound the table has exactly the requested rows.
-    assert A.backtest_days(spark, start, periods=5).frame.count() == 4
+    assert A.backtest_days(spark, dt.date(2000, 1, 1), periods=6001).frame.count() == 6000
+    assert C.segment_rules(spark, [SegmentRule(str(i), 0.0, 1) for i in range(300)]).count() == 300
+
+
+def test_company_level_shuffles_no_raw_line(spark, small):
+    led, reg = small
+    plan = _plan(FE.feature_frame(led, reg, A.training_day(spark, X.TRAINING_END), "compid"))
+    # lines are combined per customer and transaction below the join that brings the company
+    company = plan.index("_company")
+    assert "partial_bit_or" in plan and company > 0
+    exchanges = re.findall(r"Arguments: hashpartitioning\((.*?), 8\)", plan)
+    assert not any("SALES" in x or "POSTDATE" in x for x in exchanges)
