@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,9 @@ TRAIN_LANES, TRAIN_WINDOW = 64, 16
 SCORE_LANES, SCORE_WINDOW = 256, 32
 BUFFER_TOKENS = 2_000_000      # a task scores or trains on so many tokens at a time
 COUNTED_WORDS = 500_000        # a task's word counts are handed on when they reach so many words
-RATE = 0.15
+RATE, CLIP, PASSAGE = 1.0, 5.0, 512
+PASSES, LEAST_TOKENS = 8, 400_000  # a copy goes over the last documents it has until it has met so many tokens, in so many passes at most
+LIMIT = 4.0                    # of every weight: HIDDEN of them cannot overflow an exponent
 END = b""                      # the end of a text; no word is empty
 # Token numbers of the network: own words by rank, then the tail classes.
 _OWN = CLASSES * CLASS_WORDS
@@ -105,8 +108,17 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
-    """What every task gets of the table of counts: at most ``known`` words, and totals."""
-    top = counts.orderBy(F.col("c").desc(), "word").limit(known).toPandas()
+    """What every task gets of the table of counts: the most frequent words, at most ``known``, and totals."""
+    step = F.floor(F.log2("c") * 8)
+    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(step).count().collect()), reverse=True)  # a few hundred rows
+    least, n = None, 0
+    for size, words in sizes:
+        n += words
+        if n > known:
+            break
+        least = size
+    top = counts.filter(step >= least if least is not None else F.lit(False)).toArrow()
+    top = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
     in_tail = F.pmod(F.crc32(F.substring("word", 1, 3)), F.lit(TAIL_CLASSES)).alias("tail")
     totals = counts.groupBy(in_tail).agg(F.sum("c"), F.count("*")).collect()  # TAIL_CLASSES rows
     tail_tokens, tail_words = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
@@ -115,7 +127,7 @@ def vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
     tokens, words = int(tail_tokens.sum()), int(tail_words.sum())
     listed = {}
     own = np.zeros(_OWN)
-    for number, (word, c) in enumerate(zip(map(bytes, top["word"]), top["c"].tolist(), strict=True)):
+    for number, (c, word) in enumerate(top):
         tail = tail_class(word)
         if number < len(own):
             own[number] = c
@@ -182,40 +194,52 @@ class Network:
         """Natural log probability of each target's class, and of the word in it for own words.
 
         With ``gradients``, the loss's gradients of the output layer are put there, under ``states`` that of the states.
+        Weights are kept within ``LIMIT``, so no exponent overflows.
         """
-        p, rows = self.p, np.arange(len(targets))
+        p, n = self.p, len(targets)
         own = targets < _OWN
         classes = np.where(own, targets // CLASS_WORDS, targets - _OWN + CLASSES)
-        logits = states @ p["classes"] + p["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        weights = np.exp(logits)
-        total = weights.sum(axis=1, keepdims=True)
-        out = (logits[rows, classes] - np.log(total[:, 0])).astype(np.float64)
+        out = np.einsum("ij,ij->i", states, p["classes"].T[classes]).astype(np.float64) + p["class_bias"][classes]
+        back = np.empty_like(states) if gradients is not None else None
         if gradients is not None:
-            error = weights / total
-            error[rows, classes] -= 1
-            gradients["classes"], gradients["class_bias"] = states.T @ error, error.sum(axis=0)
-            back = error @ p["classes"].T
+            gradients["classes"], gradients["class_bias"] = np.zeros_like(p["classes"]), np.zeros_like(p["class_bias"])
             gradients["words"], gradients["word_bias"] = {}, {}
+        ones = np.ones(_ALL_CLASSES, states.dtype)
+        for at in range(0, n, 2048):  # as much as stays in a core's cache
+            some = slice(at, at + 2048)
+            weights = states[some] @ p["classes"]
+            weights += p["class_bias"]
+            np.exp(weights, out=weights)
+            total = weights @ ones
+            out[some] -= np.log(total)
+            if gradients is not None:
+                weights /= total[:, None]
+                weights[np.arange(len(total)), classes[some]] -= 1
+                gradients["classes"] += states[some].T @ weights
+                gradients["class_bias"] += weights.sum(axis=0)
+                back[some] = weights @ p["classes"].T
         at = np.flatnonzero(own)
-        at = at[np.argsort(classes[at], kind="stable")]
-        bounds = np.searchsorted(classes[at], np.arange(CLASSES + 1))
+        at = at[np.argsort(classes[at].astype(np.uint8), kind="stable")]
+        bounds = np.searchsorted(classes[at], np.arange(CLASSES + 1)).tolist()
+        inside, place, found = states[at], targets[at] % CLASS_WORDS, np.empty(len(at))
+        ones, rows = np.ones(CLASS_WORDS, states.dtype), np.arange(len(at))
         for c in range(CLASSES):
-            some = at[bounds[c]:bounds[c + 1]]
-            if not len(some):
+            first, end = bounds[c], bounds[c + 1]
+            if first == end:
                 continue
-            inside = states[some]
-            logits = inside @ p["words"][c] + p["word_bias"][c]
-            logits -= logits.max(axis=1, keepdims=True)
-            weights = np.exp(logits)
-            total = weights.sum(axis=1, keepdims=True)
-            place = np.arange(len(some)), targets[some] % CLASS_WORDS
-            out[some] += logits[place] - np.log(total[:, 0])
+            weights = inside[first:end] @ p["words"][c]
+            weights += p["word_bias"][c]
+            target = rows[:end - first], place[first:end]
+            logits = weights[target]
+            np.exp(weights, out=weights)
+            total = weights @ ones
+            found[first:end] = logits - np.log(total)
             if gradients is not None:
-                error = weights / total
-                error[place] -= 1
-                gradients["words"][c], gradients["word_bias"][c] = inside.T @ error, error.sum(axis=0)
-                back[some] += error @ p["words"][c].T
+                weights /= total[:, None]
+                weights[target] -= 1
+                gradients["words"][c], gradients["word_bias"][c] = inside[first:end].T @ weights, weights.sum(axis=0)
+                back[at[first:end]] += weights @ p["words"][c].T
+        out[at] += found
         if gradients is not None:
             gradients["states"] = back
         return out
@@ -238,14 +262,15 @@ class Network:
         return d_recurrent, d_inputs.reshape(-1, 3 * n)
 
 
-def _lanes(documents: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _lanes(documents: list[np.ndarray], lanes: int, in_order: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents dealt to lanes of near equal length: targets, previous tokens and document numbers (steps, lanes).
 
-    A document's first step has previous token -1; document -1 fills up.
+    A document's first step has previous token -1; document -1 fills up.  The
+    longest are dealt first, or they are dealt as they come.
     """
     load = [(0, lane) for lane in range(lanes)]
     dealt: list[list[int]] = [[] for _ in range(lanes)]
-    for n in sorted(range(len(documents)), key=lambda n: -len(documents[n])):
+    for n in range(len(documents)) if in_order else sorted(range(len(documents)), key=lambda n: -len(documents[n])):
         length, lane = heapq.heappop(load)
         dealt[lane].append(n)
         heapq.heappush(load, (length + len(documents[n]), lane))
@@ -279,40 +304,45 @@ def score_documents(network: Network, documents: list[np.ndarray]) -> np.ndarray
     return totals / np.log(10)
 
 
-def train(network: Network, documents: list[np.ndarray], squares: dict[str, np.ndarray], rate: float = RATE) -> None:
-    """One pass of truncated backpropagation with per-parameter step sizes (sums of squared gradients); in place."""
-    lanes = max(1, min(TRAIN_LANES, len(documents)))
-    targets, previous, number = _lanes(documents, lanes)
-    h, p = np.zeros((lanes, HIDDEN), np.float32), network.p
-
-    def step(name: str, at, gradient: np.ndarray) -> None:
-        squares[name][at] += gradient * gradient
-        p[name][at] -= rate * gradient / np.sqrt(squares[name][at])
+def train(network: Network, documents: list[np.ndarray], rate: float = RATE) -> None:
+    """One pass of truncated backpropagation, in place.
 
+    Documents are cut into passages of ``PASSAGE`` tokens, in a fixed random
+    order, so that no long document is learned alone at the end.  The loss is
+    summed over a window's steps and averaged over the lanes, so lanes that
+    have ended weigh nothing; its gradient is scaled to ``CLIP``.
+    """
+    passages = [d[at:at + PASSAGE] for d in documents for at in range(0, len(d), PASSAGE)]
+    passages = [passages[k] for k in np.random.default_rng(len(passages)).permutation(len(passages))]
+    lanes = max(1, min(TRAIN_LANES, len(passages)))
+    targets, previous, number = _lanes(passages, lanes, in_order=True)
+    h, p = np.zeros((lanes, HIDDEN), np.float32), network.p
     for at in range(0, len(targets), TRAIN_WINDOW):
         before, live = previous[at:at + TRAIN_WINDOW], number[at:at + TRAIN_WINDOW] >= 0
         trace: list = []
-        states = network.run(h, np.maximum(before, 0), before < 0, trace)
         first = before < 0
+        states = network.run(h, np.maximum(before, 0), first, trace)
         h = states[-1]
         gradients: dict = {}
         network.log_probabilities(states[live], targets[at:at + TRAIN_WINDOW][live], gradients)
-        scale = np.float32(1 / max(1, live.sum()))
         back = np.zeros_like(states)
-        back[live] = gradients["states"] * scale
+        back[live] = gradients["states"]
         d_recurrent, d_inputs = network.backward(trace, before, first, back)
+        steps = [("recurrent", ..., d_recurrent), ("classes", ..., gradients["classes"]), ("class_bias", ..., gradients["class_bias"])]
+        for name in ("words", "word_bias"):
+            steps += [(name, c, gradient) for c, gradient in gradients[name].items()]
         fed = np.flatnonzero(~first.reshape(-1) & live.reshape(-1))
         if len(fed):
             tokens = before.reshape(-1)[fed]
             order = np.argsort(tokens, kind="stable")
             rows, starts = np.unique(tokens[order], return_index=True)
-            step("inputs", rows, np.add.reduceat(d_inputs[fed[order]], starts, axis=0))
-        step("recurrent", ..., d_recurrent)
-        step("classes", ..., gradients["classes"] * scale)
-        step("class_bias", ..., gradients["class_bias"] * scale)
-        for c, gradient in gradients["words"].items():
-            step("words", c, gradient * scale)
-            step("word_bias", c, gradients["word_bias"][c] * scale)
+            steps.append(("inputs", rows, np.add.reduceat(d_inputs[fed[order]], starts, axis=0)))
+        norm = np.sqrt(sum(float(np.vdot(gradient, gradient)) for _, _, gradient in steps)) / lanes
+        scale = np.float32(rate / lanes * min(1.0, CLIP / max(norm, 1e-9)))
+        for name, place, gradient in steps:
+            p[name][place] -= scale * gradient
+    for name in ("inputs", "recurrent", "classes", "words"):
+        np.clip(p[name], -LIMIT, LIMIT, out=p[name])
 
 
 def train_network(texts: DataFrame, words: Vocabulary, share: float = TRAIN_SHARE) -> Network:
@@ -323,7 +353,6 @@ def train_network(texts: DataFrame, words: Vocabulary, share: float = TRAIN_SHAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Network.unflat(np.frombuffer(begin, "<f4"))
-        squares = {name: np.full(shape, 1e-6, np.float32) for name, shape in Network.SHAPES.items()}
         documents: list[np.ndarray] = []
         seen = waiting = 0
         for batch in batches:
@@ -332,10 +361,10 @@ def train_network(texts: DataFrame, words: Vocabulary, share: float = TRAIN_SHAR
                 documents.append(np.array(tokens, np.int32))
                 seen, waiting = seen + len(tokens), waiting + len(tokens)
                 if waiting > BUFFER_TOKENS:
-                    train(network, documents, squares)
+                    train(network, documents)
                     documents, waiting = [], 0
-        if documents:
-            train(network, documents, squares)
+        for _ in range(min(PASSES, -(-LEAST_TOKENS // waiting)) if documents else 0):
+            train(network, documents)
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([network.flat()], pa.binary())],
@@ -388,31 +417,32 @@ def score_texts(docs: DataFrame, share: float = TRAIN_SHARE, known: int = KNOWN)
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal rows, waiting
             classes = score_documents(model, documents)
-            made: tuple[list, ...] = ([], [], [], [], [], [], [], [])
-            for (doc_id, held_out, known_tokens, count_log, own_log, rare), of_classes, doc in zip(
-                    pending, classes.tolist(), documents, strict=True):
-                row = first_row + rows
-                rows += 1
-                tails = doc[doc >= _OWN] - _OWN
-                base = count_log - base_log * len(doc)
-                score = of_classes + (count_log - own_log) - float(tail_log[tails].sum())
-                for column, value in zip(made, (row, doc_id, held_out, None, len(doc), known_tokens, base, score), strict=True):
-                    column.append(value)
-                for word, n in rare.items():
-                    for column, value in zip(made, (row, None, None, word, n, None, None, None), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            names = ["row", "doc_id", "held_out", "word", "n", "n_known", "base", "score"]
-            table = pa.table({name: pa.array(c, kind) for name, c, kind in zip(names, made, kinds, strict=True)})
+            numbered = np.arange(first_row + rows, first_row + rows + len(pending))
+            rows += len(pending)
+            lengths = np.array([len(d) for d in documents])
+            known_tokens, count_log, own_log = (np.array([p[k] for p in pending]) for k in (2, 3, 4))
+            tails = np.array([float(tail_log[d[d >= _OWN] - _OWN].sum()) for d in documents])
+            table = {"row": pa.array(numbered), "doc_id": pa.array([p[0] for p in pending], pa.int64()),
+                     "held_out": pa.array([p[1] for p in pending], pa.bool_()), "word": pa.nulls(len(pending), pa.binary()),
+                     "n": pa.array(lengths, pa.int64()), "n_known": pa.array(known_tokens, pa.int64()),
+                     "base": pa.array(count_log - base_log * lengths), "score": pa.array(classes + count_log - own_log - tails)}
+            yield from pa.table(table).to_batches(max_chunksize=100_000)
+            rare = [p[5] for p in pending]
+            total = sum(map(len, rare))
+            if total:
+                nothing = {name: pa.nulls(total, table[name].type) for name in ("doc_id", "held_out", "n_known", "base", "score")}
+                words_in_rows = {"row": pa.array(np.repeat(numbered, [len(r) for r in rare])),
+                                 "word": pa.array([w for r in rare for w in r], pa.binary()),
+                                 "n": pa.array([n for r in rare for n in r.values()], pa.int64())} | nothing
+                yield from pa.table({name: words_in_rows[name] for name in table}).to_batches(max_chunksize=100_000)
             pending.clear()
             documents.clear()
             waiting = 0
-            yield from table.to_batches(max_chunksize=100_000)
 
         for batch in batches:
             for doc_id, held_out, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 split = [*_words(raw), END]
-                places = np.array([place_of.get(w, -1) for w in split], np.int32)
+                places = np.fromiter(map(place_of.get, split, repeat(-1)), np.int32, len(split))
                 ids = np.empty(len(split), np.int32)
                 hit = places >= 0
                 ids[hit] = number_of[places[hit]]
