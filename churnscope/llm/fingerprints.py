@@ -21,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnscope.llm.common import broadcast_if_small, materialize
+
 BITS = 256
 RADIUS = 7
 BUCKET_CHUNK = 1024
+BROADCAST_BLOCKS = 2_000_000  # queries' blocks (some 20 bytes each) up to this many go to every task; more are joined by shuffle
 _LANES = BITS // 64
 # Odd 64-bit mixing constants of the splitmix64 finaliser, and a lane step.
 _MIX_1, _MIX_2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -187,15 +190,19 @@ def count_within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, ch
     ignored).  Equal fingerprints are one candidate with a count.  A bucket is
     held in chunks of about ``chunk`` fingerprints on either side, so a very
     common block is spread over tasks and its pairs are compared in blocks,
-    not emitted.
+    not emitted.  Candidates that share no block with a query are left out
+    before any exchange if the queries' blocks are few enough to go to every
+    task.
     """
     digits = BITS // 4
     edges = [round(k * digits / (radius + 1)) for k in range(radius + 2)]
     tables = F.array(*(F.struct(F.lit(t).alias("t"), F.substring("fingerprint", edges[t] + 1, edges[t + 1] - edges[t]).alias("key"))
                        for t in range(radius + 1)))
 
-    def bucketed(frame: DataFrame, side: str) -> DataFrame:
-        keyed = frame.select("fingerprint", "n", F.explode(tables).alias("k")).select("fingerprint", "n", "k.t", "k.key")
+    def blocks(frame: DataFrame) -> DataFrame:
+        return frame.select("fingerprint", "n", F.explode(tables).alias("k")).select("fingerprint", "n", "k.t", "k.key")
+
+    def bucketed(keyed: DataFrame, side: str) -> DataFrame:
         sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("size"))
         cell = F.pmod(F.xxhash64("fingerprint"), F.ceil(F.col("size") / chunk))
         return (keyed.join(sizes, ["t", "key"]).groupBy("t", "key", cell.alias(f"{side}_cell"))
@@ -203,7 +210,10 @@ def count_within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, ch
 
     classes = prints.filter("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"))
     asked = queries.filter("fingerprint is not null").select("fingerprint", F.lit(1).cast("long").alias("n")).distinct()
-    pairs = bucketed(asked, "q").join(bucketed(classes, "c"), ["t", "key"]).select("t", "q", "c")
+    asked_blocks = materialize(blocks(asked))
+    met = broadcast_if_small(materialize(asked_blocks.select("t", "key").distinct()), BROADCAST_BLOCKS)
+    candidates = blocks(classes).join(met, ["t", "key"], "left_semi")
+    pairs = bucketed(asked_blocks, "q").join(bucketed(candidates, "c"), ["t", "key"]).select("t", "q", "c")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def bits(rows: list[dict]) -> np.ndarray:

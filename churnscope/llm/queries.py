@@ -80,10 +80,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     included, whose fingerprint differs in at most 7 of 256 bits.
     """
     rows = materialize(fingerprints.edited_likeness(documents(spark, sf_dir)))
-    asked = rows.filter("doc_id % 100 = 0").select("doc_id", "fingerprint")
-    near = fingerprints.count_within(rows.select("fingerprint"), asked).withColumnRenamed("fingerprint", "asked")
-    return (rows.withColumn("asked", F.when(F.col("doc_id") % 100 == 0, F.col("fingerprint")))
-            .join(near, "asked", "left").drop("asked"))
+    asked = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
+    near = fingerprints.count_within(rows.select("fingerprint"), rows.filter(asked).select("fingerprint"))
+    return (rows.filter(asked).join(near, "fingerprint", "left").select(*rows.columns, "n_within")
+            .unionByName(rows.filter(~asked).withColumn("n_within", F.lit(None).cast("long"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
