@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from types import ModuleType
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnscope.session import materialize
 
-__all__ = ["broadcast_if_small", "connected_components", "documents", "fold_of", "kept_between_tasks", "materialize", "table"]
+__all__ = ["broadcast_if_small", "connected_components", "documents", "fold_of", "in_slices", "kept_between_tasks", "materialize", "table"]
 
 
 def kept_between_tasks(name: str, make: Callable[[], Any]) -> Any:
@@ -36,6 +37,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def in_slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so few texts are Python objects at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def broadcast_if_small(rows: DataFrame, limit: int) -> DataFrame:
     """``rows``, marked for broadcast if a count shows at most ``limit``; otherwise the join shuffles.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnscope.llm.common import kept_between_tasks
+from churnscope.llm.common import in_slices, kept_between_tasks
 
 CAPACITY = 2048
 CELL_ROWS = 512      # pieces numbered by one window group, until MAX_CELLS groups a length
@@ -51,7 +51,7 @@ class WordTokenizer:
     its full chain for some probes; all other words go through the chain.
     """
 
-    def __init__(self, path: str, known_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, known_words: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on every core
         from tokenizers import Tokenizer
 
@@ -101,7 +101,7 @@ class WordTokenizer:
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = 0,
-                    known_words: int = 1_000_000) -> DataFrame:
+                    known_words: int = 300_000) -> DataFrame:
     """Token ids of each document plus ``separator``, cut into pieces of ``capacity``.
 
     Needs ``doc_id`` and ``text``; other columns are ignored.  Null text is
@@ -117,18 +117,16 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
         end = np.array([separator], dtype="<u4").tobytes()
         step = 4 * capacity
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        for whole in batches:
-            for first in range(0, whole.num_rows, 500):
-                batch = whole.slice(first, 500)
-                rows: tuple[list, ...] = ([], [], [], [], [])
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = tokenizer.text_ids(text) + end
-                    for n, at in enumerate(range(0, len(ids), step)):
-                        part = ids[at:at + step]
-                        for out, value in zip(rows, (doc_id, n, at // 4, len(part) // 4, part), strict=True):
-                            out.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)],
-                                                 names=["doc_id", "piece", "start", "length", "ids"])
+        for batch in in_slices(batches, 500):
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = tokenizer.text_ids(text) + end
+                for n, at in enumerate(range(0, len(ids), step)):
+                    part = ids[at:at + step]
+                    for out, value in zip(rows, (doc_id, n, at // 4, len(part) // 4, part), strict=True):
+                        out.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)],
+                                             names=["doc_id", "piece", "start", "length", "ids"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                          F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.llm.common import fold_of
+from churnscope.llm.common import fold_of, in_slices
 
 DIMENSION = 1 << 18      # half for words, half for shapes
 FIT_ROWS = 6000          # about so many labelled rows are fitted, chosen by a hash of their id
 BROADCAST_ROWS = 2_000_000  # labels up to this many rows (16 bytes each) go to every task; more are joined by shuffle
 C = 0.1
 EPOCHS = 30
+ROWS_AT_ONCE = 500       # texts that a task turns into Python strings at a time
 
 _RUNS = re.compile(r"(\w)\1+|([^\w\s])\2+")
 _HALF = np.uint64(DIMENSION // 2 - 1)
@@ -156,7 +157,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str = "quality") -
             .join(one, "doc_id"))
 
 
-def fit(training: DataFrame, fit_rows: int = FIT_ROWS, known_words: int = 400_000) -> QualityModel:
+def fit(training: DataFrame, fit_rows: int = FIT_ROWS, known_words: int = 200_000) -> QualityModel:
     """Model from ``training`` (doc_id, text, label).
 
     Ratios count every row; about ``fit_rows`` rows, with the smallest id
@@ -167,7 +168,7 @@ def fit(training: DataFrame, fit_rows: int = FIT_ROWS, known_words: int = 400_00
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flags = {}, np.zeros(DIMENSION, bool)
         seen, n = np.zeros((2, DIMENSION), np.int64), np.zeros(2, np.int64)
-        for batch in batches:
+        for batch in in_slices(batches, ROWS_AT_ONCE):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if len(known) > known_words:
                     known.clear()
@@ -222,7 +223,7 @@ def fit(training: DataFrame, fit_rows: int = FIT_ROWS, known_words: int = 400_00
     return QualityModel(ratios, np.frombuffer(made["weights"], "<f4"), made["bias"], made["slope"], made["offset"])
 
 
-def score(docs: DataFrame, model: QualityModel, known_words: int = 400_000) -> DataFrame:
+def score(docs: DataFrame, model: QualityModel, known_words: int = 200_000) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs`` (null text is empty).
 
     ``held_out``: crc32 of the id as text, mod 3, is 1 (the fold that gives no labels).
@@ -230,7 +231,7 @@ def score(docs: DataFrame, model: QualityModel, known_words: int = 400_000) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flags = {}, np.zeros(DIMENSION, bool)
-        for batch in batches:
+        for batch in in_slices(batches, ROWS_AT_ONCE):
             scores = []
             for text in batch.column(2).to_pylist():
                 if len(known) > known_words:
@@ -245,23 +246,22 @@ def score(docs: DataFrame, model: QualityModel, known_words: int = 400_000) -> D
         run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def accept(docs: DataFrame, model: QualityModel, known_words: int = 400_000) -> DataFrame:
+def accept(docs: DataFrame, model: QualityModel, known_words: int = 200_000) -> DataFrame:
     """The rows of ``docs`` that the model accepts (score of at least 0.5), with all their columns.
 
     The text is scored where it stands: no join, no shuffle.
     """
-    import pandas as pd
-
-    @F.pandas_udf("boolean")
-    def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def accepted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, flags = {}, np.zeros(DIMENSION, bool)
         for texts in batches:
             kept = []
-            for text in texts:
-                if len(known) > known_words:
-                    known.clear()
-                kept.append(model.probability(text_features(text, known, flags)) >= 0.5)
-            yield pd.Series(kept, dtype=bool)
+            for first in range(0, len(texts), ROWS_AT_ONCE):
+                for text in texts.slice(first, ROWS_AT_ONCE).to_pylist():
+                    if len(known) > known_words:
+                        known.clear()
+                    kept.append(model.probability(text_features(text, known, flags)) >= 0.5)
+            yield pa.array(kept, pa.bool_())
 
     return docs.filter(accepted(F.coalesce(F.col("text"), F.lit(""))))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.llm.common import broadcast_if_small, connected_components, materialize
+from churnscope.llm.common import broadcast_if_small, connected_components, in_slices, materialize
 
 SHINGLE = 3
 RADIUS = 2
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> Data
     """``doc_id, fp``: fp is the 64 bits as a signed long.  Null text counts as empty (0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 500):
             prints = np.array([shingle_fingerprint(t, size, seed) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
