@@ -52,15 +52,19 @@ def enrich_predictions(preds: DataFrame, register: DataFrame, level: str = "cust
     """Predictions with every register column (left join on the customer
     number: ``customer_level`` itself, or at company level the ``CUSTNO`` that
     the predictions carry, so there is one row per prediction)."""
-    if level_column(level) != "CUSTNO":
-        return _by_customer(preds, register)
+    key = level_column(level)
+    if key != "CUSTNO":
+        return _by_customer(preds, register.drop(key))  # the key is customer_level
     return preds.join(register.withColumnRenamed("CUSTNO", "customer_level"), "customer_level", "left")
 
 
 def campaign_view(enriched: DataFrame, columns: Sequence[str] = CAMPAIGN_COLUMNS) -> DataFrame:
     """The call-list projection; contact columns the register lacks are null
-    text."""
+    text.  At company level (predictions with ``CUSTNO``) the company id is
+    ``customer_level``."""
     have = {c.upper(): c for c in enriched.columns}
+    if "CUSTNO" in have:
+        have.setdefault("COMPID", "customer_level")
     return enriched.select(*[
         F.col(have[c.upper()]).alias(c) if c.upper() in have else F.lit(None).cast("string").alias(c)
         for c in columns

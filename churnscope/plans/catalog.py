@@ -625,7 +625,7 @@ from tf group by target_churn"""),
               CUR + "select * from pe where customer_level in (select customer_level from pe where prediction = 1 "
               "order by total_sales desc, customer_level limit 3)", REG_DATES),
         Query("company_predictions_enriched", lambda s, sf: _enriched(s, sf, "compid"),
-              COMPANY + "select * from pe", REG_DATES),
+              COMPANY + "select * exclude (COMPID) from pe", REG_DATES),
         Query("company_campaign_segments", lambda s, sf: _segments(s, sf, "compid"),
               COMPANY + _segments_sql("pe"), ("CREDATE",)),
         Query("company_prediction_audit", lambda s, sf: _audit(s, sf, "compid"),
