@@ -9,10 +9,11 @@ alone:
 2. each round sorts the suffixes by twice as many lines: pairs (own rank, rank
    2^k lines on) are ranked among those that share the first; suffixes that
    are unique already, or sorted as deep as a run needs, are left out;
-3. a suffix that reaches ``min_words`` in its first L lines belongs to the
-   longest-common-prefix interval of depth L: neighbours in the suffix array
-   share it if two overlapping power-of-two prefixes that cover L lines have
-   equal ranks;
+3. asked are the shortest run of ``min_words`` from each line and the shortest
+   one up to each line: every line of a longer repeated run is in one of those
+   that lie inside it.  A run of L lines belongs to the longest-common-prefix
+   interval of depth L at its first line: suffixes share it if two overlapping
+   power-of-two prefixes that cover L lines have equal ranks;
 4. in every interval the first place, by (doc_id, text, line), is the first
    copy; the L lines at all other places go.  Adjoining ones merge into
    maximal runs.
@@ -61,11 +62,13 @@ def _base(docs: DataFrame) -> DataFrame:
 
 def _places(docs: DataFrame, min_words: int) -> DataFrame:
     """Places of repeated lines: ``doc_id, key, pos``, unbroken sequence ``seg``, line rank ``r``, its places ``n``,
-    ``upto`` and ``want``.
+    ``upto``, ``since`` and ``want``.
 
     ``upto`` is the last line of the shortest run from here that has
-    ``min_words`` words, null if the sequence ends before; ``want`` the lines
-    of the longest such run in the sequence, 0 if there is none.
+    ``min_words`` words, null if the sequence ends before; ``since`` the first
+    line of the shortest such run that ends here, null if there is none or it
+    is the shortest from its first line too; ``want`` the lines of the longest
+    of these runs in the sequence, 0 if there is none.
     """
     line = F.col("line")
     words = F.size(F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), ""))
@@ -84,13 +87,20 @@ def _places(docs: DataFrame, min_words: int) -> DataFrame:
     segments = once.withColumn("seg", F.col("pos") - F.row_number().over(by_doc))
     in_seg = Window.partitionBy("doc_id", "key", "seg")
     summed = segments.withColumn("total", F.sum("words").over(in_seg.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    # a line stands at its total, a question at the total it has to reach; scanned from the top, the least line so far answers
-    asked = summed.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_line")).withColumn(
-        "at", F.when(F.col("is_line"), F.col("total")).otherwise(F.col("total") - F.col("words") + min_words))
-    down = in_seg.orderBy(F.col("at").desc(), F.col("is_line").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    answered = (asked.withColumn("upto", F.min(F.when(F.col("is_line"), F.col("pos"))).over(down))
-                .filter(~F.col("is_line")).select(*_PLACE, "seg", "r", "n", "upto"))
-    return answered.withColumn("want", F.coalesce(F.max(F.col("upto") - F.col("pos") + 1).over(in_seg), F.lit(0)))
+    # a line's end stands at its total, its start at the total that a run from there has to reach: scanned from the top,
+    # the least end so far answers a start; scanned from the bottom, the last start so far answers an end
+    edges = summed.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_end")).withColumn(
+        "at", F.when(F.col("is_end"), F.col("total")).otherwise(F.col("total") - F.col("words") + min_words))
+    down = in_seg.orderBy(F.col("at").desc(), F.col("is_end").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    up = in_seg.orderBy("at", "is_end").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.max(F.when(~F.col("is_end"), F.struct("pos", "at"))).over(up)
+    # "at" of a start is min_words above the words before it: without its last line, the run still reaches min_words
+    longer = F.col("total") - F.col("words") >= F.col("start.at")
+    answered = (edges.withColumn("upto", F.when(~F.col("is_end"), F.min(F.when(F.col("is_end"), F.col("pos"))).over(down)))
+                .withColumn("start", start).withColumn("since", F.when(F.col("is_end") & longer, F.col("start.pos")))
+                .groupBy(*_PLACE, "seg", "r", "n").agg(F.max("upto").alias("upto"), F.max("since").alias("since")))
+    lines_asked = F.greatest(F.col("upto") - F.col("pos") + 1, F.col("pos") - F.col("since") + 1)
+    return answered.withColumn("want", F.coalesce(F.max(lines_asked).over(in_seg), F.lit(0)))
 
 
 def _refined(open_: DataFrame, biggest: int, width: int) -> DataFrame:
@@ -115,7 +125,7 @@ def _refined(open_: DataFrame, biggest: int, width: int) -> DataFrame:
 def suffix_array(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Ranks of the suffixes that start at repeated lines, sorted as deep as a run of ``min_words`` needs.
 
-    ``doc_id, key, pos, seg, upto, want, r, n, levels``: ``levels[k]`` is the
+    ``doc_id, key, pos, seg, upto, since, want, r, n, levels``: ``levels[k]`` is the
     rank by the first 2^k lines, ``r`` the last of them, ``n`` the suffixes that
     share it.  Sequences whose runs are sorted to their depth leave the rounds.
     """
@@ -138,41 +148,32 @@ def suffix_array(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         k += 1
 
 
-def _intervals(headed: DataFrame) -> DataFrame:
-    """``r, place, interval``: suffixes of one rank, their first place, and the longest-common-prefix interval they are in.
-
-    Neighbours in the suffix array are in one interval if their prefixes are
-    equal; intervals are numbered along the array, cell by cell.
-    """
-    suffixes = headed.groupBy("r").agg(F.min(F.struct(*_PLACE)).alias("place"), F.min(F.struct("depth", "head", "tail")).alias("prefix"))
-    celled = materialize(suffixes.withColumn("cell", F.floor(F.col("r") / max(CELL, -(-headed.count() // MAX_CELLS)))))
-    # the first of a cell looks back at the last of the cell before
-    last = celled.groupBy("cell").agg(F.max_by("prefix", "r").alias("last"))
-    back = last.select("cell", F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("cell")).alias("back"))
-    previous = F.coalesce(F.lag("prefix").over(Window.partitionBy("cell").orderBy("r")), F.col("back"))
-    opens = (celled.join(back, "cell").withColumn("previous", previous)
-             .withColumn("opens", F.when(F.col("prefix").eqNullSafe(F.col("previous")), 0).otherwise(1)))
-    numbered = _count_before(materialize(opens.select("r", "place", "cell", "opens")), [], F.col("cell"), ["r"], "opens")
-    return numbered.select("r", "place", (F.col("before") + F.col("opens")).alias("interval"))
+def _looked_up(runs: DataFrame, array: DataFrame, at: str, name: str) -> DataFrame:
+    """``runs`` with ``name``: the rank by 2^k lines of the suffix at line ``at`` of the run's document."""
+    ranks = array.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("pos").alias("_pos"), "levels")
+    here = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")) & (F.col(at) == F.col("_pos"))
+    return runs.join(ranks, here).withColumn(name, F.element_at("levels", F.col("k") + 1)).drop("_doc", "_key", "_pos", "levels")
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, key, start, end, first_doc``: lines start to end are a later copy; ``first_doc`` holds the first."""
     array = suffix_array(docs, min_words)
-    heads = (array.filter("upto is not null").withColumn("depth", F.col("upto") - F.col("pos") + 1)
-             .withColumn("k", F.floor(F.log2(F.col("depth").cast("double"))).cast("int"))
-             .withColumn("head", F.element_at("levels", F.col("k") + 1))
-             .withColumn("tail_pos", F.col("upto") + 1 - F.pow(F.lit(2), F.col("k")).cast("int"))
-             .select(*_PLACE, "upto", "r", "depth", "k", "head", "tail_pos"))
-    tails = array.select(F.col("doc_id").alias("t_doc"), F.col("key").alias("t_key"), F.col("pos").alias("t_pos"), "levels")
-    found = heads.join(tails, F.col("doc_id").eqNullSafe(F.col("t_doc")) & (F.col("key") == F.col("t_key"))
-                       & (F.col("tail_pos") == F.col("t_pos")))
-    headed = materialize(found.select(*_PLACE, "upto", "r", "depth", "head", F.element_at("levels", F.col("k") + 1).alias("tail")))
-    intervals = materialize(_intervals(headed))
-    firsts = intervals.groupBy("interval").agg(F.min("place").alias("first"))
-    of_rank = intervals.join(firsts, "interval").select("r", "first")
-    copies = (headed.join(of_rank, "r").filter(~F.struct(*_PLACE).eqNullSafe(F.col("first")))
-              .select("doc_id", "key", "pos", "upto", F.col("first.doc_id").alias("first_doc")))
+
+    def asked(start: str, end: str, *more: str) -> DataFrame:
+        runs = array.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).select(
+            "doc_id", "key", F.col(start).alias("pos"), F.col(end).alias("upto"), *more)
+        return (runs.withColumn("depth", F.col("upto") - F.col("pos") + 1)
+                .withColumn("k", F.floor(F.log2(F.col("depth").cast("double"))).cast("int"))
+                .withColumn("tail_pos", F.col("upto") + 1 - F.pow(F.lit(2), F.col("k")).cast("int")))
+
+    own = asked("pos", "upto", "levels").withColumn("head", F.element_at("levels", F.col("k") + 1)).drop("levels")
+    heads = own.unionByName(_looked_up(asked("since", "pos"), array, "pos", "head"))
+    headed = materialize(_looked_up(heads, array, "tail_pos", "tail").select(*_PLACE, "upto", "depth", "head", "tail"))
+    # depth and both ranks name the longest-common-prefix interval
+    interval = ["depth", "head", "tail"]
+    firsts = headed.groupBy(*interval).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("places")).filter("places > 1")
+    copies = (headed.join(firsts.drop("places"), interval).filter(~F.struct(*_PLACE).eqNullSafe(F.col("first")))
+              .groupBy(*_PLACE).agg(F.max("upto").alias("upto"), F.max_by("first.doc_id", "upto").alias("first_doc")))
     by_doc = Window.partitionBy("doc_id", "key").orderBy("pos")
     reached = F.max("upto").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col("pos") <= reached + 1, 0).otherwise(1)

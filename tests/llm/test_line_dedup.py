@@ -108,3 +108,42 @@ def test_columns_stay_and_emptied_documents_go(spark):
 def test_no_documents(spark):
     assert line_dedup.dedup_lines(helpers.no_documents(spark)).collect() == []
     assert line_dedup.without_copies(helpers.no_documents(spark)).collect() == []
+
+
+def every_run(rows: list[tuple[int, str | None]], min_words: int) -> dict:
+    """All runs of at least min_words words at every place, however long, first place kept."""
+    lines = {(i, t): t.split("\n") for i, t in rows if t is not None}
+    seen, left = set(), {}
+    for key in sorted(lines, key=lambda k: (k[0] is not None, k[0] or 0)):
+        own, deleted = lines[key], set()
+        for start in range(len(own)):
+            words = 0
+            for end in range(start, len(own)):
+                words += len(own[end].split())
+                run = tuple(own[start:end + 1])
+                if words >= min_words and run in seen:
+                    deleted |= set(range(start, end + 1))
+                elif words >= min_words:
+                    seen.add(run)
+        left[key] = "\n".join(x for n, x in enumerate(own) if n not in deleted)
+    return left
+
+
+def test_last_lines_of_a_repeated_run_go_too(spark):
+    passage = "\n".join(" ".join(f"w{k}x{n}" for n in range(words)) for k, words in enumerate((60, 20, 15)))
+    rows = [(1, passage), (2, f"own line\n{passage}\nanother own line"), (3, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: passage, 2: "own line\nanother own line", 3: ""}
+    assert {r.doc_id for r in line_dedup.without_copies(docs).collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("min_words", [1, 6, 13])
+def test_every_run_against_brute_force(spark, min_words):
+    rng = random.Random(13)
+    pool = ["", "a", "b b", "c c c", "d d d d", "common line here"]
+    rows = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {k} {n}" for n in range(rng.randint(1, 25)))) for k in range(80)]
+    rows += [(200 + k, rows[k][1]) for k in range(10)] + [(300 + k, "same\nsame\nsame\nsame\nsame") for k in range(3)]
+    want = every_run(rows, min_words)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(i, text) for (i, _), text in want.items()}
