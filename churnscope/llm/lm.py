@@ -36,7 +36,6 @@ CLASS_WORDS = 64
 CLASSES = 64                   # the model's own words: CLASSES * CLASS_WORDS
 TAIL_CLASSES = 32
 KNOWN = 262_144                # words whose counts every task has (bounded: about 20 MB)
-TRAIN_SHARE = 0.2              # share of the training documents that the network sees, by a hash of their id
 TRAIN_LANES, TRAIN_WINDOW = 64, 16
 SCORE_LANES, SCORE_WINDOW = 256, 32
 BUFFER_TOKENS = 2_000_000      # a task scores or trains on so many tokens at a time
@@ -345,7 +344,7 @@ def train(network: Network, documents: list[np.ndarray], rate: float = RATE) ->
         np.clip(p[name], -LIMIT, LIMIT, out=p[name])
 
 
-def train_network(texts: DataFrame, words: Vocabulary, share: float = TRAIN_SHARE) -> Network:
+def train_network(texts: DataFrame, words: Vocabulary) -> Network:
     """The average of copies trained on each partition's share of ``texts`` (``doc_id, raw``), weighed by tokens."""
     start = Network.start(words.own_counts, words.tail_tokens)
     numbers = {word: number for word, (number, _) in words.known.items()}
@@ -377,16 +376,15 @@ def train_network(texts: DataFrame, words: Vocabulary, share: float = TRAIN_SHAR
         return pa.table({"copy": pa.array([listed[0][0] // 16], pa.int64()), "tokens": pa.array([total], pa.float64()),
                          "flat": pa.array([mean.astype("<f4").tobytes()], pa.binary())})
 
-    chosen = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     schema = "copy long, tokens double, flat binary"
-    copies = materialize(chosen.select("raw").mapInArrow(run, schema))
+    copies = materialize(texts.select("raw").mapInArrow(run, schema))
     while copies.count() > 1:  # groups of at most 16 copies, level by level
         copies = materialize(copies.groupBy(F.floor(F.col("copy") / 16)).applyInArrow(averaged, schema))
     made = copies.first()
     return Network.unflat(np.frombuffer(made["flat"], "<f4")) if made else start
 
 
-def score_texts(docs: DataFrame, share: float = TRAIN_SHARE, known: int = KNOWN) -> DataFrame:
+def score_texts(docs: DataFrame, known: int = KNOWN) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
 
     Null text is empty (its end alone).  Rows with a null id are in the fold of
@@ -398,7 +396,7 @@ def score_texts(docs: DataFrame, share: float = TRAIN_SHARE, known: int = KNOWN)
     learned = texts.filter(~F.col("held_out"))
     counts = materialize(count_words(learned))
     words = vocabulary(counts, known)
-    network = train_network(learned, words, share)
+    network = train_network(learned, words)
     flat = network.flat()
     place_of = {w: k for k, w in enumerate(words.known)}
     number_of = np.array([n for n, _ in words.known.values()], np.int32)

@@ -117,3 +117,13 @@ def test_no_documents_and_no_training_documents(spark):
     only_held = [r for r in helpers.awkward_rows() if held(r[0])]
     got = lm.score_texts(helpers.documents(spark, only_held)).collect()
     assert len(got) == len(only_held) and all(abs(r.base_score) < 1e-9 and r.n_known == 0 and r.train_tokens == 0 for r in got)
+
+
+def test_the_network_learns_from_every_training_document(spark):
+    rows = [(k, f"own{k} text of {k}") for k in range(40) if not held(k)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "cast(text as binary) raw").coalesce(1)
+    words = lm.vocabulary(lm.count_words(texts))
+    start = lm.Network.start(words.own_counts, words.tail_tokens)
+    learned = lm.train_network(texts, words)
+    fed = [words.known[f"own{k}".encode()][0] for k, _ in rows]
+    assert all((learned.p["inputs"][n] != start.p["inputs"][n]).any() for n in fed)
