@@ -147,3 +147,21 @@ def test_every_run_against_brute_force(spark, min_words):
     want = every_run(rows, min_words)
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words).collect()
     assert {(r.doc_id, r.text) for r in got} == {(i, text) for (i, _), text in want.items()}
+
+
+def test_windows_over_all_rows_meet_few_cells(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CELL", 3)
+    monkeypatch.setattr(line_dedup, "MAX_CELLS", 4)
+    cells, count_before = [], line_dedup._count_before
+
+    def counted(rows, group, cell, order, value):
+        if not group:
+            cells.append(rows.select(cell.alias("cell")).distinct().count())
+        return count_before(rows, group, cell, order, value)
+
+    monkeypatch.setattr(line_dedup, "_count_before", counted)
+    short = "\n".join(f"short {k}\nown {{0}} {k}" for k in range(60))
+    runs = "\n".join(f"own {{0}} run {n}\n" + " ".join(f"w{n}x{k}" for k in range(50)) for n in range(10))
+    rows = [(i, f"{short}\n{runs}".replace("{0}", str(i))) for i in (1, 2)]
+    assert line_dedup.later_copies(spark.createDataFrame(rows, "doc_id long, text string")).count() == 10
+    assert cells and max(cells) <= line_dedup.MAX_CELLS
