@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import ann, chat, fingerprints, line_dedup, lm, mixing, packing, quality, sharding, simhash_dedup
+from churnscope.llm import ann, chat, decontamination, fingerprints, line_dedup, lm, mixing, packing, quality, sharding, simhash_dedup
 from churnscope.llm.common import documents, materialize, table
 
 
@@ -86,6 +86,14 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(rows.filter(~asked).withColumn("n_within", F.lit(None).cast("long"))))
 
 
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in runs of ten words of a benchmark item, and which items those are."""
+    rows = decontamination.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256)
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"),
+                       (F.col("n_hit") > 0).alias("contaminated"), "n_near")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -97,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_line_dedup": op9_line_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
 #: The others: search, learning or hashing that SQL cannot express; tests hold them against brute force.
