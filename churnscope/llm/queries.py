@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import ann, chat, decontamination, fingerprints, line_dedup, lm, mixing, packing, quality, sharding, simhash_dedup
+from churnscope.llm import alignment, ann, chat, decontamination, fingerprints, line_dedup, lm, mixing, packing, quality, sharding, simhash_dedup
 from churnscope.llm.common import documents, materialize, table
 
 
@@ -86,6 +86,15 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(rows.filter(~asked).withColumn("n_within", F.lit(None).cast("long"))))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two vocabularies, their groups of equal bytes and how common the links are."""
+    import public_tokenizers
+
+    rows, _ = alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                              public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    return rows
+
+
 def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in runs of ten words of a benchmark item, and which items those are."""
     rows = decontamination.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -105,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_line_dedup": op9_line_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
