@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import alignment, ann, chat, decontamination, fingerprints, line_dedup, lm, mixing, packing, quality, sharding, simhash_dedup
+from churnscope.llm import alignment, ann, chat, collocations, decontamination, fingerprints, line_dedup, lm, mixing, packing, quality, sharding, simhash_dedup
 from churnscope.llm.common import documents, materialize, table
 
 
@@ -95,6 +95,11 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two to four words of each language, by how firmly their parts hold together."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in runs of ten words of a benchmark item, and which items those are."""
     rows = decontamination.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
@@ -123,4 +129,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_mixing_sources": mixing.oracle_sql(),
     "op8_chat_formatting": chat.oracle_sql(),
     "op9_line_dedup": line_dedup.oracle_sql(),
+    "op12_phrase_collocations": collocations.oracle_sql(),
 }
