@@ -315,12 +315,12 @@ def oracle_sql(least: int = LEAST, longest: int = LONGEST, top: int = TOP, table
     """The same in DuckDB SQL, every n-gram written out."""
     return f"""
 with w as (
-  select lang, piece, list_transform(regexp_extract_all(p, '[^\\x20\\x09]+'), x -> x) as ws from (
+  select lang, piece, regexp_extract_all(p, '[^\\x20\\x09]+') as ws from (
     select coalesce(lang, 'und') as lang, row_number() over () as piece,
            unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                      '[.,;:!?\\x0A-\\x0D]')) as p from {table})),
 n as (select lang, sum(len(ws))::bigint as n from w group by 1),
-g as (select lang, m, unnest(list_transform(range(1, len(ws) - m + 2), i -> array_to_string(ws[i:i + m - 1], ' '))) as phrase
+g as (select lang, m, unnest([array_to_string(ws[i:i + m - 1], ' ') for i in range(1, len(ws) - m + 2)]) as phrase
       from w, range(1, {longest} + 1) t(m)),
 f as (select lang, m, phrase, count(*)::bigint as a from g group by 1, 2, 3 having count(*) >= {least}),
 c as (select lang, phrase, a, m, string_split(phrase, ' ') as ws from f where m > 1),
