@@ -34,11 +34,11 @@ LEAST = 30                  # occurrences of a phrase at least
 TOP = 2000                  # phrases reported per language
 CONTAINED = (80, 100)       # a phrase goes if a longer one around it has this share of its occurrences
 SCALE = 2_000_000
-SLICE_WORDS = 1_000_000     # words whose n-grams are counted together before they are dealt out
+SLICE_WORDS = 500_000       # words whose n-grams are counted together before they are dealt out
 CHUNK_BYTES = 1 << 22       # longer texts are cut into words part by part
-PARTITION_BYTES = 24 << 20  # text whose n-grams make up one hash partition, on average
+PARTITION_BYTES = 12 << 20  # text whose n-grams make up one hash partition, on average
 SLACK = 4                   # capacity, as a multiple of the least that keeps every frequent n-gram
-MERGE_KEYS = 2_000_000      # keys that a summary takes in at a time
+MERGE_KEYS = 1_000_000      # keys that a summary takes in at a time
 BROADCAST_KEYS = 4_000_000  # survivors (8 bytes each) up to this many go to every task; more are joined by shuffle
 SPREAD = 64
 
