@@ -229,10 +229,12 @@ def prediction_days(spark: SparkSession, latest_posting: dt.date, churn_days: in
 
     Training ends ``churn_days`` before the newest posting, so its target
     window of as many days is complete, and counts every customer with a
-    purchase in the trailing ``churn_days`` (within the trailing year) as
-    active; scoring shifts all dates by ``shift_days`` (``churn_days + 1``).
+    purchase in the trailing ``churn_days`` as active; scoring shifts all
+    dates by ``shift_days`` (``churn_days + 1``).  At the usual 365 days
+    activity is counted among the trailing year's lines (364 days back), as in
+    the analysed workload; longer windows stand for themselves.
     """
-    windows = Windows(active_days=churn_days, churn_days=churn_days, active_in_year=True)
+    windows = Windows(active_days=churn_days, churn_days=churn_days, active_in_year=churn_days <= CHURN_DAYS)
     shift_days = churn_days + 1 if shift_days is None else shift_days
     train_end = latest_posting - dt.timedelta(days=churn_days)
     train = asof_days(spark, [train_end], [0], windows=windows)

@@ -16,10 +16,10 @@ joined to the customers live on that day.
 Plan shape (``strategy="flags"``), several days::
 
     ledger scan (date span pushed down)
-      -> per (entity, transaction): its posting dates, and
+      -> per (entity, transaction): its posting dates as bits of a few longs,
          per (entity, posting date): sum of sales     [partial agg, shuffle 1]
-      -> equi-join with the as-of table on 32-day buckets: each date meets the
-         days whose windows contain it (no shuffle)
+      -> equi-join of the longs with the days' masks: a month, week, active or
+         target flag is set where dates and mask share a bit (no shuffle)
       -> per (day, entity, transaction): bit_or of packed longs (month, week,
          active, target bits)            [same partitioning: no shuffle]
       -> per (day, entity): sums of bits              [partial agg, shuffle 2]
@@ -41,6 +41,7 @@ bucket for it, so it serves as the cross-check and the bench's comparison.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,8 @@ from churnscope.functions.dates import (
     rolling_month,
     week_bucket,
 )
-from churnscope.operators.asof import AsOf
+from churnscope.operators.asof import RANGES, AsOf
+from churnscope.sources.register import unique_keys
 
 LEVELS = {"custno": "CUSTNO", "compid": "COMPID"}
 
@@ -72,13 +74,12 @@ def level_column(level: str) -> str:
 def enrich_ledger(ledger: DataFrame, register: DataFrame) -> DataFrame:
     """Attach the company id of each line's customer (left join on CUSTNO).
 
-    The register must hold each customer number once (see
-    ``sources.register.duplicate_keys``); a repeated number would copy ledger
+    A customer number that the register holds twice fails the query (see
+    :func:`~churnscope.sources.register.unique_keys`): it would copy ledger
     lines.  Only the two key columns of the register are shuffled, and AQE
     turns the join into a broadcast when that projection is small.
     """
-    keys = register.select("CUSTNO", "COMPID")
-    return ledger.join(keys, on="CUSTNO", how="left")
+    return ledger.join(unique_keys(register, "COMPID"), on="CUSTNO", how="left")
 
 
 def entity_ledger(ledger: DataFrame, register: DataFrame | None, level: str) -> DataFrame:
@@ -179,7 +180,7 @@ def _customer_lines(ledger: DataFrame, register: DataFrame | None, level: str) -
         return ledger.withColumn("customer_level", F.col(key)), None
     if register is None:
         raise ValueError(f"ledger has no {key}; pass the register to attach it")
-    keys = register.select(F.col("CUSTNO").alias("customer_level"), F.col(key).alias("_company"))
+    keys = unique_keys(register, key).select(F.col("CUSTNO").alias("customer_level"), F.col(key).alias("_company"))
     return ledger.withColumn("customer_level", F.col("CUSTNO")), keys
 
 
@@ -202,43 +203,94 @@ def day_flags(lines: DataFrame, asof: AsOf, keys: DataFrame | None, with_target:
     return out if keys is None else _merged(_with_company(out, keys), ["customer_level", "kind", "key"], n_weeks)
 
 
+# Posting dates of a transaction: bit d % 64 of long word d // 64, d days after the first date that is read.
+_DATE_WORD = 64
+
+
+def _date_place(day: Column, first: dt.date) -> tuple[Column, Column]:
+    """(word, bit) of a date."""
+    days = F.unix_date(day) - F.unix_date(F.lit(first))
+    return F.floor(days / _DATE_WORD).cast("int"), F.pmod(days, F.lit(_DATE_WORD))
+
+
 def posting_dates(lines: DataFrame, asof: AsOf, keys: DataFrame | None, with_target: bool) -> DataFrame:
     """Per (entity, transaction) its posting dates (kind 0), and per (entity,
     posting date) the sum of sales (kind 1): nothing here depends on the days,
-    but for the span that is read."""
+    but for the span that is read.
+
+    The dates are bits of as many longs (``dates_0``, ...) as the span needs,
+    so they are combined by ``bit_or`` in a plain hash aggregate, before the
+    shuffle too.  ``key`` is the transaction reference in its own type.
+    """
     first, last = asof.span(*_read_windows(with_target))
     posted = F.col("POSTDATE")
     rows = lines.where((posted >= F.lit(first)) & (posted <= F.lit(last)))
+    word, bit = _date_place(posted, first)
+    words = [f"dates_{k}" for k in range((last - first).days // _DATE_WORD + 1)]
+    dates = [F.when(word == k, _shift(bit)).otherwise(F.lit(0).cast("long")).alias(w) for k, w in enumerate(words)]
+    none = F.lit(None)
     two = F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("TRANSREFNO").cast("long").alias("key")),
-        F.struct(F.lit(1).alias("kind"), F.unix_date(posted).cast("long").alias("key"))))
-    both = rows.select("customer_level", "POSTDATE", exact_sales(lines).alias("sales"), two.alias("k"))
+        F.struct(F.lit(0).alias("kind"), F.col("TRANSREFNO").alias("key"), none.cast("date").alias("on")),
+        F.struct(F.lit(1).alias("kind"), none.cast(lines.schema["TRANSREFNO"].dataType).alias("key"), posted.alias("on"))))
+    both = rows.select("customer_level", *dates, exact_sales(lines).alias("sales"), two.alias("k"))
 
     def combined(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("customer_level", "kind", "key").agg(
-            F.collect_set("POSTDATE").alias("dates"), F.sum("sales").alias("sales"))
+        return rows.groupBy("customer_level", "kind", "key", "on").agg(
+            *(F.bit_or(w).alias(w) for w in words), F.sum("sales").alias("sales"))
+
+    out = combined(both.select("customer_level", "k.kind", "k.key", "k.on", *words,
+                               F.when(F.col("k.kind") == 1, F.col("sales")).alias("sales")))
+    return out if keys is None else combined(_with_company(out, keys))
 
-    out = combined(both.select("customer_level", "k.kind", "k.key", "POSTDATE", F.when(F.col("k.kind") == 1, F.col("sales")).alias("sales")))
-    if keys is None:
-        return out
-    met = _with_company(out, keys)
-    dated = met.select("customer_level", "kind", "key", F.explode("dates").alias("POSTDATE"),
-                       F.when(F.col("kind") == 1, F.col("sales")).alias("sales"))
-    return combined(dated)
+
+def _day_masks(asof: AsOf, with_target: bool, month_mode: str, n_weeks: int) -> DataFrame:
+    """Per (day, date word) the dates of every bucket as bits: ``any``,
+    ``in_month`` and ``mask_<word>_<bit>`` for each packed flag."""
+    windows = _read_windows(with_target)
+    first, last = asof.span(*windows)
+    starts, ends = ([F.col(RANGES[w][k]) for w in windows] for k in (0, 1))
+    low, high = F.greatest(F.least(*starts), F.lit(first)), F.least(F.greatest(*ends), F.lit(last))
+    days = asof.frame.withColumn("POSTDATE", F.explode(F.sequence(low, high)))
+    word, bit = _date_place(F.col("POSTDATE"), first)
+    zero = F.lit(0).cast("long")
+    flags = days.select("loop_day", word.alias("date_word"), _shift(bit).alias("date"), *_packed(n_weeks, month_mode, with_target),
+                        _window_tests(n_weeks, month_mode)["in_month"].alias("counted"))
+    held = {f"mask_{k}_{b}": _bit(f"bits_{k}", b) == 1 for k, b in _flag_places(n_weeks)} | {"in_month": F.col("counted")}
+    masks = flags.groupBy("loop_day", "date_word").agg(
+        *(F.bit_or(F.when(test, F.col("date")).otherwise(zero)).alias(name) for name, test in held.items()))
+    return masks.withColumn("any", reduce(Column.bitwiseOR, (F.col(name) for name in held)))
+
+
+def _flag_places(n_weeks: int) -> list[tuple[int, int]]:
+    """(word, bit) of every packed flag."""
+    return [(0, k) for k in range(_FIRST_WEEK_BIT)] + [_week_place(j) for j in range(1, n_weeks + 1)]
 
 
 def days_flags(lines: DataFrame, asof: AsOf, keys: DataFrame | None, with_target: bool, month_mode: str,
                n_weeks: int) -> DataFrame:
-    """Several days: packed bits and sales per (day, entity, transaction)."""
-    dated = posting_dates(lines, asof, keys, with_target).select(
-        "customer_level", "kind", "key", F.explode("dates").alias("POSTDATE"), "sales")
-    met = asof.meet(dated, *_read_windows(with_target))
+    """Several days: packed bits and sales per (day, entity, transaction).
+
+    Date words meet the days by an equi-join on the word's number; a flag is
+    set where the transaction's dates and the day's mask share a bit, so no
+    date is listed on its own.
+    """
+    dated = posting_dates(lines, asof, keys, with_target)
+    words = [c for c in dated.columns if c.startswith("dates_")]
+    apart = dated.select("customer_level", "kind", "key", "on", "sales", F.posexplode(F.array(*words)).alias("date_word", "dates"))
+    masks = _day_masks(asof, with_target, month_mode, n_weeks)
+
+    def shared(mask: str) -> Column:
+        return F.col("dates").bitwiseAND(F.col(mask)) != 0
+
+    met = apart.where("dates <> 0").join(masks, "date_word").where(shared("any"))
     is_line, zero = F.col("kind") == 0, F.lit(0).cast("long")
-    bits = [F.when(is_line, c).otherwise(zero).alias(w)
-            for c, w in zip(_packed(n_weeks, month_mode, with_target), _words(n_weeks), strict=True)]
-    sales = F.when(in_window("POSTDATE", "month_start", "feature_end"), F.col("sales"))
-    rows = met.select("loop_day", "customer_level", "kind", "key", *bits, sales.alias("sales"))
-    return _merged(rows, ["loop_day", "customer_level", "kind", "key"], n_weeks)
+    bits = []
+    for k, name in enumerate(_words(n_weeks)):
+        flags = [F.when(shared(f"mask_{w}_{b}"), F.lit(1 << b).cast("long")).otherwise(zero) for w, b in _flag_places(n_weeks) if w == k]
+        bits.append(F.when(is_line, reduce(Column.bitwiseOR, flags, zero)).otherwise(zero).alias(name))
+    sales = F.when(shared("in_month"), F.col("sales"))
+    rows = met.select("loop_day", "customer_level", "kind", "key", "on", *bits, sales.alias("sales"))
+    return _merged(rows, ["loop_day", "customer_level", "kind", "key", "on"], n_weeks)
 
 
 def entity_counts(flags: DataFrame, n_weeks: int = N_WEEKS) -> DataFrame:

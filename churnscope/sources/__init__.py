@@ -14,7 +14,7 @@ from churnscope.sources.ledger import (
     to_ledger,
     union_extracts,
 )
-from churnscope.sources.register import duplicate_keys, normalise_register, read_register_snapshot
+from churnscope.sources.register import duplicate_keys, normalise_register, read_register_snapshot, unique_keys
 from churnscope.sources.sinks import read_call_lists, write_call_lists
 
 __all__ = [
@@ -33,5 +33,6 @@ __all__ = [
     "read_register_snapshot",
     "to_ledger",
     "union_extracts",
+    "unique_keys",
     "write_call_lists",
 ]

@@ -33,7 +33,19 @@ def normalise_register(df: DataFrame) -> DataFrame:
 
 
 def duplicate_keys(register: DataFrame, key: str = "CUSTNO") -> DataFrame:
-    """Keys that occur more than once.  A duplicated customer number fans
-    ledger rows out in the ledger-to-register join and inflates sums; run this
-    as a data-quality gate before feature building."""
+    """Keys that occur more than once: which ones they are, where
+    :func:`unique_keys` has failed a query for the first it met."""
     return register.groupBy(key).count().where(F.col("count") > 1)
+
+
+def unique_keys(register: DataFrame, value: str, key: str = "CUSTNO") -> DataFrame:
+    """``key`` and ``value`` of every register row, one row a key.
+
+    A key that occurs twice fails the query that reads its value, inside the
+    plan: no job of its own, and the aggregate's exchange serves the join on
+    the key.  Null keys meet nothing and are left out.
+    """
+    known = register.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"), F.first(value).alias("_value"))
+    message = F.concat(F.lit(f"register holds {key} "), F.col(key).cast("string"), F.lit(" more than once"))
+    one = F.when(F.col("_n") == 1, F.col("_value")).otherwise(F.raise_error(message).cast(register.schema[value].dataType))
+    return known.select(key, one.alias(value))

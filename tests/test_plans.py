@@ -24,7 +24,8 @@ def _plan(df) -> str:
 def test_several_days_plan_has_no_python_and_carries_no_day_into_its_first_shuffle(spark, small):
     led, reg = small
     plan = _plan(FE.feature_frame(led, reg, A.backtest_days(spark, X.TRAINING_END)))
-    for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "Expand", "BroadcastNestedLoopJoin"):
+    for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "Expand", "BroadcastNestedLoopJoin",
+                 "ObjectHashAggregate", "SortAggregate"):
         assert node not in plan
     # Transactions and posting dates are combined once, without the days; the
     # only exchange with a day is the one of (day, entity) sums.

@@ -190,3 +190,48 @@ def test_register_text_columns_are_typed(spark):
     raw = spark.createDataFrame([("5", "2", "87", "2001-02-03")], "CUSTNO string, COMPID string, REGION string, CREDATE string")
     row = normalise_register(raw).first()
     assert (row.CUSTNO, row.COMPID, row.REGION, row.CREDATE) == (5, 2, 87, dt.date(2001, 2, 3))
+
+
+def test_a_long_churn_window_counts_all_its_activity(spark):
+    train, score = A.prediction_days(spark, END + dt.timedelta(days=730), churn_days=730)
+    for days, end in ((train, END), (score, END + dt.timedelta(days=731))):
+        assert days.single[1]["active_from"] == days.single[1]["active_start"] == end - dt.timedelta(days=730)
+    led = daily(spark, [365, 730, 731])
+    assert FE.active_customers(led, train).first()["UNIQUE_TRANSREFNO_ACTIVE"] == 2
+    for strategy in ("flags", "distinct"):
+        row = FE.feature_frame(led, register(spark), train, strategy=strategy).first()
+        assert row["UNIQUE_TRANSREFNO_ACTIVE"] == 2 and row["Month_1"] == 0
+
+
+@pytest.mark.parametrize("kind,refs", [("string", ["007", "7", "8", "x-1", None]), ("decimal(20,0)", [7, 8, 9, 2 ** 63, None])])
+def test_references_keep_their_own_type(spark, kind, refs):
+    rows = spark.createDataFrame([(1, END, r if r is None else str(r), "2.50") for r in refs],
+                                 "CUSTNO long, POSTDATE date, TRANSREFNO string, SALES string")
+    led = rows.withColumn("TRANSREFNO", F.col("TRANSREFNO").cast(kind)).withColumn("SALES", F.col("SALES").cast("decimal(18,2)"))
+    one, two = A.training_day(spark, END), A.asof_days(spark, [END, END + dt.timedelta(days=1)])
+    for days in (one, two):
+        for strategy in ("flags", "distinct"):
+            row = FE.feature_frame(led, register(spark), days, with_label=False, strategy=strategy).where("loop_day = 0").first()
+            assert (row["UNIQUE_TRANSREFNO_ACTIVE"], row["Week_1"], row["total_sales"]) == (4, 4, 12.5)
+
+
+def test_days_far_apart_and_many_dates_of_one_transaction(spark):
+    led = daily(spark, range(0, 1500, 7)).unionByName(daily(spark, range(3, 900, 100)).withColumn("TRANSREFNO", F.lit(5).cast("long")))
+    days = A.asof_days(spark, [END - dt.timedelta(days=k) for k in (0, 1, 63, 64, 65, 400, 900)])
+    reg = register(spark, CREDATE=dt.date(1980, 1, 1))
+    frames = [FE.feature_frame(led, reg, days, strategy=s).orderBy("loop_day").collect() for s in ("flags", "distinct")]
+    assert frames[0] == frames[1] and len(frames[0]) == 7
+
+
+def test_a_repeated_customer_number_fails_company_queries(spark):
+    reg = register(spark).unionByName(register(spark, COMPID=8))
+    led = daily(spark, [1])
+    for days in (A.training_day(spark, END), A.asof_days(spark, [END, END - dt.timedelta(days=1)])):
+        with pytest.raises(Exception, match="CUSTNO 1 more than once"):
+            FE.feature_frame(led, reg, days, level="compid").collect()
+    with pytest.raises(Exception, match="CUSTNO 1 more than once"):
+        FE.enrich_ledger(led, reg).collect()
+    with pytest.raises(Exception, match="CUSTNO 1 more than once"):
+        FE.total_sales(led, A.training_day(spark, END), "compid", reg).collect()
+    nulls = register(spark).unionByName(register(spark, CUSTNO=None)).unionByName(register(spark, CUSTNO=None))
+    assert FE.enrich_ledger(led, nulls).first()["COMPID"] == 7
