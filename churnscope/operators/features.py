@@ -18,8 +18,8 @@ Plan shape (``strategy="flags"``), several days::
     ledger scan (date span pushed down)
       -> per (entity, transaction): its posting dates as bits of a few longs,
          per (entity, posting date): sum of sales     [partial agg, shuffle 1]
-      -> equi-join of the longs with the days' masks: a month, week, active or
-         target flag is set where dates and mask share a bit (no shuffle)
+      -> equi-join of their dates with the calendar, which tells the month,
+         week, active and target flags of a date as of each day (no shuffle)
       -> per (day, entity, transaction): bit_or of packed longs (month, week,
          active, target bits)            [same partitioning: no shuffle]
       -> per (day, entity): sums of bits              [partial agg, shuffle 2]
@@ -203,8 +203,8 @@ def day_flags(lines: DataFrame, asof: AsOf, keys: DataFrame | None, with_target:
     return out if keys is None else _merged(_with_company(out, keys), ["customer_level", "kind", "key"], n_weeks)
 
 
-# Posting dates of a transaction: bit d % 64 of long word d // 64, d days after the first date that is read.
-_DATE_WORD = 64
+# Posting dates of a transaction: bit d % 63 of long word d // 63, d days after the first date that is read.
+_DATE_WORD = 63
 
 
 def _date_place(day: Column, first: dt.date) -> tuple[Column, Column]:
@@ -220,75 +220,72 @@ def posting_dates(lines: DataFrame, asof: AsOf, keys: DataFrame | None, with_tar
 
     The dates are bits of as many longs (``dates_0``, ...) as the span needs,
     so they are combined by ``bit_or`` in a plain hash aggregate, before the
-    shuffle too.  ``key`` is the transaction reference in its own type.
+    shuffle too.  Kind 1 has its date as ``on`` and no bits.  ``key`` is the
+    transaction reference in its own type.
     """
     first, last = asof.span(*_read_windows(with_target))
     posted = F.col("POSTDATE")
     rows = lines.where((posted >= F.lit(first)) & (posted <= F.lit(last)))
     word, bit = _date_place(posted, first)
     words = [f"dates_{k}" for k in range((last - first).days // _DATE_WORD + 1)]
-    dates = [F.when(word == k, _shift(bit)).otherwise(F.lit(0).cast("long")).alias(w) for k, w in enumerate(words)]
     none = F.lit(None)
     two = F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("TRANSREFNO").alias("key"), none.cast("date").alias("on")),
-        F.struct(F.lit(1).alias("kind"), none.cast(lines.schema["TRANSREFNO"].dataType).alias("key"), posted.alias("on"))))
-    both = rows.select("customer_level", *dates, exact_sales(lines).alias("sales"), two.alias("k"))
+        F.struct(F.col("TRANSREFNO").alias("key"), none.cast("date").alias("on")),
+        F.struct(none.cast(lines.schema["TRANSREFNO"].dataType).alias("key"), posted.alias("on"))))
+    both = rows.select("customer_level", word.alias("word"), _shift(bit).alias("date"), exact_sales(lines).alias("sales"), two.alias("k"))
+    is_line = F.col("k.on").isNull()
+    dates = [F.when(is_line & (F.col("word") == k), F.col("date")).otherwise(F.lit(0).cast("long")).alias(w) for k, w in enumerate(words)]
 
     def combined(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("customer_level", "kind", "key", "on").agg(
-            *(F.bit_or(w).alias(w) for w in words), F.sum("sales").alias("sales"))
+        return rows.groupBy("customer_level", "key", "on").agg(*(F.bit_or(w).alias(w) for w in words), F.sum("sales").alias("sales"))
 
-    out = combined(both.select("customer_level", "k.kind", "k.key", "k.on", *words,
-                               F.when(F.col("k.kind") == 1, F.col("sales")).alias("sales")))
-    return out if keys is None else combined(_with_company(out, keys))
+    out = combined(both.select("customer_level", "k.key", "k.on", *dates, F.when(~is_line, F.col("sales")).alias("sales")))
+    out = out if keys is None else combined(_with_company(out, keys))
+    return out.withColumn("kind", F.when(F.col("on").isNull(), 0).otherwise(1))
 
 
-def _day_masks(asof: AsOf, with_target: bool, month_mode: str, n_weeks: int) -> DataFrame:
-    """Per (day, date word) the dates of every bucket as bits: ``any``,
-    ``in_month`` and ``mask_<word>_<bit>`` for each packed flag."""
-    windows = _read_windows(with_target)
-    first, last = asof.span(*windows)
-    starts, ends = ([F.col(RANGES[w][k]) for w in windows] for k in (0, 1))
-    low, high = F.greatest(F.least(*starts), F.lit(first)), F.least(F.greatest(*ends), F.lit(last))
-    days = asof.frame.withColumn("POSTDATE", F.explode(F.sequence(low, high)))
-    word, bit = _date_place(F.col("POSTDATE"), first)
-    zero = F.lit(0).cast("long")
-    flags = days.select("loop_day", word.alias("date_word"), _shift(bit).alias("date"), *_packed(n_weeks, month_mode, with_target),
-                        _window_tests(n_weeks, month_mode)["in_month"].alias("counted"))
-    held = {f"mask_{k}_{b}": _bit(f"bits_{k}", b) == 1 for k, b in _flag_places(n_weeks)} | {"in_month": F.col("counted")}
-    masks = flags.groupBy("loop_day", "date_word").agg(
-        *(F.bit_or(F.when(test, F.col("date")).otherwise(zero)).alias(name) for name, test in held.items()))
-    return masks.withColumn("any", reduce(Column.bitwiseOR, (F.col(name) for name in held)))
+def _dates_of(words: list[str]) -> Column:
+    """The set bits of a row's date words, as days after the first date read.
 
+    Nearly every transaction has one date, whose place is the number of bits
+    below it; only words of several dates are looked through bit by bit.
+    """
+    def places(k: int, word: str) -> Column:
+        w = F.col(word)
+        several = F.filter(F.sequence(F.lit(0), F.lit(_DATE_WORD - 1)),
+                           lambda i: F.call_function("shiftright", w, i).bitwiseAND(F.lit(1)) == 1)
+        bits = F.when(F.bit_count(w) == 1, F.array(F.bit_count(w - 1))).otherwise(several)
+        return F.when(w != 0, F.transform(bits, lambda i: i + k * _DATE_WORD)).otherwise(F.array().cast("array<int>"))
 
-def _flag_places(n_weeks: int) -> list[tuple[int, int]]:
-    """(word, bit) of every packed flag."""
-    return [(0, k) for k in range(_FIRST_WEEK_BIT)] + [_week_place(j) for j in range(1, n_weeks + 1)]
+    return F.concat(*(places(k, w) for k, w in enumerate(words)))
+
+
+def _calendar(asof: AsOf, with_target: bool, month_mode: str, n_weeks: int) -> DataFrame:
+    """Per (as-of day, date of its windows) the packed flags, and whether the date's sales count."""
+    windows = _read_windows(with_target)
+    starts, ends = ([F.col(RANGES[w][k]) for w in windows] for k in (0, 1))
+    days = asof.frame.withColumn("POSTDATE", F.explode(F.sequence(F.least(*starts), F.greatest(*ends))))
+    tests = _window_tests(n_weeks, month_mode)
+    in_any = reduce(Column.__or__, (F.col("POSTDATE").between(a, b) for a, b in zip(starts, ends, strict=True)))
+    return days.where(in_any).select("loop_day", "POSTDATE", *_packed(n_weeks, month_mode, with_target), tests["in_month"].alias("counted"))
 
 
 def days_flags(lines: DataFrame, asof: AsOf, keys: DataFrame | None, with_target: bool, month_mode: str,
                n_weeks: int) -> DataFrame:
     """Several days: packed bits and sales per (day, entity, transaction).
 
-    Date words meet the days by an equi-join on the word's number; a flag is
-    set where the transaction's dates and the day's mask share a bit, so no
-    date is listed on its own.
+    Dates meet the days by an equi-join with the calendar, which holds the
+    flags of each date, so nothing is worked out per line and day.
     """
     dated = posting_dates(lines, asof, keys, with_target)
     words = [c for c in dated.columns if c.startswith("dates_")]
-    apart = dated.select("customer_level", "kind", "key", "on", "sales", F.posexplode(F.array(*words)).alias("date_word", "dates"))
-    masks = _day_masks(asof, with_target, month_mode, n_weeks)
-
-    def shared(mask: str) -> Column:
-        return F.col("dates").bitwiseAND(F.col(mask)) != 0
-
-    met = apart.where("dates <> 0").join(masks, "date_word").where(shared("any"))
+    first = asof.span(*_read_windows(with_target))[0]
+    held = F.when(F.col("on").isNull(), _dates_of(words)).otherwise(F.array(F.date_diff(F.col("on"), F.lit(first))))
+    apart = dated.select("customer_level", "kind", "key", "on", "sales", F.explode(held).alias("day"))
+    met = apart.withColumn("POSTDATE", F.date_add(F.lit(first), F.col("day"))).join(_calendar(asof, with_target, month_mode, n_weeks), "POSTDATE")
     is_line, zero = F.col("kind") == 0, F.lit(0).cast("long")
-    bits = []
-    for k, name in enumerate(_words(n_weeks)):
-        flags = [F.when(shared(f"mask_{w}_{b}"), F.lit(1 << b).cast("long")).otherwise(zero) for w, b in _flag_places(n_weeks) if w == k]
-        bits.append(F.when(is_line, reduce(Column.bitwiseOR, flags, zero)).otherwise(zero).alias(name))
-    sales = F.when(shared("in_month"), F.col("sales"))
+    bits = [F.when(is_line, F.col(w)).otherwise(zero).alias(w) for w in _words(n_weeks)]
+    sales = F.when(F.col("counted"), F.col("sales"))
     rows = met.select("loop_day", "customer_level", "kind", "key", "on", *bits, sales.alias("sales"))
     return _merged(rows, ["loop_day", "customer_level", "kind", "key", "on"], n_weeks)
 
