@@ -1,6 +1,6 @@
 """Operators of a large-scale training-data pipeline.
 
-Ten operators, one module each, plus ``queries`` (the registered ``opN_``
+Thirteen operators, one module each, plus ``queries`` (the registered ``opN_``
 queries) and ``common`` (small shared helpers).  Nothing outside this package
 imports it.
 

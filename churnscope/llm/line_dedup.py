@@ -234,19 +234,21 @@ def without_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def oracle_sql(min_words: int = MIN_WORDS, table: str = "documents") -> str:
-    """The same in DuckDB SQL, by writing out every shortest run: doc_id, n_lines, n_deleted, text."""
+    """The same in DuckDB SQL, by comparing every line with its equal earlier ones: doc_id, n_lines, n_deleted, text.
+
+    Neighbouring pairs of equal lines make up the longest common runs of two
+    places; the later lines of those with ``min_words`` words go.
+    """
     steps = [
         f"d as (select doc_id, coalesce(text, '') as text from {table})",
-        "l as (select doc_id, i - 1 as pos, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as words from "
+        "l as (select doc_id, i as pos, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as words from "
         "(select doc_id, unnest(string_split(text, chr(10))) as line, "
         "unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from d))",
-        "c as (select *, sum(words) over (partition by doc_id order by pos) as total from l)",
-        "w as (select a.doc_id, a.pos as s, min(b.pos) as e from c a join c b on a.doc_id = b.doc_id and b.pos >= a.pos "
-        f"and b.total - a.total + a.words >= {min_words} group by 1, 2)",
-        "k as (select w.doc_id, s, e, md5(string_agg(line, chr(10) order by pos)) as run from w join l on "
-        "w.doc_id = l.doc_id and pos between s and e group by 1, 2, 3)",
-        "f as (select *, row_number() over (partition by run order by doc_id, s) as nth from k)",
-        "x as (select distinct l.doc_id, pos from f join l on f.doc_id = l.doc_id and pos between s and e where nth > 1)",
+        "p as (select b.doc_id, b.pos, b.words, a.doc_id as first_doc, b.pos - a.pos as apart from l a join l b on a.line = b.line "
+        "and (a.doc_id < b.doc_id or a.doc_id = b.doc_id and a.pos < b.pos))",
+        "r as (select *, pos - row_number() over (partition by doc_id, first_doc, apart order by pos) as run from p)",
+        "s as (select *, sum(words) over (partition by doc_id, first_doc, apart, run) as total from r)",
+        f"x as (select distinct doc_id, pos from s where total >= {min_words})",
     ]
     return "with " + reduce(lambda a, b: f"{a},\n{b}", steps) + """
 select l.doc_id, count(*) as n_lines, count(x.pos) as n_deleted,

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 
 import pytest
 
@@ -9,22 +10,25 @@ from tests.llm import helpers
 
 
 def plain(rows: list[tuple[int, str | None]], min_words: int) -> dict:
-    """Every shortest run of at least min_words words at every place, first place kept."""
+    """All runs of at least min_words words that stand at an earlier place too go: the longest common run with every
+    earlier equal line, written out."""
     lines = {(i, t): t.split("\n") for i, t in rows if t is not None}
     order = sorted(lines, key=lambda k: (k[0] is not None, k[0] or 0))
-    seen, deleted = set(), {k: set() for k in lines}
-    for key in order:
+    places = [(key, n) for key in order for n in range(len(lines[key]))]
+    equal: dict[str, list[int]] = defaultdict(list)
+    for at, (key, n) in enumerate(places):
+        equal[lines[key][n]].append(at)
+    deleted = {k: set() for k in lines}
+    behind: dict[int, int] = {}  # of the next line: lines it has in common from each earlier place on
+    for at in range(len(places) - 1, -1, -1):
+        key, n = places[at]
         own = lines[key]
-        for start in range(len(own)):
-            words = end = 0
-            while start + end < len(own) and words < min_words:
-                words += len(own[start + end].split())
-                end += 1
-            if words >= min_words:
-                run = tuple(own[start:start + end])
-                if run in seen:
-                    deleted[key] |= set(range(start, start + end))
-                seen.add(run)
+        follows = behind if n + 1 < len(own) else {}
+        behind = {q: 1 + (follows.get(q + 1, 0) if places[q][1] + 1 < len(lines[places[q][0]]) else 0)
+                  for q in equal[own[n]] if q < at}
+        longest = max(behind.values(), default=0)
+        if sum(len(x.split()) for x in own[n:n + longest]) >= min_words and longest:
+            deleted[key] |= set(range(n, n + longest))
     return {k: "\n".join(x for n, x in enumerate(own) if n not in deleted[k]) for k, own in lines.items()}
 
 

@@ -68,7 +68,7 @@ def test_stages_take_awkward_and_empty_tables(spark, make, tmp_path):
 def test_registered_queries():
     named = __spark_entry__.queries()
     assert sorted(q for q in named if q.startswith("op")) == sorted(queries.QUERIES) and "pipeline" in named
-    assert {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(named)
 
 
