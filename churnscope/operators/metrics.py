@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.config import SALES_CUTOFFS
-from churnscope.operators.asof import literal_rows
 
 LABEL = "indexedLabel"
 
@@ -129,27 +128,43 @@ def backtest_metrics(preds: DataFrame, days: DataFrame | None = None, mature_onl
     )
 
 
+def _literals(values: Sequence[float], kind: str) -> Column:
+    """Many numbers as one literal array (an expression each would make the plan as long as the list)."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def precision_by_cutoff(preds: DataFrame, loop_day: int = 1,
                         cutoffs: Sequence[float] = SALES_CUTOFFS) -> DataFrame:
     """Precision of one day's predicted churners above each sales cutoff
     (strictly greater).
 
-    Each churner row emits the cutoffs it exceeds (a generator inside the
-    scan stage, at most ``len(cutoffs)`` rows), aggregated per cutoff with a
-    map-side combine; cutoffs nobody exceeds are kept with 0 predicted.
+    Each churner is counted once, by the number of cutoffs below its sales
+    (found by halving the sorted list); sums from each number up answer the
+    cutoffs, one window over at most ``len(cutoffs)`` rows.  Cutoffs nobody
+    exceeds are kept with 0 predicted, repeated ones are repeated.
     """
-    cut_arr = F.array(*[F.lit(float(c)) for c in cutoffs])
-    churn = preds.where((F.col("loop_day") == loop_day) & (F.col("prediction") == 1.0))
-    hits = churn.select(
-        F.explode(F.filter(cut_arr, lambda c: F.col("total_sales") > c)).alias("cutoff"), LABEL)
-    agg = hits.groupBy("cutoff").agg(F.count(F.lit(1)).alias("predicted"), F.sum(LABEL).alias("correct"))
-    all_cuts = literal_rows(preds.sparkSession, [F.struct(F.lit(float(c)).alias("cutoff")) for c in cutoffs])
-    j = all_cuts.join(agg, "cutoff", "left")
-    predicted = F.coalesce(F.col("predicted"), F.lit(0)).cast("long")
-    correct = F.coalesce(F.col("correct"), F.lit(0.0)).cast("double")
-    return j.select(
-        "cutoff",
-        predicted.alias("predicted"),
-        correct.alias("correct"),
-        F.try_divide(correct, predicted.cast("double")).alias("precision"),
-    )
+    spark = preds.sparkSession
+    ordered = sorted({float(c) for c in cutoffs})
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(ordered).bit_length())))
+    cut_arr, sales = _literals(ordered, "double"), F.col("total_sales")
+
+    def halved(span: Column, step: Column) -> Column:
+        middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
+        below = F.get(cut_arr, middle) < sales
+        open_ = span["low"] < span["high"]
+        return F.struct(F.when(open_ & below, middle + 1).otherwise(span["low"]).alias("low"),
+                        F.when(open_ & ~below, middle).otherwise(span["high"]).alias("high"))
+
+    exceeded = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(ordered)).alias("high")), halved, lambda span: span["low"])
+    churn = preds.where((F.col("loop_day") == loop_day) & (F.col("prediction") == 1.0) & sales.isNotNull())
+    counted = churn.select(exceeded.alias("exceeded"), LABEL).groupBy("exceeded").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(LABEL).alias("hits"))
+    places = spark.range(len(ordered)).select((F.col("id") + 1).cast("int").alias("exceeded")).join(counted, "exceeded", "left")
+    from_here = Window.orderBy("exceeded").rowsBetween(0, Window.unboundedFollowing)
+    summed = places.select("exceeded", F.coalesce(F.sum("n").over(from_here), F.lit(0)).cast("long").alias("predicted"),
+                           F.coalesce(F.sum("hits").over(from_here), F.lit(0.0)).cast("double").alias("correct"))
+    number = {c: n for n, c in enumerate(ordered, 1)}
+    asked = F.arrays_zip(_literals(cutoffs, "double").alias("cutoff"), _literals([number[float(c)] for c in cutoffs], "int").alias("exceeded"))
+    given = spark.range(1).select(F.explode(asked).alias("c")).select("c.cutoff", "c.exceeded")
+    return given.join(summed, "exceeded").select(
+        "cutoff", "predicted", "correct", F.try_divide("correct", F.col("predicted").cast("double")).alias("precision"))

@@ -32,6 +32,11 @@ from churnscope.session import materialize
 LABEL = "indexedLabel"
 
 
+# How the trees are grown, not which: node ids kept with the rows instead of walking the trees at every level, and room
+# for the statistics of a whole level of deep trees in one pass.
+FIT_SETTINGS = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 1024}
+
+
 def with_label(frame: DataFrame) -> DataFrame:
     """Add ``indexedLabel``: churn = 1.0."""
     return frame.withColumn(LABEL, F.col("target_churn").cast("double"))
@@ -65,7 +70,7 @@ def numeric_inputs(frame: DataFrame) -> list[str]:
 def classifier_pipeline(params: dict | None = None,
                         categorical: Sequence[str] = CATEGORICAL_INPUTS,
                         numeric: Sequence[str] = NUMERIC_INPUTS) -> Pipeline:
-    p = dict(EVALUATION_GBT if params is None else params)
+    p = FIT_SETTINGS | dict(EVALUATION_GBT if params is None else params)
     gbt = GBTClassifier(labelCol=LABEL, featuresCol="features", **p)
     return Pipeline(stages=[*encoder_stages(categorical, numeric), gbt])
 

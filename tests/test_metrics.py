@@ -65,3 +65,17 @@ def test_precision_by_cutoff_matches_python(spark):
         n, k = len(sel), sum(r[3] for r in sel)
         p = k / n if n else None
         assert got[float(cut)] == (n, k, p)
+
+
+def test_many_cutoffs(spark):
+    rnd = random.Random(8)
+    cuts = [rnd.randrange(-50, 4000) / 4 for _ in range(10_000)]
+    rows = [(1, c, rnd.choice([rnd.choice(cuts), rnd.random() * 1200, -99.0, 1e9, None]), float(rnd.random() < 0.5), 1.0) for c in range(500)]
+    got = sorted(map(tuple, M.precision_by_cutoff(_preds(spark, rows), cutoffs=cuts).collect()), key=str)
+    want = []
+    for cut in cuts:
+        sel = [r[3] for r in rows if r[2] is not None and r[2] > cut]
+        want.append((cut, len(sel), sum(sel), sum(sel) / len(sel) if sel else None))
+    assert got == sorted(want, key=str)
+    one = M.precision_by_cutoff(_preds(spark, rows[:0]), cutoffs=[5, 5]).collect()
+    assert [tuple(r) for r in one] == [(5.0, 0, 0.0, None)] * 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from churnscope.operators import asof as A
 from churnscope.operators import drift as D
 from churnscope.operators import features as FE
 from churnscope.operators import model as MD
+from churnscope.operators import trees as TR
 from churnscope.sources import fixtures as X
 
 SMALL_GBT = {"maxIter": 3, "maxDepth": 3, "seed": 42}
@@ -86,3 +88,37 @@ def test_evaluation_with_checkpointed_predictions(spark, small):
     assert "BroadcastNestedLoopJoin" not in ev.predictions._jdf.queryExecution().executedPlan().toString()
     plain = P.evaluate(led, reg, X.TRAINING_END, use_model=False, checkpoint=False)
     assert sorted(map(tuple, ev.metrics.collect())) == sorted(map(tuple, plain.metrics.collect()))
+
+
+@pytest.mark.parametrize("params", [{"maxIter": 6, "maxDepth": 8, "seed": 42}, {"maxIter": 3, "maxDepth": 20, "seed": 42}])
+def test_predictions_and_importances_equal_those_of_the_node_table(spark, small, params):
+    led, reg = small
+    train = FE.feature_frame(led, reg, A.asof_days(spark, [X.TRAINING_END - dt.timedelta(days=30 * k) for k in range(3)]))
+    model = MD.fit(MD.classifier_pipeline(params), train)
+    frame = FE.feature_frame(led, reg, A.backtest_days(spark, X.TRAINING_END))
+    rows = TR.compared(model, frame, MD.score(model, frame)).collect()
+    assert len(rows) == frame.count() and {r.prediction for r in rows} == {0.0, 1.0}
+    for r in rows:
+        assert r.prediction == r.prediction_by_nodes and abs(r.probability_churn - r.probability_by_nodes) < 1e-9
+    nodes = TR.node_table(spark, model)
+    assert TR.tree_depth(nodes) == max(t.depth for t in model.stages[-1].trees) and nodes.where("left < 0").count() > 0
+    own = {r.slot: r.importance for r in TR.node_importances(nodes).collect()}
+    told = {r.slot: r.importance for r in MD.feature_importance(model, train).collect()}
+    assert abs(sum(own.values()) - 1) < 1e-9 and all(abs(told[k] - own.get(k, 0.0)) < 1e-9 for k in told) and set(own) <= set(told)
+
+
+def test_splits_by_categories_go_by_the_listed_values(spark):
+    nodes = spark.createDataFrame(
+        [(0, 1.0, 0, 1, 2, 1, None, [1.0, 3.0], 2.0, 9, 0.0), (0, 1.0, 1, -1, -1, -1, None, None, -1.0, 4, 0.5),
+         (0, 1.0, 2, -1, -1, -1, None, None, -1.0, 5, -0.5), (1, 0.1, 0, -1, -1, -1, None, None, -1.0, 9, 1.0)],
+        "tree int, weight double, node int, left int, right int, feature int, threshold double, categories array<double>, gain double, n long, prediction double")
+    rows = spark.createDataFrame([(1, [9.0, 3.0]), (2, [1.0, 2.0])], "k int, features array<double>")
+    assert {r.k: round(r.margin, 9) for r in TR.evaluate_nodes(nodes, rows, ["k"]).collect()} == {1: 0.6, 2: -0.4}
+
+
+def test_fit_settings_do_not_change_the_trees(spark, small):
+    train = _train(spark, small)
+    plain = {"cacheNodeIds": False, "maxMemoryInMB": 256}
+    trees = [MD.fit(MD.classifier_pipeline({**SMALL_GBT, "maxDepth": 12, **extra}), train).stages[-1].toDebugString.split("\n", 1)[1]
+             for extra in ({}, plain)]
+    assert trees[0] == trees[1]
