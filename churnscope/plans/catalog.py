@@ -43,15 +43,18 @@ from churnscope.operators import features as FE
 from churnscope.operators import ledger_ops as L
 from churnscope.operators import metrics as M
 from churnscope.operators import model as MD
+from churnscope.operators import trees as TR
 from churnscope.plans import oracle as O
 from churnscope.plans import pipelines as P
 from churnscope.session import fresh_path, materialize, remove_path
 from churnscope.sources import (
     normalise_register,
     qualify,
+    read_bucketed,
     read_call_lists,
     read_ledger,
     read_register_snapshot,
+    write_bucketed,
     write_call_lists,
 )
 from churnscope.sources import fixtures as X
@@ -381,6 +384,40 @@ def _frame_from_files(spark, sf):
     return frame
 
 
+def _frame_from_buckets(spark, sf, days=None):
+    """The frame through tables bucketed by customer, dropped once it stands."""
+    base = fresh_path(spark, "bucketed")
+    mark = base.rsplit("-", 1)[1]
+    names = {part: f"churn_{part}_{mark}" for part in ("ledger", "register")}
+    for (part, name), rows in zip(names.items(), _inputs(spark, sf), strict=True):
+        write_bucketed(rows, name, 8, f"{base}/{part}")
+    led, reg = (read_bucketed(spark, name) for name in names.values())
+    frame = materialize(FE.feature_frame(led, reg, days or _train(spark)))
+    for name in names.values():
+        spark.sql(f"drop table {name}")
+    remove_path(spark, base)
+    return frame
+
+
+def _by_nodes(spark, sf):
+    """Evaluation predictions against the node table's: same class, and probabilities equal to 1e-9."""
+    ev = _evaluate(spark, sf)
+    led, reg = _inputs(spark, sf)
+    rows = TR.compared(ev.model, FE.feature_frame(led, reg, ev.backtest), ev.predictions)
+    agrees = F.col("prediction").eqNullSafe(F.col("prediction_by_nodes")) & (
+        F.abs(F.col("probability_churn") - F.col("probability_by_nodes")) < 1e-9)
+    return rows.select("loop_day", "customer_level", F.coalesce(agrees, F.lit(False)).alias("agrees"))
+
+
+def _importance_by_nodes(spark, sf):
+    """Every input's importance against the one summed from the node table."""
+    ev = _evaluate(spark, sf)
+    own = TR.node_importances(TR.node_table(spark, ev.model)).withColumnRenamed("importance", "own")
+    told = MD.feature_importance(ev.model, ev.training)
+    gap = F.abs(F.col("importance") - F.coalesce("own", F.lit(0.0)))
+    return told.join(own, "slot", "left").select("slot", "feature", (gap < 1e-9).alias("agrees"))
+
+
 def _drift_region(spark, sf):
     cur, _ = _rule_current(spark, sf)
     return D.population_shift(cur.training, cur.scoring, ["REGION"])
@@ -560,6 +597,8 @@ def build_catalog() -> dict[str, Query]:
               ("UNIQUE_TRANSREFNO_TARGET",)),
         Query("feature_frame_from_files", _frame_from_files,
               O.feature_frame_sql(TRAIN_DAYS), FRAME_DATES, ("UNIQUE_TRANSREFNO_TARGET",)),
+        Query("feature_frame_bucketed", _frame_from_buckets,
+              O.feature_frame_sql(TRAIN_DAYS), FRAME_DATES, ("UNIQUE_TRANSREFNO_TARGET",)),
         Query("register_newest", lambda s, sf: L.register_newest(X.register(s, sf)),
               O.with_base() + "select * from register order by CREDATE desc, CUSTNO", REG_DATES),
         Query("class_index", _class_index,
@@ -659,6 +698,11 @@ left join lab using (CUSTCLASS) group by all"""),
               CUR + "select loop_day, customer_level, total_sales from preds"),
         Query("feature_importance_slots", _importance_slots,
               O.with_base() + ", " + frame_cte("tf", PRED_TRAIN_DAYS, active_days=CHURN_DAYS) + _slots_sql()),
+        # The model's own scores and importances against those worked out from its saved nodes.
+        Query("backtest_predictions_by_nodes", _by_nodes, BT_PREDS + "select loop_day, customer_level, true as agrees from preds"),
+        Query("feature_importance_by_nodes", _importance_by_nodes,
+              O.with_base() + ", " + frame_cte("tf", TRAIN_DAYS) + _slots_sql().replace("\nselect", ", slots as (select", 1)
+              + ") select slot, feature, true as agrees from slots"),
         # Model output: rows-only checks.
         Query("model_inputs", _model_inputs),
         Query("current_predictions", lambda s, sf: _current(s, sf).predictions),

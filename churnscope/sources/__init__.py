@@ -16,6 +16,7 @@ from churnscope.sources.ledger import (
 )
 from churnscope.sources.register import duplicate_keys, normalise_register, read_register_snapshot, unique_keys
 from churnscope.sources.sinks import read_call_lists, write_call_lists
+from churnscope.sources.tables import read_bucketed, write_bucketed
 
 __all__ = [
     "LEDGER_COLUMNS",
@@ -27,6 +28,7 @@ __all__ = [
     "ledger_from_extracts",
     "normalise_register",
     "qualify",
+    "read_bucketed",
     "read_call_lists",
     "read_extract",
     "read_ledger",
@@ -34,5 +36,6 @@ __all__ = [
     "to_ledger",
     "union_extracts",
     "unique_keys",
+    "write_bucketed",
     "write_call_lists",
 ]

@@ -7,10 +7,12 @@ import io
 import re
 from contextlib import redirect_stdout
 
+import pytest
+
 from churnscope.operators import asof as A
 from churnscope.operators import features as FE
 from churnscope.sources import fixtures as X
-from churnscope.sources import read_ledger
+from churnscope.sources import read_bucketed, read_ledger, write_bucketed
 from tests.conftest import SF_SMALL
 
 
@@ -92,3 +94,27 @@ def test_company_level_shuffles_no_raw_line(spark, small):
     assert "partial_bit_or" in plan and company > 0
     exchanges = re.findall(r"Arguments: hashpartitioning\((.*?), 8\)", plan)
     assert not any("SALES" in x or "POSTDATE" in x for x in exchanges)
+
+
+def test_bucketed_tables_need_no_exchange_below_the_first_aggregate(spark, small, tmp_path):
+    names = ("plan_ledger", "plan_register")
+    for name, rows in zip(names, small, strict=True):
+        write_bucketed(rows, name, 8, str(tmp_path / name))
+    try:
+        led, reg = (read_bucketed(spark, name) for name in names)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        one, days = A.training_day(spark, X.TRAINING_END), A.backtest_days(spark, X.TRAINING_END)
+        plan = _plan(FE.feature_frame(led, reg, one))
+        assert "SortMergeJoin" in plan and "Bucketed: true" in plan and "Exchange" not in plan
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 10 << 20)
+        several = re.findall(r"Arguments: hashpartitioning\((.*?), \d+\)", _plan(FE.feature_frame(led, reg, days)))
+        assert not several  # a customer's days are in its bucket too
+        for asof in (one, days):
+            got, want = (FE.feature_frame(*tables, asof).collect() for tables in ((led, reg), small))
+            assert sorted(map(str, got)) == sorted(map(str, want)) and got
+        with pytest.raises(ValueError, match="not bucketed by COMPID"):
+            read_bucketed(spark, names[1], "COMPID")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in names:
+            spark.sql(f"drop table if exists {name}")
