@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 PROJECTED = 8            # even: the test's distribution function is then a finite sum
 CONFIDENCE = 0.95
 LEAF = 32
-LEAVES_A_STEP = 4
-BLOCK_ROWS = 65_536      # index entries, and queries, of one block at most (on average)
-LEAST_BLOCK_ROWS = 2_048
+LEAVES_A_STEP = 32       # leaves verified between two tests
+BLOCK_ROWS = 8_192       # index entries, and queries, of one block (on average)
 K = 5
 
 
@@ -105,13 +104,12 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = K, confidence: fl
     smaller vec_id; rows with the query's own id are no candidates, nor are
     vectors of another length.  Queries and index entries meet block by block.
     """
-    spark = embeddings.sparkSession
     by_vector = Window.partitionBy("v").orderBy("vec_id")
     ranked = embeddings.withColumn("nth", F.row_number().over(by_vector)).filter(F.col("nth") <= k + 1)
     entries = ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # k + 1 ids at most
     n, n_queries = embeddings.count(), queries.count()
-    spread_over = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST_BLOCK_ROWS))
-    blocks, query_blocks = max(1, -(-n // block_rows), spread_over), max(1, -(-n_queries // block_rows))
+    # by rows alone, not by the session's settings: which vectors share a tree decides what is found
+    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_queries // block_rows))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     index = (entries.withColumn("size", F.size("v")).withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
              .withColumn("part", every(query_blocks)))
