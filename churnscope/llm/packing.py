@@ -11,6 +11,7 @@ through the driver and the token ids are never shuffled.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -47,61 +48,91 @@ def _byte_signs() -> dict[int, str]:
 class WordTokenizer:
     """Ids of words (little-endian unsigned 32-bit), by a tokenizer that drops white space and never spans it.
 
-    Plain words go to the tokenizer's model directly, if that gives the ids of
+    Plain words are merged by the model's own merges, if that gives the ids of
     its full chain for some probes; all other words go through the chain.
     """
 
-    def __init__(self, path: str, known_words: int = 300_000) -> None:
+    def __init__(self, path: str, known_words: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on every core
         from tokenizers import Tokenizer
 
         self.chain, self.known, self.known_words = Tokenizer.from_file(path), {}, known_words
-        self.model, self.signs = self.chain.model, _byte_signs()
+        self._merge_plain(path)
         probes = ["the", "Thndbleou.", "\u00dcbergr\u00f6\u00dfe,", "NA\u00cfVE", "a"]
         self.plain = all(self._plain_ids(w) == self._chain_ids([w])[0] for w in probes)
 
+    def _merge_plain(self, path: str) -> None:
+        """The model's merges over bytes, for words without its chain.
+
+        A word's last byte is a symbol of its own in the model; here it is the
+        byte and 0xFF, which no UTF-8 text holds, merged before all others.
+        """
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        signs, end = _byte_signs(), model["end_of_word_suffix"]
+        byte_of = {sign: byte for byte, sign in signs.items()}
+
+        def as_bytes(token: str) -> bytes:
+            body = token.removesuffix(end)
+            return bytes(map(byte_of.__getitem__, body)) + (b"\xff" if body != token else b"")
+
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        tokens = [*((bytes([byte]), sign) for byte, sign in signs.items()),
+                  *((bytes([byte, 255]), sign + end) for byte, sign in signs.items() if byte != 255),
+                  *((as_bytes(x) + as_bytes(y), x + y) for x, y in pairs)]
+        ranks: dict[bytes, int] = {}
+        self.packed: list[bytes] = []
+        for token, sign in tokens:
+            if token not in ranks:
+                ranks[token] = len(self.packed)
+                self.packed.append(struct.pack("<I", model["vocab"].get(sign, 0)))
+        self.merged = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.marks = {mark: self._merged(mark) for mark in ".,"}
+
     def _chain_ids(self, words: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.chain.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _model_ids(self, part: str) -> bytes:
-        signs = part if part.isascii() else part.encode().decode("latin-1").translate(self.signs)
-        ids = [token.id for token in self.model.tokenize(signs)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def _plain_ids(self, word: str) -> bytes | None:
         found = _PLAIN.fullmatch(low := word.lower())
         if not found or len(low) != len(word):
             return None
-        ids = b""
-        for part in found.groups():
-            if part:
-                own = self.known.get(part)
-                if own is None:
-                    own = self.known[part] = self._model_ids(part)
-                ids += own
-        return ids
+        part, mark = found.groups()
+        ids = self.known.get(part)
+        if ids is None:
+            ids = self.known[part] = self._merged(part)
+        return ids + self.marks[mark] if mark else ids
+
+    def _merged(self, part: str) -> bytes:
+        return b"".join(map(self.packed.__getitem__, self.merged.encode_single_piece(part.encode() + b"\xff")))
+
+    def _learn(self, words: set[str]) -> None:
+        rest = []
+        for word in words:
+            ids = self._plain_ids(word) if self.plain else None
+            if ids is None:
+                rest.append(word)
+            else:
+                self.known[word] = ids
+        self.known.update(zip(rest, self._chain_ids(rest), strict=True))
+
+    def texts_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts: cut at white space, every distinct word encoded once."""
+        split = [t.split() if not _SEPARATORS.search(t) else [w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > self.known_words:
+            self.known.clear()
+            new = set().union(*split)
+        self._learn(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
     def text_ids(self, text: str) -> bytes:
-        """Ids of a whole text: cut at white space, every distinct word encoded once."""
-        words = text.split() if not _SEPARATORS.search(text) else [w for w in text.replace("\n", " ").split(" ") if w]
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > self.known_words:
-                self.known.clear()
-            rest = []
-            for word in set(words).difference(self.known):
-                ids = self._plain_ids(word) if self.plain else None
-                if ids is None:
-                    rest.append(word)
-                else:
-                    self.known[word] = ids
-            self.known.update(zip(rest, self._chain_ids(rest), strict=True))
-            return b"".join(map(self.known.__getitem__, words))
+        return self.texts_ids([text])[0]
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = 0,
-                    known_words: int = 300_000) -> DataFrame:
+                    known_words: int = 500_000) -> DataFrame:
     """Token ids of each document plus ``separator``, cut into pieces of ``capacity``.
 
     Needs ``doc_id`` and ``text``; other columns are ignored.  Null text is
@@ -117,10 +148,10 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
         end = np.array([separator], dtype="<u4").tobytes()
         step = 4 * capacity
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        for batch in in_slices(batches, 500):
+        for batch in in_slices(batches, 100):
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tokenizer.text_ids(text) + end
+            for doc_id, own in zip(batch.column(0).to_pylist(), tokenizer.texts_ids(batch.column(1).to_pylist()), strict=True):
+                ids = own + end
                 for n, at in enumerate(range(0, len(ids), step)):
                     part = ids[at:at + step]
                     for out, value in zip(rows, (doc_id, n, at // 4, len(part) // 4, part), strict=True):
