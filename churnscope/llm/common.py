@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from churnscope.session import materialize
 
-__all__ = ["broadcast_if_small", "connected_components", "documents", "fold_of", "in_slices", "kept_between_tasks", "materialize", "table"]
+__all__ = ["broadcast_if_small", "connected_components", "documents", "fold_of", "free_names", "in_slices", "kept_between_tasks", "materialize", "table"]
 
 
 def kept_between_tasks(name: str, make: Callable[[], Any]) -> Any:
@@ -37,6 +37,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened by underscores until ``docs`` has no column of that name in any case."""
+    taken = {c.lower() for c in docs.columns}
+    free = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        free.append(name)
+    return free
+
+
 def in_slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows`` rows, so few texts are Python objects at a time."""
     for batch in batches:

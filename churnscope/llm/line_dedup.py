@@ -182,19 +182,20 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                                                     F.min_by("first_doc", "pos").alias("first_doc")).drop("run")
 
 
-def _marked(docs: DataFrame, min_words: int) -> DataFrame:
-    """``docs`` with ``_runs`` to delete (null: none), ``_lines`` in all and ``_deleted``."""
+def _marked(docs: DataFrame, min_words: int, kept: list[str]) -> DataFrame:
+    """``row`` (the columns ``kept`` of ``docs``), ``text``, ``_runs`` to delete (null: none), ``_lines`` in all and ``_deleted``."""
     copies = materialize(later_copies(docs, min_words))
     runs = (copies.groupBy("doc_id", "key")
             .agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_doc"))).alias("_runs"))
             .select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "_runs"))
     if copies.count() <= BROADCAST_RUNS:
         runs = F.broadcast(runs)
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    joined = keyed.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), "text", F.col("doc_id").cast("long").alias("_id"),
+                        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text_key"))
+    joined = keyed.join(runs, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left")
     count = F.aggregate("_runs", F.lit(0), lambda a, run: a + run["end"] - run["start"] + 1)
     return (joined.withColumn("_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))))
-            .withColumn("_deleted", F.coalesce(count, F.lit(0))).drop("_doc", "_key", "_text_key"))
+            .withColumn("_deleted", F.coalesce(count, F.lit(0))).drop("_id", "_doc", "_key", "_text_key"))
 
 
 def _kept_text() -> Column:
@@ -214,7 +215,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     no lines; rows equal in doc_id and text are one document and fare alike.
     """
     runs = F.coalesce(F.col("_runs"), F.array().cast("array<struct<start: int, end: int, first_doc: long>>"))
-    return _marked(docs, min_words).select("doc_id", F.col("_lines").cast("long").alias("n_lines"),
+    return _marked(docs, min_words, ["doc_id"]).select("row.doc_id", F.col("_lines").cast("long").alias("n_lines"),
                                            F.col("_deleted").cast("long").alias("n_deleted"), runs.alias("runs"),
                                            _kept_text().alias("text"))
 
@@ -224,13 +225,16 @@ def without_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     A document whose lines have all been deleted goes (other documents hold
     them); ``n_chars``, if there, tells the new length of a changed text.
+    Columns may have any names.
     """
+    others = [c for c in docs.columns if c != "text"]
     changed = F.col("_deleted") > 0
-    rows = _marked(docs, min_words).filter(~changed | (F.col("_deleted") < F.col("_lines"))).withColumn("text", _kept_text())
-    if "n_chars" in docs.columns:
+    rows = _marked(docs, min_words, others).filter(~changed | (F.col("_deleted") < F.col("_lines"))).withColumn("text", _kept_text())
+    own = {c: F.col(f"row.`{c}`") for c in others} | {"text": F.col("text")}
+    if "n_chars" in own:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        rows = rows.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        own["n_chars"] = F.when(changed, length).otherwise(own["n_chars"])
+    return rows.select(*(own[c].alias(c) for c in docs.columns))
 
 
 def oracle_sql(min_words: int = MIN_WORDS, table: str = "documents") -> str:

@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnscope.llm.common import in_slices, kept_between_tasks
+from churnscope.llm.common import broadcast_if_small, free_names, in_slices, kept_between_tasks, materialize
 
 CAPACITY = 2048
+BROADCAST_HOT = 1_000_000  # hashes of often repeated pieces (8 bytes each) up to this many go to every task
 CELL_ROWS = 512      # pieces numbered by one window group, until MAX_CELLS groups a length
 MAX_CELLS = 4096
 
@@ -223,30 +224,50 @@ def _segments(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {length: np.array(r, dtype=np.int64) for length, r in rows.items()}
 
 
+def numbering_cells(sized: DataFrame, length: str, order: tuple[str, ...], widths: dict[int, int], cell: str = "cell") -> DataFrame:
+    """``sized`` with ``cell``: one of ``widths[length]`` groups in which a length's pieces are numbered.
+
+    The cell is a hash of ``order``; pieces equal in it and the length that are
+    more than CELL_ROWS are interchangeable and dealt one by one.
+    """
+    spark = sized.sparkSession
+    width, key, hot, number = free_names(sized, "_cells", "_order", "_hot", "_row")
+    same = F.xxhash64(length, *order)
+    often = materialize(sized.groupBy(same.alias(hot)).agg(F.count("*").alias(number)).filter(F.col(number) > CELL_ROWS).select(hot))
+    spread = sized.withColumn(key, F.xxhash64(*order))
+    if not often.isEmpty():
+        numbered = spread.withColumn(number, F.monotonically_increasing_id())
+        # written, as cells are counted and numbered in two reads that must see the same row numbers
+        spread = materialize(numbered.join(broadcast_if_small(often, BROADCAST_HOT), same == F.col(hot), "left")
+                             .withColumn(key, F.when(F.col(hot).isNull(), F.col(key)).otherwise(F.col(number))).drop(number, hot))
+    width_frame = spark.createDataFrame(list(widths.items()) or [(0, 1)], f"`{length}` long, `{width}` long")
+    return (spread.join(F.broadcast(width_frame), length)  # one row a length: at most capacity rows
+            .withColumn(cell, F.pmod(F.col(key), F.col(width))).drop(width, key))
+
+
 def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length",
                   order: tuple[str, ...] = ("doc_id", "piece", "start")) -> DataFrame:
     """Adds ``sequence_id`` (0, 1, ...) and ``offset`` (place in it, gapless from 0).
 
-    ``pieces`` is read three times: pass a table or a checkpointed frame.
+    ``pieces`` is read four times: pass a table or a checkpointed frame.
     Rows tied in ``order`` and length are interchangeable only if equal, so
     name enough columns.  Null or zero lengths take no place: both columns are
-    null.  A length above ``capacity`` raises ``ValueError``.
+    null.  A length above ``capacity`` raises ``ValueError``.  Columns of the
+    caller named ``sequence_id`` or ``offset`` are replaced by the new ones; all
+    others stay, whatever their names.
     """
-    spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
+    cell, before, number, spot = free_names(pieces, "_cell", "_before", "_n", "_p")
     sized = pieces.filter(F.col(length) > 0)
     counts = {r[0]: r[1] for r in sized.groupBy(length).count().collect()}  # at most capacity rows, or an error
     segments = _segments(minimum_bin_slack(counts, capacity))
     cells = {n: min(MAX_CELLS, -(-c // CELL_ROWS)) for n, c in counts.items()}
-    cell_frame = spark.createDataFrame(list(cells.items()) or [(0, 1)], f"{length} long, _cells long")
-
-    keyed = (sized.join(F.broadcast(cell_frame), length)  # one row a length: at most capacity rows
-             .withColumn("_cell", F.pmod(F.xxhash64(*order), F.col("_cells"))))
-    starts = keyed.groupBy(length, "_cell").count().withColumn(
-        "_before", F.sum("count").over(Window.partitionBy(length).orderBy("_cell")) - F.col("count")).drop("count")
-    numbered = (keyed.withColumn("_n", F.row_number().over(Window.partitionBy(length, "_cell").orderBy(*order)) - 1)
-                .join(starts, [length, "_cell"])
-                .withColumn("_n", F.col("_n") + F.col("_before")))
+    keyed = numbering_cells(sized, length, order, cells, cell)
+    starts = keyed.groupBy(length, cell).agg(F.count("*").alias(number)).withColumn(
+        before, F.sum(number).over(Window.partitionBy(length).orderBy(cell)) - F.col(number)).drop(number)
+    numbered = (keyed.withColumn(number, F.row_number().over(Window.partitionBy(length, cell).orderBy(*order)) - 1)
+                .join(starts, [length, cell])
+                .withColumn(number, F.col(number) + F.col(before)))
 
     @F.pandas_udf("struct<sequence_id: long, offset: long>")
     def place(lengths: pd.Series, numbers: pd.Series) -> pd.DataFrame:
@@ -262,8 +283,8 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "le
             offset[at] = s[:, 3] + (k % s[:, 1]) * size
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    placed = (numbered.withColumn("_p", place(F.col(length), F.col("_n")))
-              .select(*pieces.columns, F.col("_p.sequence_id").alias("sequence_id"), F.col("_p.offset").alias("offset")))
+    placed = (numbered.withColumn(spot, place(F.col(length), F.col(number)))
+              .select(*pieces.columns, F.col(f"{spot}.sequence_id").alias("sequence_id"), F.col(f"{spot}.offset").alias("offset")))
     unsized = pieces.filter(F.col(length).isNull() | (F.col(length) <= 0))
     return placed.unionByName(unsized.withColumn("sequence_id", F.lit(None).cast("long"))
                               .withColumn("offset", F.lit(None).cast("long")))

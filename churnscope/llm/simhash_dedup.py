@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.llm.common import broadcast_if_small, connected_components, in_slices, materialize
+from churnscope.llm.common import broadcast_if_small, connected_components, free_names, in_slices, materialize
 
 SHINGLE = 3
 RADIUS = 2
@@ -177,14 +177,16 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The document with the smallest id of each near-duplicate group, all columns kept.
 
     Of rows that share that id one stays; rows without an id are left alone.
+    Columns may have any names.
     """
+    other, repeat = free_names(docs, "_other", "_repeated")
     groups = materialize(near_duplicates(docs, **options).filter("doc_id is not null"))
-    others = materialize(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct())
-    kept = docs.join(broadcast_if_small(others, BROADCAST_IDS), F.col("doc_id") == F.col("_other"), "left_anti")
+    others = materialize(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct())
+    kept = docs.join(broadcast_if_small(others, BROADCAST_IDS), F.col("doc_id") == F.col(other), "left_anti")
     repeated = materialize(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-                           .filter("n > 1").select(F.col("doc_id").alias("_repeated")))
+                           .filter("n > 1").select(F.col("doc_id").alias(repeat)))
     if repeated.isEmpty():
         return kept
-    again = F.col("doc_id") == F.col("_repeated")
+    again = F.col("doc_id") == F.col(repeat)
     return (kept.join(repeated, again, "left_anti")
             .unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id"])))

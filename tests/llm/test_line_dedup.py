@@ -5,6 +5,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from churnscope.llm import line_dedup
 from tests.llm import helpers
 
@@ -169,3 +171,15 @@ def test_windows_over_all_rows_meet_few_cells(spark, monkeypatch):
     rows = [(i, f"{short}\n{runs}".replace("{0}", str(i))) for i in (1, 2)]
     assert line_dedup.later_copies(spark.createDataFrame(rows, "doc_id long, text string")).count() == 10
     assert cells and max(cells) <= line_dedup.MAX_CELLS
+
+
+def test_columns_named_like_the_operators_own(spark):
+    own = ("_runs", "_key", "_doc", "_text_key", "_deleted", "_lines", "_id", "row", "pos", "upto", "n_deleted")
+    plain = helpers.odd_documents(spark)
+    docs = plain.withColumns({c: F.lit(k) for k, c in enumerate(own)})
+    kept = line_dedup.without_copies(docs, 20)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "")
+    assert sorted(map(key, rows)) == sorted(map(key, line_dedup.without_copies(plain, 20).collect()))
+    assert all(r[c] == k for r in rows for k, c in enumerate(own))

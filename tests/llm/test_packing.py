@@ -129,3 +129,24 @@ def test_empty_table_and_pieces_without_length(spark):
     odd = spark.createDataFrame([(1, 0, None), (2, 0, 0), (3, 0, 4)], "doc_id long, piece int, length long")
     got = {r.doc_id: (r.sequence_id, r.offset) for r in packing.best_fit_pack(odd, order=("doc_id",)).collect()}
     assert got == {1: (None, None), 2: (None, None), 3: (0, 0)}
+
+
+def test_columns_named_like_the_operators_own(spark):
+    own = ("_cell", "_cells", "_n", "_before", "_p", "_CELL_", "count")
+    plain = spark.createDataFrame([(k, 0, k % 7 + 1) for k in range(300)], "doc_id long, piece int, length long")
+    pieces = plain.withColumns({c: F.lit(k) for k, c in enumerate(own)} | {"offset": F.lit(-1)})
+    packed = packing.best_fit_pack(pieces, capacity=10, order=("doc_id",))
+    assert packed.columns == [*plain.columns, *own, "sequence_id", "offset"]  # a caller's offset is replaced
+    rows = packed.collect()
+    assert all(r[c] == k for r in rows for k, c in enumerate(own))
+    want = packing.best_fit_pack(plain, capacity=10, order=("doc_id",)).collect()
+    assert sorted((r.doc_id, r.sequence_id, r.offset) for r in rows) == sorted((r.doc_id, r.sequence_id, r.offset) for r in want)
+
+
+def test_a_piece_repeated_many_times_is_numbered_in_many_cells(spark):
+    rows = [(7 if k % 3 else k, 0, 5) for k in range(6000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long").repartition(4)
+    packed = packing.best_fit_pack(pieces, capacity=10, order=("doc_id",)).collect()
+    assert len({(r.sequence_id, r.offset) for r in packed}) == 6000 and len({r.sequence_id for r in packed}) == 3000
+    cells = packing.numbering_cells(pieces, "length", ("doc_id",), {5: 12}).groupBy("cell").count().collect()
+    assert len(cells) == 12 and max(r["count"] for r in cells) < 1000

@@ -5,6 +5,8 @@ import random
 import numpy as np
 from xxhash import xxh64_intdigest
 
+from pyspark.sql import functions as F
+
 from churnscope.llm import simhash_dedup
 from churnscope.llm.common import connected_components
 from tests.llm import helpers
@@ -91,3 +93,15 @@ def test_one_of_each_group_stays(spark):
     assert sum(r.doc_id is None for r in kept.collect()) == 2
     assert simhash_dedup.near_duplicates(helpers.no_documents(spark)).collect() == []
     assert simhash_dedup.keep_one(helpers.no_documents(spark)).collect() == []
+
+
+def test_columns_named_like_the_operators_own(spark):
+    own = ("_other", "_repeated", "_Other_", "fingerprint", "component_id", "root")
+    plain = helpers.odd_documents(spark)
+    docs = plain.withColumns({c: F.lit(k) for k, c in enumerate(own)})
+    kept = simhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    assert sorted(map(key, rows)) == sorted(map(key, simhash_dedup.keep_one(plain).collect()))
+    assert all(r[c] == k for r in rows for k, c in enumerate(own))
