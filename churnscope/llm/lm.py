@@ -41,7 +41,7 @@ SCORE_LANES, SCORE_WINDOW = 256, 32
 BUFFER_TOKENS = 2_000_000      # a task scores or trains on so many tokens at a time
 COUNTED_WORDS = 500_000        # a task's word counts are handed on when they reach so many words
 RATE, CLIP, PASSAGE = 1.0, 5.0, 512
-PASSES, LEAST_TOKENS = 8, 400_000  # a copy goes over the last documents it has until it has met so many tokens, in so many passes at most
+COPY_TOKENS = 2_000_000        # training tokens a copy of the network, on average
 LIMIT = 4.0                    # of every weight: HIDDEN of them cannot overflow an exponent
 END = b""                      # the end of a text; no word is empty
 # Token numbers of the network: own words by rank, then the tail classes.
@@ -345,7 +345,12 @@ def train(network: Network, documents: list[np.ndarray], rate: float = RATE) ->
 
 
 def train_network(texts: DataFrame, words: Vocabulary) -> Network:
-    """The average of copies trained on each partition's share of ``texts`` (``doc_id, raw``), weighed by tokens."""
+    """The average of copies trained once over their share of ``texts`` (``doc_id, raw``), weighed by tokens.
+
+    The number of copies follows the training tokens, and a document's copy and
+    place there the hash of its id and text, so the same rows train the same
+    network however the table is split into files and partitions.
+    """
     start = Network.start(words.own_counts, words.tail_tokens)
     numbers = {word: number for word, (number, _) in words.known.items()}
     begin = start.flat()
@@ -362,7 +367,7 @@ def train_network(texts: DataFrame, words: Vocabulary) -> Network:
                 if waiting > BUFFER_TOKENS:
                     train(network, documents)
                     documents, waiting = [], 0
-        for _ in range(min(PASSES, -(-LEAST_TOKENS // waiting)) if documents else 0):
+        if documents:
             train(network, documents)
         if seen:
             yield pa.RecordBatch.from_arrays(
@@ -377,7 +382,10 @@ def train_network(texts: DataFrame, words: Vocabulary) -> Network:
                          "flat": pa.array([mean.astype("<f4").tobytes()], pa.binary())})
 
     schema = "copy long, tokens double, flat binary"
-    copies = materialize(texts.select("raw").mapInArrow(run, schema))
+    n_copies = max(1, -(-words.tokens // COPY_TOKENS))
+    dealt = (texts.select("raw", F.xxhash64("doc_id", "raw").alias("deal")).repartition(n_copies, "deal")
+             .sortWithinPartitions("deal", "raw"))
+    copies = materialize(dealt.select("raw").mapInArrow(run, schema))
     while copies.count() > 1:  # groups of at most 16 copies, level by level
         copies = materialize(copies.groupBy(F.floor(F.col("copy") / 16)).applyInArrow(averaged, schema))
     made = copies.first()

@@ -127,3 +127,11 @@ def test_the_network_learns_from_every_training_document(spark):
     learned = lm.train_network(texts, words)
     fed = [words.known[f"own{k}".encode()][0] for k, _ in rows]
     assert all((learned.p["inputs"][n] != start.p["inputs"][n]).any() for n in fed)
+
+
+def test_scores_do_not_depend_on_the_tables_partitions(spark):
+    docs = helpers.odd_documents(spark)
+    by_split = [sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.base_score), r.score) for r in lm.score_texts(docs.repartition(n)).collect())
+                for n in (1, 5)]
+    for a, b in zip(*by_split, strict=True):
+        assert a[1] == pytest.approx(b[1], rel=1e-6)
