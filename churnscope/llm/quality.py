@@ -36,9 +36,9 @@ _PLACES = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1656
 
 
 def word_shape(word: str) -> str:
-    """``"Abc,"`` -> ``"Aa,"``; letters and digits by kind, runs collapsed, 8 signs at most."""
-    kinds = "".join("A" if ch.isupper() else "a" if ch.isalpha() else "0" if ch.isdigit() else ch for ch in word[:64])
-    return _RUNS.sub(lambda m: m[0][0], kinds)[:8]
+    """``"Abc,"`` -> ``"Aa,"``; letters and digits by kind, runs collapsed, whatever the word's length."""
+    kinds = "".join("A" if ch.isupper() else "a" if ch.isalpha() else "0" if ch.isdigit() else ch for ch in word)
+    return _RUNS.sub(lambda m: m[0][0], kinds)
 
 
 def _codes(words: list[str], known: dict[str, int]) -> np.ndarray:
@@ -191,14 +191,22 @@ def fit(training: DataFrame, fit_rows: int = FIT_ROWS, known_words: int = 200_00
         offset = 0.0 if n_good == n_bad else 30.0 if n_good else -30.0
         return QualityModel(ratios, np.zeros(DIMENSION, np.float32), 0.0, 1.0, offset)
 
-    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flags = {}, np.zeros(DIMENSION, bool)
-        listed = []
-        for batch in batches:
-            for doc_id, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in in_slices(batches, ROWS_AT_ONCE):
+            found = []
+            for text in batch.column(1).to_pylist():
                 if len(known) > known_words:
                     known.clear()
-                listed.append((doc_id, label, text_features(text, known, flags).astype(np.int32)))
+                found.append(text_features(text, known, flags).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)],
+                                             names=["doc_id", "features", "label"])
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = []
+        for batch in batches:
+            for doc_id, found, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                listed.append((doc_id, label, np.frombuffer(found, "<i4")))
         listed.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
         labels = np.array([r[1] for r in listed])
         rows = [r[2] for r in listed]
@@ -218,7 +226,9 @@ def fit(training: DataFrame, fit_rows: int = FIT_ROWS, known_words: int = 200_00
 
     share = min(1.0, fit_rows / (n_good + n_bad))
     chosen = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    made = chosen.select("doc_id", "text", "label").repartition(1).mapInArrow(
+    # the one task gets indicators (at most 4 * DIMENSION bytes a row), not texts
+    indicators = chosen.select("doc_id", "text", "label").mapInArrow(features, "doc_id long, features binary, label int")
+    made = indicators.repartition(1).mapInArrow(
         descend, "weights binary, bias double, slope double, offset double").first()
     return QualityModel(ratios, np.frombuffer(made["weights"], "<f4"), made["bias"], made["slope"], made["offset"])
 

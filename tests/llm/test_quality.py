@@ -61,6 +61,7 @@ def test_dual_coordinate_descent_reaches_the_optimum():
 
 def test_shapes():
     assert [quality.word_shape(w) for w in ("Abc,", "ABC!!", "it's", "2024-05", "é", "###")] == ["Aa,", "A!", "a'a", "0-0", "a", "#"]
+    assert quality.word_shape("a1" * 40 + "!") == "a0" * 40 + "!"  # no sign is cut
 
 
 def test_awkward_rows(spark):
