@@ -13,6 +13,7 @@ only in the first table in which it meets.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,42 +95,58 @@ def fingerprint_documents(docs: DataFrame, known_words: int = 500_000) -> DataFr
 def neighbour_buckets(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows in buckets of neighbouring ids, with each bucket's next document added.
 
-    Columns ``bucket, border, doc_id, text``; inside a bucket the order is
-    descending doc_id, equal ids by text digest, null ids last (bucket -1).
-    ``border`` rows are copies: the first documents of the next lower bucket
-    (after the lowest: of the highest), whose first row follows the bucket's last.
+    Columns ``bucket, border, doc_id, text, digest``.  Ascending bucket numbers
+    follow the order of the documents: descending doc_id, equal ids by the
+    text's digest, null ids last.  Ids that fill several buckets, null ids
+    among them, are cut into even ranges of the digest.  ``border`` rows are
+    copies: the first document of the next bucket (after the last: of the
+    first), which follows the bucket's last row; of rows equal in id and text
+    every one is copied.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    base = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+            .withColumn("digest", F.xxhash64("text")))
     shares = [k / buckets for k in range(1, buckets)] or [0.5]
-    found = base.agg(F.percentile_approx("doc_id", shares, 10 * buckets)).first()[0]
-    cuts = np.array(sorted(set(found or [])), np.int64)
-
-    def bucket_numbers(doc_id: pd.Series) -> np.ndarray:
-        at = np.searchsorted(cuts, doc_id.fillna(0).to_numpy(np.int64), side="right")
-        return np.where(doc_id.isna(), -1, at).astype(np.int64)
+    found, rows, nulls = base.agg(F.percentile_approx("doc_id", shares, 10 * buckets), F.count("*"),
+                                  F.count_if(F.col("doc_id").isNull())).first()
+    times = Counter(found or [])
+    hot = {i: n for i, n in times.items() if n > 1}
+    cuts = np.array(sorted(set(times) | {i + 1 for i in hot if i < np.iinfo(np.int64).max}), np.int64)
+    null_place = len(cuts) + 1
+    slices = np.ones(null_place + 1, np.int64)  # places in the order of the documents: the highest ids first
+    for i, n in hot.items():
+        slices[len(cuts) - np.searchsorted(cuts, i, side="right")] = n
+    slices[null_place] = max(1, -(-nulls * buckets // max(rows, 1)))
+    width = int(slices.max())
+
+    def bucket_numbers(doc_id: pd.Series, missing: pd.Series, digest: pd.Series) -> np.ndarray:
+        place = len(cuts) - np.searchsorted(cuts, doc_id.to_numpy(np.int64), side="right")
+        place = np.where(missing.to_numpy(bool), null_place, place)
+        slice_of = ((digest.to_numpy(np.int64) >> 32) + 2 ** 31) * slices[place] >> 32  # ascending with the digest
+        return place * width + slice_of
 
     @F.pandas_udf("long")
-    def bucket_of(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(bucket_numbers(doc_id))
+    def bucket_of(doc_id: pd.Series, missing: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series(bucket_numbers(doc_id, missing, digest))
 
-    firsts = sorted((r[0], r[1]) for r in base.select("doc_id", bucket_of("doc_id").alias("b")).groupBy("b")
-                    .agg(F.max("doc_id")).collect())  # one row a bucket
-    lower_to_upper = {firsts[k][0]: firsts[(k + 1) % len(firsts)][0] for k in range(len(firsts))}
-    first_id = dict(firsts)
+    key = (F.coalesce("doc_id", F.lit(0).cast("long")), F.col("doc_id").isNull(), F.col("digest"))
+    firsts = sorted((r[0], r[1][0] or 0, ~r[1][1]) for r in base.select("doc_id", "digest", bucket_of(*key).alias("b")).groupBy("b")
+                    .agg(F.max(F.struct("doc_id", F.bitwise_not("digest")))).collect())  # one row a bucket
+    first_of = {b: (i, digest) for b, i, digest in firsts}
+    before = {firsts[k][0]: firsts[k - 1][0] for k in range(len(firsts))}
 
     @F.pandas_udf("array<struct<bucket: long, border: boolean>>")
-    def places(doc_id: pd.Series) -> pd.Series:
-        at = bucket_numbers(doc_id)
+    def places(doc_id: pd.Series, missing: pd.Series, digest: pd.Series) -> pd.Series:
+        at = bucket_numbers(doc_id, missing, digest)
         out = []
-        for b, i in zip(at.tolist(), doc_id.tolist(), strict=True):
+        for b, i, d in zip(at.tolist(), doc_id.tolist(), digest.tolist(), strict=True):
             own = [{"bucket": b, "border": False}]
-            if b == -1 or i == first_id[b]:
-                own.append({"bucket": lower_to_upper[b], "border": True})
+            if (i, d) == first_of[b]:
+                own.append({"bucket": before[b], "border": True})
             out.append(own)
         return pd.Series(out)
 
-    return (base.withColumn("p", F.explode(places("doc_id")))
-            .select("p.bucket", "p.border", "doc_id", "text"))
+    return (base.withColumn("p", F.explode(places(*key)))
+            .select("p.bucket", "p.border", "doc_id", "text", "digest"))
 
 
 def edited_likeness(docs: DataFrame, buckets: int | None = None, known_words: int = 500_000) -> DataFrame:
@@ -138,13 +155,13 @@ def edited_likeness(docs: DataFrame, buckets: int | None = None, known_words: in
     Edited: the last floor(n/2) code points replaced by the first as many (or
     all) of the next document in descending doc_id; after the last comes the
     first, so a lone document follows itself.  Null text is empty; null ids
-    come last; equal ids are ordered by a digest of their text.
+    come last; equal ids, null ones too, are ordered by a digest of their text.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = neighbour_buckets(docs, buckets or 4 * n)
     dealt = (placed.repartition(n, "bucket")
-             .sortWithinPartitions("bucket", "border", F.col("doc_id").desc_nulls_last(), F.xxhash64("text")))
+             .sortWithinPartitions("bucket", "border", F.col("doc_id").desc_nulls_last(), "digest").drop("digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}

@@ -3,6 +3,9 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+from collections import Counter
+
+import xxhash
 
 from churnscope.llm import fingerprints
 from tests.llm import helpers
@@ -73,3 +76,25 @@ def test_null_and_repeated_ids_and_empty_tables(spark):
     assert r.near_next == 1.0
     none = helpers.documents(spark, [(None, "a b c d", *helpers.awkward_rows()[0][2:])])
     assert fingerprints.edited_likeness(none).count() == 1
+
+
+def test_ids_that_a_third_of_the_rows_share_fill_several_buckets(spark):
+    rows = [(None, f"none {k} of them") for k in range(200)] + [(7, f"seven {k} of them") for k in range(200)]
+    rows += [(2 ** 62 + k, f"own {k}") for k in range(100)] + [(-k, f"below {k}") for k in range(1, 100)] + [(2 ** 63 - 1, "top")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def digest(text):
+        unsigned = xxhash.xxh64_intdigest(text.encode(), 42)
+        return unsigned - (unsigned >= 2 ** 63) * 2 ** 64
+
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), digest(r[1])))
+    follows = {r: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
+    for buckets in (1, 12):
+        placed = fingerprints.neighbour_buckets(docs, buckets).collect()
+        sizes = Counter(r.bucket for r in placed)
+        assert len(placed) == len(rows) + len(sizes)
+        if buckets > 1:
+            assert max(sizes.values()) < 120
+        got = Counter((r.doc_id, r.edited_sha256) for r in fingerprints.edited_likeness(docs, buckets).collect())
+        assert got == Counter((i, hashlib.sha256((text[:len(text) - len(text) // 2] + following[:len(text) // 2]).encode()).hexdigest())
+                              for (i, text), following in follows.items())
