@@ -59,7 +59,7 @@ from churnscope.functions.dates import (
     week_bucket,
 )
 from churnscope.operators.asof import RANGES, AsOf
-from churnscope.sources.register import unique_keys
+from churnscope.sources.register import VALIDITY_COLUMNS, unique_keys
 
 LEVELS = {"custno": "CUSTNO", "compid": "COMPID"}
 
@@ -372,18 +372,20 @@ def live_customers(register: DataFrame, asof: AsOf, level: str = "custno",
     """Register rows open on each as-of day, with ``killed`` (closes before
     the target window ends) and ``feature_days_customer``: one row per day and
     register row, so the as-of table meets the register on the live test
-    itself, after literal bounds are pushed into the register scan.
+    itself, after literal bounds are pushed into the register scan.  Of a dated
+    register (``sources.dated_register``) a day reads the snapshot it holds.
     """
     reg = _prefilter_register(register, asof)
     if asof.single is not None:
         j = asof.attach(reg).where(is_live("CREDATE", "KILLDATE", "feature_end"))
+        j = j.where(_holds(j, F.col("feature_end")))
     else:
         w = asof.frame
-        j = reg.join(w, is_live(reg["CREDATE"], reg["KILLDATE"], w["feature_end"]), "inner")
+        j = reg.join(w, is_live(reg["CREDATE"], reg["KILLDATE"], w["feature_end"]) & _holds(reg, w["feature_end"]), "inner")
     return j.select(
         "loop_day",
         F.col(level_column(level)).alias("customer_level"),
-        *[F.col(c) for c in register.columns],
+        *_register_columns(register),
         killed_flag("KILLDATE", "target_end").alias("killed"),
         customer_age_days("feature_end", "CREDATE").alias("feature_days_customer"),
         *(extra or []),
@@ -394,9 +396,25 @@ def _prefilter_register(register: DataFrame, asof: AsOf) -> DataFrame:
     """Literal bounds every live row satisfies for some as-of day (pushed to
     the register scan)."""
     k = F.col("KILLDATE")
-    return register.where(
-        (F.col("CREDATE") <= F.lit(asof.last_end)) & (k.isNull() | (k > F.lit(asof.first_end)))
-    )
+    bounds = (F.col("CREDATE") <= F.lit(asof.last_end)) & (k.isNull() | (k > F.lit(asof.first_end)))
+    if _dated(register):
+        bounds &= (F.col("VALID_FROM") <= F.lit(asof.last_end)) & (F.col("VALID_TO") > F.lit(asof.first_end))
+    return register.where(bounds)
+
+
+def _dated(register: DataFrame) -> bool:
+    return set(VALIDITY_COLUMNS) <= set(register.columns)
+
+
+def _holds(register: DataFrame, day: Column) -> Column:
+    """Whether a register row is of the snapshot that ``day`` reads (true without dated snapshots)."""
+    return (register["VALID_FROM"] <= day) & (register["VALID_TO"] > day) if _dated(register) else F.lit(True)
+
+
+def _register_columns(register: DataFrame) -> list[Column]:
+    """The register's own columns."""
+    skip = VALIDITY_COLUMNS if _dated(register) else ()
+    return [F.col(c) for c in register.columns if c not in skip]
 
 
 def feature_frame(ledger: DataFrame, register: DataFrame, asof: AsOf, level: str = "custno",
@@ -417,7 +435,12 @@ def feature_frame(ledger: DataFrame, register: DataFrame, asof: AsOf, level: str
     With ``latest`` (newest posting date) and a label, ``label_mature`` marks
     rows whose whole target window lies within the data; a label is otherwise
     "no purchase yet", not "no purchase in a year".
+
+    A dated register (``sources.dated_register``) gives every day the register
+    columns of the snapshot it holds, at customer level.
     """
+    if _dated(register) and level_column(level) != "CUSTNO":
+        raise ValueError("a register of dated snapshots serves the customer level only")
     counts = (
         entity_features(ledger, asof, level, register, with_label, month_mode, n_weeks, strategy)
         .where(F.col("UNIQUE_TRANSREFNO_ACTIVE") > 0)
@@ -426,7 +449,7 @@ def feature_frame(ledger: DataFrame, register: DataFrame, asof: AsOf, level: str
     # the live test is part of the join.
     reg = _prefilter_register(register, asof).withColumn("_entity", F.col(level_column(level)))
     counts = asof.attach(counts.drop("loop_day")) if asof.single is not None else counts.join(asof.frame, "loop_day")
-    live = is_live(reg["CREDATE"], reg["KILLDATE"], counts["feature_end"])
+    live = is_live(reg["CREDATE"], reg["KILLDATE"], counts["feature_end"]) & _holds(reg, counts["feature_end"])
     j = (counts.join(reg, (counts["customer_level"] == reg["_entity"]) & live)
          .withColumn("killed", killed_flag("KILLDATE", "target_end"))
          .withColumn("feature_days_customer", customer_age_days("feature_end", "CREDATE")))
@@ -442,7 +465,7 @@ def feature_frame(ledger: DataFrame, register: DataFrame, asof: AsOf, level: str
     return j.select(
         "loop_day",
         "customer_level",
-        *[F.col(c) for c in register.columns],
+        *_register_columns(register),
         "killed",
         *MONTH_COLUMNS,
         *week_columns(n_weeks),

@@ -54,6 +54,7 @@ from churnscope.sources import (
     read_call_lists,
     read_ledger,
     read_register_snapshot,
+    read_register_snapshots,
     write_bucketed,
     write_call_lists,
 )
@@ -384,6 +385,30 @@ def _frame_from_files(spark, sf):
     return frame
 
 
+SNAPSHOT_DAYS = (dt.date(1999, 12, 31), dt.date(2000, 7, 2))
+
+
+def _frame_dated_register(spark, sf):
+    """The backtest frame with the register as each day knew it, through the
+    reader of dated snapshots; the folders are removed once the frame stands."""
+    base = fresh_path(spark, "register-snapshots")
+    for moved, day in enumerate(SNAPSHOT_DAYS):
+        X.register_taken(spark, sf, day, moved).write.parquet(f"{base}/{day}")
+    reg = read_register_snapshots(spark, base, {str(day): day for day in SNAPSHOT_DAYS})
+    frame = materialize(FE.feature_frame(X.ledger(spark, sf), reg, A.backtest_days(spark, TRAIN_END)))
+    remove_path(spark, base)
+    return frame
+
+
+def _dated_register_sql() -> str:
+    first, second = map(O.d, SNAPSHOT_DAYS)
+    taken = " union all ".join(
+        f"select * replace (case when KILLDATE <= {day} then KILLDATE end as KILLDATE, cast((REGION + {moved}) % 5 as integer) as REGION), "
+        f"{day} as taken from register where CREDATE <= {day}" for moved, day in enumerate((first, second)))
+    return O.feature_frame_sql(BACKTEST_DAYS, register=f"({taken})",
+                               live=f"r.taken = case when w.e >= {second} then {second} else {first} end")
+
+
 def _frame_from_buckets(spark, sf, days=None):
     """The frame through tables bucketed by customer, dropped once it stands."""
     base = fresh_path(spark, "bucketed")
@@ -443,6 +468,28 @@ def _model_inputs(spark, sf):
     return MD.model_inputs(MD.encoder(), frame)
 
 
+def _model_input_vectors(spark, sf):
+    """The model frame with the assembled vector as text (every input is a whole number)."""
+    digits = F.transform("features", lambda x: x.cast("long").cast("string"))
+    return _model_inputs(spark, sf).withColumn("features", F.array_join(digits, ","))
+
+
+def _vectors_sql() -> str:
+    def block(of: str) -> str:
+        return f"[case when k = {of}.i then '1' else '0' end for k in range((select count(*) from {of}))]"
+
+    numeric = [f"Month_{k}" for k in range(1, 12)] + [f"Week_{j}" for j in range(1, 7)] + ["feature_days_customer"]
+    return f"""
+, cls as (select CUSTCLASS, dense_rank() over (order by CUSTCLASS desc) - 1 as i
+          from (select distinct CUSTCLASS from tf where CUSTCLASS is not null) a),
+reg as (select REGION, dense_rank() over (order by cast(REGION as varchar) desc) - 1 as i
+        from (select distinct REGION from tf where REGION is not null) b)
+select loop_day, customer_level, total_sales, cast(target_churn as double) as "indexedLabel",
+       array_to_string(list_concat(list_concat({block('cls')}, {block('reg')}),
+                       [{', '.join(f'cast({c} as varchar)' for c in numeric)}]), ',') as features
+from tf left join cls on cls.CUSTCLASS = tf.CUSTCLASS left join reg on reg.REGION = tf.REGION"""
+
+
 def _model_input_entries(spark, sf):
     return MD.model_input_entries(MD.encoder(), _frame(spark, sf))
 
@@ -593,6 +640,7 @@ def build_catalog() -> dict[str, Query]:
               O.feature_frame_sql(TRAIN_DAYS), FRAME_DATES, ("UNIQUE_TRANSREFNO_TARGET",)),
         Query("features_company_level", lambda s, sf: _frame(s, sf, "compid"),
               O.feature_frame_sql(TRAIN_DAYS, level="compid"), FRAME_DATES, ("UNIQUE_TRANSREFNO_TARGET",)),
+        Query("feature_frame_dated_register", _frame_dated_register, _dated_register_sql(), FRAME_DATES, ("UNIQUE_TRANSREFNO_TARGET",)),
         Query("feature_frame_custom_windows", _free_frame, O.free_frame_sql(FREE_WINDOWS), FRAME_DATES,
               ("UNIQUE_TRANSREFNO_TARGET",)),
         Query("feature_frame_from_files", _frame_from_files,
@@ -687,6 +735,8 @@ left join lab using (CUSTCLASS) group by all"""),
         Query("campaign_csv_roundtrip", _csv_roundtrip, CUR + _segments_sql("pe"), ("CREDATE",)),
         Query("model_input_entries", _model_input_entries,
               O.with_base() + ", " + frame_cte("tf", TRAIN_DAYS) + _entries_sql()),
+        Query("model_input_vectors", _model_input_vectors,
+              O.with_base() + ", " + frame_cte("tf", TRAIN_DAYS) + _vectors_sql()),
         # Of fitted runs: what does not depend on the trees.
         Query("backtest_prediction_rows", lambda s, sf: _evaluate(s, sf, QUICK_GBT).predictions.select(
             "loop_day", "customer_level", "total_sales", "indexedLabel"),

@@ -142,7 +142,8 @@ tgt as (
 
 
 def feature_frame_sql(days: Sequence[tuple[int, dt.date]], level: str = "custno", with_label: bool = True,
-                      active_days: int = ACTIVE_DAYS_EVALUATION, month_mode: str = "calendar") -> str:
+                      active_days: int = ACTIVE_DAYS_EVALUATION, month_mode: str = "calendar",
+                      register: str = "register", live: str = "true") -> str:
     """The feature frame as one SQL statement (no trailing presentation)."""
     reg_cols = ", ".join(f"r.{c}" for c in REGISTER_COLUMNS)
     feat_cols = ", ".join(f"f.{c}" for c in MONTHS + WEEKS)
@@ -158,7 +159,7 @@ select f.loop_day, f.customer_level, {reg_cols},
        {feat_cols}, f.total_sales, f.UNIQUE_TRANSREFNO_ACTIVE, {label}
        cast(date_diff('day', r.CREDATE, w.e) + 1 as integer) as feature_days_customer
 from feat f join windows w on w.loop_day = f.loop_day
-join register r on r.{level_key(level)} = f.customer_level
+join {register} r on r.{level_key(level)} = f.customer_level and {live}
 {tgt_join}
 where r.CREDATE <= w.e and (r.KILLDATE > w.e or r.KILLDATE is null) and f.UNIQUE_TRANSREFNO_ACTIVE > 0
 """

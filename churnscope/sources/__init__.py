@@ -14,7 +14,14 @@ from churnscope.sources.ledger import (
     to_ledger,
     union_extracts,
 )
-from churnscope.sources.register import duplicate_keys, normalise_register, read_register_snapshot, unique_keys
+from churnscope.sources.register import (
+    dated_register,
+    duplicate_keys,
+    normalise_register,
+    read_register_snapshot,
+    read_register_snapshots,
+    unique_keys,
+)
 from churnscope.sources.sinks import read_call_lists, write_call_lists
 from churnscope.sources.tables import read_bucketed, write_bucketed
 
@@ -23,6 +30,7 @@ __all__ = [
     "LEDGER_SCHEMA",
     "RAW_LEDGER_SCHEMA",
     "cut",
+    "dated_register",
     "duplicate_keys",
     "fixtures",
     "ledger_from_extracts",
@@ -33,6 +41,7 @@ __all__ = [
     "read_extract",
     "read_ledger",
     "read_register_snapshot",
+    "read_register_snapshots",
     "to_ledger",
     "union_extracts",
     "unique_keys",

@@ -99,5 +99,14 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def register_taken(spark: SparkSession, sf_dir: str, day: dt.date, moved: int) -> DataFrame:
+    """The register as a snapshot of ``day`` tells it: later customers and
+    closings unknown, every REGION ``moved`` on (of five)."""
+    return register(spark, sf_dir).where(F.col("CREDATE") <= F.lit(day)).withColumns({
+        "KILLDATE": F.when(F.col("KILLDATE") <= F.lit(day), F.col("KILLDATE")),
+        "REGION": (F.col("REGION") + moved) % 5,
+    })
+
+
 # Standard as-of dates on the test tables (all labels mature: data ends 2001-08-01).
 TRAINING_END = dt.date(1999, 6, 30)

@@ -1,17 +1,23 @@
 """Customer-register sources.
 
 The register is a dated snapshot folder; one snapshot serves every as-of day
-(so categorical columns are today's values).  Pass another snapshot to score
-history with the attributes it had then.
+(so categorical columns are today's values).  Pass another snapshot, or several
+with the days they were taken, to score history with the attributes it had then.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REGISTER_KEY_COLUMNS = ("CUSTNO", "COMPID")
 REGISTER_DATE_COLUMNS = ("CREDATE", "KILLDATE")
+# First day and first day no longer of a dated snapshot's rows.
+VALIDITY_COLUMNS = ("VALID_FROM", "VALID_TO")
 
 
 def read_register_snapshot(spark: SparkSession, base: str, snapshot: str,
@@ -20,6 +26,34 @@ def read_register_snapshot(spark: SparkSession, base: str, snapshot: str,
     return spark.read.format(fmt).load(f"{base.rstrip('/')}/{snapshot}")
 
 
+def dated_register(snapshots: Mapping[dt.date, DataFrame]) -> DataFrame:
+    """Whole snapshots by the day each was taken, as one register whose rows
+    hold from that day until the next snapshot (``VALID_FROM``, ``VALID_TO``).
+
+    Days before the first snapshot read the first.  The feature frame and the
+    live customers take, for every as-of day, the rows that hold on its feature
+    end, by two more conditions of the live test; customers alone, since a
+    company would need its members as of each posting date.
+    """
+    if not snapshots:
+        raise ValueError("a dated register needs a snapshot")
+    days = sorted(snapshots)
+    starts = ["0001-01-01", *(day.isoformat() for day in days[1:])]
+    ends = [*starts[1:], "9999-12-31"]
+    parts = [snapshots[day].withColumns({"VALID_FROM": F.to_date(F.lit(start)), "VALID_TO": F.to_date(F.lit(end))})
+             for day, start, end in zip(days, starts, ends, strict=True)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_register_snapshots(spark: SparkSession, base: str, snapshots: Mapping[str, dt.date],
+                            fmt: str = "parquet") -> DataFrame:
+    """Read the folders ``snapshots`` (name -> day taken) of ``base`` as a :func:`dated_register`."""
+    if len(set(snapshots.values())) < len(snapshots):
+        raise ValueError("two register snapshots of one day")
+    return dated_register({day: normalise_register(read_register_snapshot(spark, base, name, fmt))
+                           for name, day in snapshots.items()})
+
+
 def normalise_register(df: DataFrame) -> DataFrame:
     """Fixed types on the columns the operators read; others pass through."""
     casts = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,10 +31,32 @@ def test_current_prediction_to_call_lists(spark, small, level, key):
 
 
 def test_backtest_metrics_cover_every_day(spark, small):
-    import datetime as dt
-
     led, reg = small
     ev = P.evaluate(led, reg, dt.date(1999, 6, 30), use_model=False, checkpoint=False)
     rows = ev.metrics.collect()
     assert sorted(r.loop_day for r in rows) == [1, 2, 3, 4]
     assert all(r.total_classified >= r.newly_classified for r in rows)
+
+
+def test_metrics_of_a_fitted_run_from_its_own_predictions(spark, small):
+    led, reg = small
+    ev = P.evaluate(led, reg, dt.date(1999, 6, 30), gbt_params={"maxIter": 3, "maxDepth": 3, "seed": 42})
+    by_day: dict[int, list] = {}
+    for r in ev.predictions.collect():
+        by_day.setdefault(r.loop_day, []).append((r.customer_level, r.prediction == 1.0, r.indexedLabel == 1.0))
+    got = {r.loop_day: r for r in ev.metrics.collect()}
+    assert set(got) == set(by_day) == {1, 2, 3, 4}
+    before: set = set()
+    for day in sorted(by_day):
+        rows = by_day[day]
+        hit, called, churned = (sum(f(p, y) for _, p, y in rows) for f in
+                                (lambda p, y: p and y, lambda p, y: p, lambda p, y: y))
+        right = sum(p == y for _, p, y in rows)
+        want = {"recall": hit / churned if churned else None, "precision": hit / called if called else None, "accuracy": right / len(rows)}
+        for name, value in want.items():
+            assert got[day][name] == (None if value is None else pytest.approx(value)), (day, name)
+        flagged = {c for c, p, _ in rows if p}
+        assert got[day].total_companies == len(rows) and got[day].total_classified == len(flagged | before)
+        assert got[day].newly_classified == len(flagged - before)
+        assert got[day].fallen_out == len(before - flagged)
+        before |= flagged

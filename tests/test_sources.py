@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from churnscope.operators import asof as A
+from churnscope.operators import features as FE
 from churnscope.session import fresh_path
 from churnscope.sources import fixtures as X
-from churnscope.sources import qualify, read_call_lists, union_extracts, write_call_lists
+from churnscope.sources import dated_register, qualify, read_call_lists, union_extracts, write_call_lists
 from tests.conftest import SF_SMALL
 
 
@@ -52,3 +57,27 @@ def test_delta_without_connector_explains_itself(spark, tmp_path):
     with pytest.raises(Exception) as info:
         read_extract(spark, p, fmt="delta").count()
     assert "delta" in str(info.value).lower()
+
+
+def test_every_day_reads_the_snapshot_it_holds(spark, small):
+    led, reg = small
+    taken = [dt.date(2000, 6, 1), dt.date(2000, 7, 2)]
+    days = A.backtest_days(spark, X.TRAINING_END)
+    ends = {r.loop_day: r.feature_end for r in days.frame.collect()}
+    dated = dated_register({day: reg.withColumn("REGION", F.lit(k)) for k, day in enumerate(taken)})
+    frame = FE.feature_frame(led, dated, days)
+    assert frame.columns == FE.feature_frame(led, reg, days).columns
+    held = {r.loop_day: r.regions for r in frame.groupBy("loop_day").agg(F.collect_set("REGION").alias("regions")).collect()}
+    assert held == {day: [int(end >= taken[1])] for day, end in ends.items()} and len({tuple(v) for v in held.values()}) == 2
+    plain = FE.feature_frame(led, reg, days)
+    assert frame.drop("REGION").exceptAll(plain.drop("REGION")).count() == 0 and frame.count() == plain.count()
+    live = FE.live_customers(dated, days)
+    assert live.count() == FE.live_customers(reg, days).count() and live.columns == FE.live_customers(reg, days).columns
+    # a single day before all snapshots reads the first
+    early = A.training_day(spark, X.TRAINING_END)
+    assert {r.REGION for r in FE.feature_frame(led, dated, early).collect()} == {0}
+    assert {r.REGION for r in FE.live_customers(dated, early).collect()} == {0}
+    with pytest.raises(ValueError, match="customer level"):
+        FE.feature_frame(led, dated, days, "compid")
+    with pytest.raises(ValueError, match="needs a snapshot"):
+        dated_register({})
