@@ -8,6 +8,7 @@ from churnscope.sources.ledger import (
     RAW_LEDGER_SCHEMA,
     cut,
     ledger_from_extracts,
+    ledger_from_tagged,
     qualify,
     read_extract,
     read_ledger,
@@ -34,6 +35,7 @@ __all__ = [
     "duplicate_keys",
     "fixtures",
     "ledger_from_extracts",
+    "ledger_from_tagged",
     "normalise_register",
     "qualify",
     "read_bucketed",

@@ -12,7 +12,7 @@ from churnscope.operators import asof as A
 from churnscope.operators import features as FE
 from churnscope.session import fresh_path
 from churnscope.sources import fixtures as X
-from churnscope.sources import dated_register, qualify, read_call_lists, union_extracts, write_call_lists
+from churnscope.sources import dated_register, ledger_from_extracts, ledger_from_tagged, qualify, read_call_lists, union_extracts, write_call_lists
 from tests.conftest import SF_SMALL
 
 
@@ -81,3 +81,23 @@ def test_every_day_reads_the_snapshot_it_holds(spark, small):
         FE.feature_frame(led, dated, days, "compid")
     with pytest.raises(ValueError, match="needs a snapshot"):
         dated_register({})
+
+
+def test_ledger_joins_its_lines_once_and_equals_the_union_of_extracts(spark, tmp_path):
+    days = [dt.datetime(*d) for d in ((1996, 12, 31), (1997, 1, 1), (1999, 7, 1), (1999, 12, 31), (2000, 1, 1), (2000, 6, 30), (2000, 7, 1))]
+    orders = [(k, k % 3, day) for k, day in enumerate([*days, None], 1)] + [(2, 9, days[4]), (None, 1, days[0])]
+    lines = [(k, n, 1.5 * n, flag) for k in range(1, 9) for n, flag in ((1, "A"), (1, "A"), (2, "N"), (3, "R"), (7, "A"))] + [(None, 1, 1.0, "A")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    led, apart = X.ledger(spark, str(tmp_path)), ledger_from_extracts(X.raw_extracts(spark, str(tmp_path)), X.HANDOVER)
+    assert led.schema == apart.schema and sorted(map(tuple, led.collect())) == sorted(map(tuple, apart.collect())) and led.count() == 24
+    assert led._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_tagged_extracts_are_cut_at_their_own_borders(spark):
+    first, second = dt.date(2020, 1, 1), dt.date(2020, 2, 1)
+    rows = [(k, day, 5, "10", 61, tag) for tag in (0, 1, 2, 3) for k, day in enumerate((dt.date(2019, 12, 31), first, dt.date(2020, 1, 31), second, None))]
+    raw = spark.createDataFrame(rows, "CUSTNO long, POSTDATE date, TRANSREFNO long, COMPNO string, OTYPE int, EXTRACT int").selectExpr("*", "cast(1 as decimal(18,2)) as SALES")
+    for handover in ([first, second], [None, second]):
+        apart = ledger_from_extracts([raw.where(f"EXTRACT = {k}") for k in range(3)], handover)
+        assert sorted(map(str, ledger_from_tagged(raw, handover).collect())) == sorted(map(str, apart.collect()))
