@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from churnscope.operators.model import model_inputs
 from churnscope.session import fresh_path, materialize, remove_path
 
+# Nodes (about 100 bytes each) of a model that goes to every task; a larger one is joined by a shuffle at every level.
+BROADCAST_NODES = 200_000
+
 
 def node_table(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """One row per node of the pipeline's boosted trees.
@@ -58,8 +61,12 @@ def evaluate_nodes(nodes: DataFrame, rows: DataFrame, keys: Sequence[str], featu
 
     ``rows`` holds its inputs as an array; ``keys`` must name a row.  Every row
     stands at one node of each tree; a level is one equi-join with the node
-    table, which is as large as the model, and rows stay at their leaf.
+    table, which is as large as the model, and rows stay at their leaf.  With at
+    most ``BROADCAST_NODES`` nodes all levels are one pass over the rows, and
+    only sums by key are shuffled.  ``nodes`` is read at every level: pass a
+    table or a checkpointed frame.
     """
+    shared = F.broadcast if nodes.count() <= BROADCAST_NODES else lambda table: table
     tree_numbers = nodes.where("node = 0").agg(F.sort_array(F.collect_list("tree"))).first()[0]
     at = rows.select(*keys, F.col(features).alias("inputs"), F.explode(F.array(*map(F.lit, tree_numbers))).alias("tree"), F.lit(0).alias("node"))
     for _ in range(tree_depth(nodes)):
@@ -67,8 +74,8 @@ def evaluate_nodes(nodes: DataFrame, rows: DataFrame, keys: Sequence[str], featu
         goes_left = F.when(F.col("categories").isNull(), value <= F.col("threshold")).otherwise(F.array_contains("categories", value))
         child = F.when(F.col("left") < 0, F.col("node")).when(goes_left, F.col("left")).otherwise(F.col("right"))
         splits = nodes.select("tree", "node", "left", "right", "feature", "threshold", "categories")
-        at = at.join(splits, ["tree", "node"]).select(*keys, "inputs", "tree", child.alias("node"))
-    leaves = at.join(nodes.select("tree", "node", "weight", F.col("prediction").alias("leaf")), ["tree", "node"])
+        at = at.join(shared(splits), ["tree", "node"]).select(*keys, "inputs", "tree", child.alias("node"))
+    leaves = at.join(shared(nodes.select("tree", "node", "weight", F.col("prediction").alias("leaf"))), ["tree", "node"])
     margin = leaves.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("leaf")).alias("margin"))
     # the boosted margin is half the log odds
     return margin.select(*keys, "margin", (1.0 / (1.0 + F.exp(-2.0 * F.col("margin")))).alias("probability_churn"),

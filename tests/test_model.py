@@ -122,3 +122,22 @@ def test_fit_settings_do_not_change_the_trees(spark, small):
     trees = [MD.fit(MD.classifier_pipeline({**SMALL_GBT, "maxDepth": 12, **extra}), train).stages[-1].toDebugString.split("\n", 1)[1]
              for extra in ({}, plain)]
     assert trees[0] == trees[1]
+
+
+def test_trees_are_walked_without_shuffling_rows_at_every_level(spark, monkeypatch):
+    nodes = spark.createDataFrame(
+        [(0, 1.0, 0, 1, 2, 0, 5.0, None, 2.0, 9, 0.0), (0, 1.0, 1, -1, -1, -1, None, None, -1.0, 4, 0.5), (0, 1.0, 2, -1, -1, -1, None, None, -1.0, 5, -0.5)],
+        "tree int, weight double, node int, left int, right int, feature int, threshold double, categories array<double>, gain double, n long, prediction double")
+    rows = spark.createDataFrame([(1, [5.0]), (2, [6.0])], "k int, features array<double>")
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffles = []
+        for limit in (TR.BROADCAST_NODES, 0):
+            monkeypatch.setattr(TR, "BROADCAST_NODES", limit)
+            told = TR.evaluate_nodes(nodes, rows, ["k"])
+            assert {r.k: r.margin for r in told.collect()} == {1: 0.5, 2: -0.5}
+            shuffles.append(told._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin"))
+        assert shuffles[0] == 0 < shuffles[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
