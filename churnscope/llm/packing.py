@@ -36,7 +36,7 @@ PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 # Words of Latin letters, with a full stop or comma at most: lower case and mark can be split off without changing ids.
 _PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)")
 # White space to Python, but not to the tokenizer.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def _byte_signs() -> dict[int, str]:
@@ -120,16 +120,22 @@ class WordTokenizer:
 
     def texts_ids(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts: cut at white space, every distinct word encoded once."""
-        split = [t.split() if not _SEPARATORS.search(t) else [w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > self.known_words:
-            self.known.clear()
-            new = set().union(*split)
-        self._learn(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        return list(map(self.text_ids, texts))
 
     def text_ids(self, text: str) -> bytes:
-        return self.texts_ids([text])[0]
+        if any(sign in text for sign in _SEPARATORS):
+            words = [w for w in text.replace("\n", " ").split(" ") if w]
+        else:
+            words = text.split()
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:  # only texts with new words are looked through for them
+            new = set(words).difference(self.known)
+            if len(self.known) + len(new) > self.known_words:
+                self.known.clear()
+                new = set(words)
+            self._learn(new)
+            return b"".join(map(self.known.__getitem__, words))
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = 0,

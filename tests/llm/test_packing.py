@@ -150,3 +150,14 @@ def test_a_piece_repeated_many_times_is_numbered_in_many_cells(spark):
     assert len({(r.sequence_id, r.offset) for r in packed}) == 6000 and len({r.sequence_id for r in packed}) == 3000
     cells = packing.numbering_cells(pieces, "length", ("doc_id",), {5: 12}).groupBy("cell").count().collect()
     assert len(cells) == 12 and max(r["count"] for r in cells) < 1000
+
+
+def test_known_words_are_not_looked_through_again(monkeypatch):
+    words = packing.WordTokenizer(PATH, known_words=8)
+    texts = ["One two, three.", "one\x1ctwo", "", "three. One", "four FIVE six seven 8", "a b c d e f g h i"]
+    expected = [words.chain.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # the memory is smaller than the last text's words
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in words.texts_ids(texts)] == expected
+    words.texts_ids(texts[:1])
+    monkeypatch.setattr(words, "_learn", lambda new: pytest.fail("no word is new"))
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in words.texts_ids([texts[0], texts[3], ""])] == [expected[0], expected[3], []]
