@@ -178,12 +178,24 @@ class Network:
         """States after each step (steps, lanes, HIDDEN); steps marked ``fresh`` (steps, lanes) end in the empty state."""
         inputs, recurrent, n = self.p["inputs"], self.p["recurrent"], HIDDEN
         out = np.empty((len(tokens), *h.shape), np.float32)
+        fed, kept = inputs[tokens], _kept(fresh)
         for t in range(len(tokens)):
-            x, u = inputs[tokens[t]], h @ recurrent
-            gates = 1 / (1 + np.exp(-np.clip(x[:, :2 * n] + u[:, :2 * n], -30, 30)))
+            x, u = fed[t], h @ recurrent
+            gates = x[:, :2 * n] + u[:, :2 * n]
+            np.maximum(gates, -30, out=gates)
+            np.minimum(gates, 30, out=gates)
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.divide(1, gates, out=gates)
             z, r = gates[:, :n], gates[:, n:]
-            candidate = np.tanh(x[:, 2 * n:] + r * u[:, 2 * n:])
-            new = (candidate + z * (h - candidate)) * ~fresh[t][:, None]
+            candidate = r * u[:, 2 * n:]
+            candidate += x[:, 2 * n:]
+            np.tanh(candidate, out=candidate)
+            new = h - candidate
+            new *= z
+            new += candidate
+            new *= kept[t]
             if trace is not None:
                 trace.append((h, u[:, 2 * n:], z, r, candidate))
             out[t] = h = new
@@ -202,7 +214,7 @@ class Network:
         back = np.empty_like(states) if gradients is not None else None
         if gradients is not None:
             gradients["classes"], gradients["class_bias"] = np.zeros_like(p["classes"]), np.zeros_like(p["class_bias"])
-            gradients["words"], gradients["word_bias"] = {}, {}
+            gradients["words"], gradients["word_bias"] = np.zeros_like(p["words"]), np.zeros_like(p["word_bias"])
         ones = np.ones(_ALL_CLASSES, states.dtype)
         for at in range(0, n, 2048):  # as much as stays in a core's cache
             some = slice(at, at + 2048)
@@ -220,24 +232,32 @@ class Network:
         at = np.flatnonzero(own)
         at = at[np.argsort(classes[at].astype(np.uint8), kind="stable")]
         bounds = np.searchsorted(classes[at], np.arange(CLASSES + 1)).tolist()
-        inside, place, found = states[at], targets[at] % CLASS_WORDS, np.empty(len(at))
-        ones, rows = np.ones(CLASS_WORDS, states.dtype), np.arange(len(at))
-        for c in range(CLASSES):
-            first, end = bounds[c], bounds[c + 1]
-            if first == end:
-                continue
-            weights = inside[first:end] @ p["words"][c]
-            weights += p["word_bias"][c]
-            target = rows[:end - first], place[first:end]
+        inside, place, own_classes = states[at], targets[at] % CLASS_WORDS, classes[at]
+        ones, found = np.ones(CLASS_WORDS, states.dtype), np.empty(len(at))
+        used = [c for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
+        # a class's products are its own; what is done number by number is done for runs of classes at once
+        for run in _runs(used, bounds, 2048):
+            low, high = bounds[run[0]], bounds[run[-1] + 1]
+            weights, total = np.empty((high - low, CLASS_WORDS), states.dtype), np.empty(high - low, states.dtype)
+            parts = [(c, slice(bounds[c] - low, bounds[c + 1] - low), inside[bounds[c]:bounds[c + 1]]) for c in run]
+            for c, part, held in parts:
+                np.matmul(held, p["words"][c], out=weights[part])
+            weights += p["word_bias"][own_classes[low:high]]
+            target = np.arange(high - low), place[low:high]
             logits = weights[target]
             np.exp(weights, out=weights)
-            total = weights @ ones
-            found[first:end] = logits - np.log(total)
+            for _, part, _ in parts:
+                np.matmul(weights[part], ones, out=total[part])
+            found[low:high] = logits - np.log(total)
             if gradients is not None:
                 weights /= total[:, None]
                 weights[target] -= 1
-                gradients["words"][c], gradients["word_bias"][c] = inside[first:end].T @ weights, weights.sum(axis=0)
-                back[at[first:end]] += weights @ p["words"][c].T
+                passed = np.empty((high - low, HIDDEN), states.dtype)
+                for c, part, held in parts:
+                    np.matmul(held.T, weights[part], out=gradients["words"][c])
+                    np.add.reduce(weights[part], axis=0, out=gradients["word_bias"][c])
+                    np.matmul(weights[part], p["words"][c].T, out=passed[part])
+                back[at[low:high]] += passed
         out[at] += found
         if gradients is not None:
             gradients["states"] = back
@@ -247,20 +267,47 @@ class Network:
         """Gradients of the recurrent matrix and of each step's input rows (steps * lanes, 3 * HIDDEN)."""
         recurrent, n = self.p["recurrent"], HIDDEN
         d_recurrent, d_inputs = np.zeros_like(recurrent), np.empty((*tokens.shape, 3 * n), np.float32)
-        d_next = np.zeros_like(back[0])
+        d_next, kept = np.zeros_like(back[0]), _kept(fresh)
+        before, u, z, r, candidate = (np.stack(part) for part in zip(*trace, strict=True))
+        moved, not_z, not_r, slope = before - candidate, 1 - z, 1 - r, 1 - candidate * candidate
+        d_u = np.empty((tokens.shape[1], 3 * n), back.dtype)
+        d_z, d_r = d_u[:, :n], d_u[:, n:2 * n]
         for t in range(len(tokens) - 1, -1, -1):
-            h, u, z, r, candidate = trace[t]
-            d = (back[t] + d_next) * ~fresh[t][:, None]
-            d_candidate = d * (1 - z) * (1 - candidate * candidate)
-            d_z = d * (h - candidate) * z * (1 - z)
-            d_r = d_candidate * u * r * (1 - r)
-            d_inputs[t] = np.concatenate([d_z, d_r, d_candidate], axis=1)
-            d_u = np.concatenate([d_z, d_r, d_candidate * r], axis=1)
-            d_recurrent += h.T @ d_u
-            d_next = d * z + d_u @ recurrent.T
+            d = back[t] + d_next
+            d *= kept[t]
+            d_candidate = d * not_z[t]
+            d_candidate *= slope[t]
+            np.multiply(d, moved[t], out=d_z)
+            np.multiply(d_z, z[t], out=d_z)
+            np.multiply(d_z, not_z[t], out=d_z)
+            np.multiply(d_candidate, u[t], out=d_r)
+            np.multiply(d_r, r[t], out=d_r)
+            np.multiply(d_r, not_r[t], out=d_r)
+            d_inputs[t, :, :2 * n], d_inputs[t, :, 2 * n:] = d_u[:, :2 * n], d_candidate
+            np.multiply(d_candidate, r[t], out=d_u[:, 2 * n:])
+            d_recurrent += before[t].T @ d_u
+            d_next = d * z[t]
+            d_next += d_u @ recurrent.T
         return d_recurrent, d_inputs.reshape(-1, 3 * n)
 
 
+def _kept(fresh: np.ndarray) -> np.ndarray:
+    """1 where a state goes on, 0 where it is emptied, to multiply states with."""
+    return (~fresh).astype(np.float32)[..., None]
+
+
+def _runs(classes: list[int], bounds: list[int], rows: int) -> Iterator[list[int]]:
+    """Neighbouring classes of together at most ``rows`` rows, or one larger class."""
+    run: list[int] = []
+    for c in classes:
+        if run and bounds[c + 1] - bounds[run[0]] > rows:
+            yield run
+            run = []
+        run.append(c)
+    if run:
+        yield run
+
+
 def _lanes(documents: list[np.ndarray], lanes: int, in_order: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents dealt to lanes of near equal length: targets, previous tokens and document numbers (steps, lanes).
 
@@ -327,16 +374,19 @@ def train(network: Network, documents: list[np.ndarray], rate: float = RATE) ->
         back = np.zeros_like(states)
         back[live] = gradients["states"]
         d_recurrent, d_inputs = network.backward(trace, before, first, back)
-        steps = [("recurrent", ..., d_recurrent), ("classes", ..., gradients["classes"]), ("class_bias", ..., gradients["class_bias"])]
-        for name in ("words", "word_bias"):
-            steps += [(name, c, gradient) for c, gradient in gradients[name].items()]
+        steps = [("recurrent", ..., d_recurrent), *((name, ..., gradients[name]) for name in ("classes", "class_bias", "words", "word_bias"))]
         fed = np.flatnonzero(~first.reshape(-1) & live.reshape(-1))
         if len(fed):
-            tokens = before.reshape(-1)[fed]
+            tokens = before.reshape(-1)[fed].astype(np.uint16)
             order = np.argsort(tokens, kind="stable")
-            rows, starts = np.unique(tokens[order], return_index=True)
-            steps.append(("inputs", rows, np.add.reduceat(d_inputs[fed[order]], starts, axis=0)))
-        norm = np.sqrt(sum(float(np.vdot(gradient, gradient)) for _, _, gradient in steps)) / lanes
+            tokens = tokens[order]
+            starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+            steps.append(("inputs", tokens[starts], np.add.reduceat(d_inputs[fed[order]], starts, axis=0)))
+        squares = 0.0
+        for name, _, gradient in steps:
+            for part in gradient if name in ("words", "word_bias") else (gradient,):
+                squares += float(np.vdot(part, part))
+        norm = np.sqrt(squares) / lanes
         scale = np.float32(rate / lanes * min(1.0, CLIP / max(norm, 1e-9)))
         for name, place, gradient in steps:
             p[name][place] -= scale * gradient
@@ -361,8 +411,11 @@ def train_network(texts: DataFrame, words: Vocabulary) -> Network:
         seen = waiting = 0
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                tokens = [numbers[w] if w in numbers else _OWN + tail_class(w) for w in [*_words(raw), END]]
-                documents.append(np.array(tokens, np.int32))
+                split = [*_words(raw), END]
+                tokens = np.fromiter(map(numbers.get, split, repeat(-1)), np.int32, len(split))
+                for place in np.flatnonzero(tokens < 0).tolist():
+                    tokens[place] = _OWN + tail_class(split[place])
+                documents.append(tokens)
                 seen, waiting = seen + len(tokens), waiting + len(tokens)
                 if waiting > BUFFER_TOKENS:
                     train(network, documents)

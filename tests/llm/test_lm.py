@@ -135,3 +135,33 @@ def test_scores_do_not_depend_on_the_tables_partitions(spark):
                 for n in (1, 5)]
     for a, b in zip(*by_split, strict=True):
         assert a[1] == pytest.approx(b[1], rel=1e-6)
+
+
+def test_exponents_are_taken_for_many_classes_at_once(monkeypatch):
+    net, rng = network(own=lm.CLASSES * lm.CLASS_WORDS), np.random.default_rng(6)
+    net.p["word_bias"] = rng.standard_normal((lm.CLASSES, lm.CLASS_WORDS)).astype(np.float32)
+    targets = np.concatenate([rng.integers(0, 64, 300), rng.integers(0, lm.CLASSES * lm.CLASS_WORDS + lm.TAIL_CLASSES, 500)])
+    states, calls, exp = rng.standard_normal((800, lm.HIDDEN)).astype(np.float32), [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
+    gradients: dict = {}
+    logs = net.log_probabilities(states, targets, gradients)
+    monkeypatch.undo()
+    assert len(calls) == 2  # the classes, the words in them
+    everything = np.exp(states @ net.p["classes"] + net.p["class_bias"])
+    everything /= everything.sum(axis=1, keepdims=True)
+    for c in range(lm.CLASSES):
+        mine = targets // lm.CLASS_WORDS == c
+        inside = np.exp(states[mine] @ net.p["words"][c] + net.p["word_bias"][c])
+        inside /= inside.sum(axis=1, keepdims=True)
+        own = np.eye(lm.CLASS_WORDS)[targets[mine] % lm.CLASS_WORDS]
+        assert logs[mine] == pytest.approx(np.log(everything[mine, c] * (inside * own).sum(axis=1)), abs=1e-4)
+        assert gradients["words"][c] == pytest.approx(states[mine].T @ (inside - own), abs=1e-4)
+        assert gradients["word_bias"][c] == pytest.approx((inside - own).sum(axis=0), abs=1e-4)
+
+
+def test_runs_of_classes_hold_every_class_once():
+    sizes = [5, 0, 3000, 1, 2047, 0, 2, 2046]
+    bounds = np.append(0, np.cumsum(sizes)).tolist()
+    runs = list(lm._runs([c for c, n in enumerate(sizes) if n], bounds, 2048))
+    assert runs == [[0], [2], [3, 4], [6, 7]]
+    assert list(lm._runs([], bounds, 2048)) == []
