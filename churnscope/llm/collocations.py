@@ -10,7 +10,9 @@ and stays below the threshold, so every frequent n-gram survives, in memory
 that does not depend on how many different n-grams there are.
 
 Second pass: the n-grams whose hash survived are counted exactly, by their
-words.  A collision of hashes only adds a key that the exact count drops.
+words.  A collision of hashes only adds a key that the exact count drops, so
+many survivors go to the tasks as a Bloom filter, and very many in several
+passes; n-grams that did not survive are not shuffled.
 
 Phrases are scored at their weakest cut; parts of a frequent phrase are
 frequent, so their counts are at hand.
@@ -18,8 +20,9 @@ frequent, so their counts are at hand.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -39,14 +42,18 @@ CHUNK_BYTES = 1 << 22       # longer texts are cut into words part by part
 PARTITION_BYTES = 12 << 20  # text whose n-grams make up one hash partition, on average
 SLACK = 4                   # capacity, as a multiple of the least that keeps every frequent n-gram
 MERGE_KEYS = 1_000_000      # keys that a summary takes in at a time
-BROADCAST_KEYS = 4_000_000  # survivors (8 bytes each) up to this many go to every task; more are joined by shuffle
+BROADCAST_KEYS = 4_000_000  # survivors (8 bytes each) up to this many go to every task; more as a filter of the same size
+FILTER_BITS = 16            # of a survivor in the filter: of the n-grams that did not survive 1 in 200 passes it
+PASSES = 8                  # over the texts, each with a filter for a range of hash partitions; beyond, survivors are joined by shuffle
 SPREAD = 64
 
 _BREAK = b"."
 # A-Z lowered; signs that end a piece become the break, tabs spaces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
-_LOW = np.uint64(0xFFFFFFFF)
+_LOW = np.uint64(0xFFFFFF)  # a key's bits: several for every n-gram of a partition, which holds PARTITION_BYTES of text at any size of table
+_ESCAPE = 0xFFFF
+_PROBES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
 def _chunks(raw: bytes) -> Iterator[bytes]:
@@ -129,6 +136,64 @@ def _code(hashes: np.ndarray, partitions: int) -> np.ndarray:
     return (hashes >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32) << np.uint64(32) | hashes & _LOW
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Rising keys as 2-byte steps, larger ones behind escapes; as they are where that is shorter.  The last byte tells which."""
+    steps = np.diff(keys.astype(np.int64), prepend=0)
+    escapes = steps // _ESCAPE
+    if 2 * (len(keys) + int(escapes.sum())) >= 4 * len(keys):
+        return keys.astype("<u4").tobytes() + b"k"
+    out = np.full(len(keys) + int(escapes.sum()), _ESCAPE, "<u2")
+    out[np.cumsum(escapes + 1) - 1] = steps - escapes * _ESCAPE
+    return out.tobytes() + b"s"
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    if raw[-1:] == b"k":
+        return np.frombuffer(raw[:-1], "<u4")
+    steps = np.frombuffer(raw[:-1], "<u2")
+    return np.cumsum(steps, dtype=np.uint32)[steps != _ESCAPE]
+
+
+class _Listed:
+    """Survivors as sorted codes."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes = codes
+
+    def among(self, codes: np.ndarray) -> np.ndarray:
+        """Places of those of ``codes`` that are listed."""
+        if not len(self.codes):
+            return np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.flatnonzero(self.codes[at] == codes)
+
+
+class _Filter:
+    """A Bloom filter of the survivors of the hash partitions from ``low`` to below ``high``."""
+
+    def __init__(self, parts: Iterable[np.ndarray], n: int, low: int, high: int) -> None:
+        self.low, self.high, self.n_bits = np.uint64(low), np.uint64(high), np.uint64(max(64, FILTER_BITS * n))
+        self.bits = np.zeros(int(self.n_bits) // 8 + 1, np.uint8)
+        for codes in parts:
+            for probe in _PROBES:
+                at = self._places(codes, probe)
+                np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def _places(self, codes: np.ndarray, probe: np.uint64) -> np.ndarray:
+        mixed = (codes ^ codes >> np.uint64(31)) * probe
+        mixed = (mixed ^ mixed >> np.uint64(30)) * _PROBES[0]
+        return (mixed >> np.uint64(32)) * self.n_bits >> np.uint64(32)
+
+    def among(self, codes: np.ndarray) -> np.ndarray:
+        """Places of those of ``codes`` in the range that are survivors, and of few others of the range."""
+        part = codes >> np.uint64(32)
+        found = np.flatnonzero((part >= self.low) & (part < self.high))
+        for probe in _PROBES:
+            at = self._places(codes[found], probe)
+            found = found[self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) != 0]
+        return found
+
+
 class Summary:
     """A Misra-Gries summary: at most ``capacity`` keys; no count is too high, or too low by more than ``lost``."""
 
@@ -162,28 +227,28 @@ def survivors(texts: DataFrame, least: int, longest: int, partitions: int, slice
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _slices(batches, slice_words):
-            hashes = np.sort(np.concatenate([np.empty(0, np.uint64), *(h for _, _, h in own.ngrams(longest))]))
-            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[:len(hashes)])
-            counts = np.diff(np.append(first, len(hashes)))
-            code = _code(hashes[first], partitions)
+            code = np.sort(_code(np.concatenate([np.empty(0, np.uint64), *(h for _, _, h in own.ngrams(longest))]), partitions))
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])[:len(code)])
+            counts = np.diff(np.append(first, len(code)))
+            code = code[first]
             part, keys = (code >> np.uint64(32)).astype(np.int64), (code & _LOW).astype("<u4")
             parts = np.flatnonzero(np.bincount(part, minlength=1)) if len(part) else np.empty(0, np.int64)
             rows: tuple[list, ...] = ([], [], [])
             for low, high in zip(np.searchsorted(part, parts), np.searchsorted(part, parts, "right"), strict=True):
                 once = counts[low:high] == 1
-                rows[0].append(keys[low:high][once].tobytes())
-                rows[1].append(keys[low:high][~once].tobytes())
+                rows[0].append(_packed(keys[low:high][once]))
+                rows[1].append(_packed(keys[low:high][~once]))
                 rows[2].append(counts[low:high][~once].astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), *(pa.array(r, pa.binary()) for r in rows)],
                                              names=["part", "once", "keys", "counts"])
 
     def merged(rows: pa.Table) -> pa.Table:
         once, more, counts = (rows[c].to_pylist() for c in ("once", "keys", "counts"))
-        mass = sum(len(k) // 4 for k in once) + sum(int(np.frombuffer(c, "<i8").sum()) for c in counts)
+        mass = sum(len(_unpacked(k)) for k in once) + sum(int(np.frombuffer(c, "<i8").sum()) for c in counts)
         summary = Summary(slack * (mass // least) + 1)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         for n in range(len(once)):
-            single, several = np.frombuffer(once[n], "<u4"), np.frombuffer(more[n], "<u4")
+            single, several = _unpacked(once[n]), _unpacked(more[n])
             waiting += [(single, np.ones(len(single), np.int64)), (several, np.frombuffer(counts[n], "<i8"))]
             if n == len(once) - 1 or sum(len(k) for k, _ in waiting) >= MERGE_KEYS:
                 summary.merge(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
@@ -199,20 +264,22 @@ def survivors(texts: DataFrame, least: int, longest: int, partitions: int, slice
     return rows.groupBy("part").applyInArrow(merged, "part int, n long, lost long, keys binary")
 
 
-def _counted(texts: DataFrame, longest: int, partitions: int, slice_words: int, known: np.ndarray | None) -> DataFrame:
+def _counted(texts: DataFrame, longest: int, partitions: int, slice_words: int, known: _Listed | _Filter | None,
+             with_words: bool = True) -> DataFrame:
     """``code, lang, phrase, n`` per slice, of the n-grams whose code is in ``known`` (None: of all); a null phrase counts words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _slices(batches, slice_words):
             fresh = (np.arange(len(own.ids)) >= own.seen) & ~own.is_break
             totals = np.bincount(own.lang[fresh], minlength=len(own.names))
-            codes, langs, phrases, counts = [np.full(len(own.names), -1)], [*own.names], [None] * len(own.names), [totals]
+            codes, langs, phrases, counts = [np.empty(0, np.int64)], [], [], [np.empty(0, np.int64)]
+            if with_words:
+                codes, langs, phrases, counts = [np.full(len(own.names), -1)], [*own.names], [None] * len(own.names), [totals]
             for size, place, hashes in own.ngrams(longest):
                 code = _code(hashes, partitions)
                 if known is not None:
-                    at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
-                    found = known[at] == code if len(known) else np.zeros(len(code), bool)
-                    place, code, hashes = place[found], code[found], hashes[found]
+                    found = known.among(code)
+                    place, code = place[found], code[found]
                 # n-grams are told apart by their words, not by their hash
                 key = own.ids[place]
                 for k in range(1, size):
@@ -230,6 +297,18 @@ def _counted(texts: DataFrame, longest: int, partitions: int, slice_words: int,
     return texts.mapInArrow(run, "code long, lang string, phrase string, n long")
 
 
+def _blocks(sizes: dict[int, int], partitions: int, most: int) -> list[tuple[int, int, int]]:
+    """Ranges of hash partitions (first, beyond the last, survivors) of at most ``most`` survivors, or of one partition."""
+    blocks, low, held = [], 0, 0
+    for part in range(partitions):
+        n = sizes.get(part, 0)
+        if held and held + n > most:
+            blocks.append((low, part, held))
+            low, held = part, 0
+        held += n
+    return [*blocks, (low, partitions, held)]
+
+
 def frequent_ngrams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, slice_words: int = SLICE_WORDS,
                     partition_bytes: int = PARTITION_BYTES, slack: int = SLACK, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``lang, phrase, n``: exact counts of all n-grams of up to ``longest`` words that occur ``least`` times in a language.
@@ -245,10 +324,19 @@ def frequent_ngrams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST,
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(1, -(-n_bytes // partition_bytes))
     kept = materialize(survivors(texts, least, longest, partitions, slice_words, slack))
-    if (kept.agg(F.sum("n")).first()[0] or 0) <= broadcast_keys:
-        codes = [np.uint64(r["part"]) << np.uint64(32) | np.frombuffer(bytes(r["keys"]), "<u4").astype(np.uint64)
-                 for r in kept.select("part", "keys").sort("part").collect()]
-        rows = _counted(texts, longest, partitions, slice_words, np.concatenate([np.empty(0, np.uint64), *codes]))
+    sizes = {r["part"]: r["n"] for r in kept.select("part", "n").collect()}
+
+    def codes_of(low: int, high: int) -> Iterator[np.ndarray]:
+        for r in kept.filter(F.col("part").between(low, high - 1)).select("part", "keys").sort("part").collect():
+            yield np.uint64(r["part"]) << np.uint64(32) | np.frombuffer(bytes(r["keys"]), "<u4").astype(np.uint64)
+
+    blocks = _blocks(sizes, partitions, broadcast_keys * 64 // FILTER_BITS)
+    if sum(sizes.values()) <= broadcast_keys:
+        codes = _Listed(np.concatenate([np.empty(0, np.uint64), *codes_of(0, partitions)]))
+        rows = _counted(texts, longest, partitions, slice_words, codes)
+    elif len(blocks) <= PASSES:
+        rows = reduce(DataFrame.unionByName, (
+            _counted(texts, longest, partitions, slice_words, _Filter(codes_of(low, high), n, low, high), low == 0) for low, high, n in blocks))
     else:
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in in_slices(batches, 1):

@@ -141,3 +141,38 @@ def test_scores_beyond_64_bits(spark):
 def test_query_against_plain(spark):
     rows = [(r["lang"], r["text"]) for r in table(spark, SF_SMALL, "documents").collect()]
     assert got(queries.QUERIES["op12_phrase_collocations"](spark, SF_SMALL)) == plain(rows)
+
+
+def test_rising_keys_in_two_byte_steps():
+    rng = np.random.default_rng(5)
+    for keys in ([], [0], [5, 6], [2 ** 24 - 1], [0, 65534, 65535, 131070, 131071], np.unique(rng.integers(0, 1 << 24, 5000)), np.arange(0, 1 << 24, 65535),
+                 np.arange(1000), np.unique(rng.integers(0, 1 << 24, 40))):
+        keys = np.array(keys, np.uint32)
+        assert C._unpacked(C._packed(keys)).tolist() == keys.tolist()
+        assert len(C._packed(keys)) <= min(4 * len(keys), 2 * len(keys) + 512) + 1
+
+
+def test_filter_keeps_its_range_and_few_others():
+    rng = np.random.default_rng(6)
+    code = lambda low, high, n: np.unique(rng.integers(low << 32, high << 32, n).astype(np.uint64))
+    codes = code(3, 7, 5000)
+    own = C._Filter(iter([codes[:2000], codes[2000:]]), len(codes), 3, 7)
+    assert own.among(codes).tolist() == list(range(len(codes)))
+    others = np.setdiff1d(code(3, 7, 50_000), codes)
+    assert len(own.among(others)) < 0.02 * len(others)
+    assert len(own.among(code(0, 3, 5000))) == len(own.among(code(7, 9, 5000))) == 0
+
+
+def test_many_survivors_do_not_bring_the_others(spark, monkeypatch):
+    """More survivors than may be listed in every task: only they, and few others, are rows of the second pass."""
+    rng = random.Random(2)
+    rare = lambda: f"r{rng.randrange(10 ** 9)}"
+    rows = [("en", " ".join(f"f{rng.randrange(30)}" if k % 12 < 4 else rare() for k in range(600))) for _ in range(60)] + [(None, "f1 f2")]
+    counted, made = C._counted, []
+    monkeypatch.setattr(C, "_counted", lambda *args: made.append(counted(*args)) or made[-1])
+    limits = {"partition_bytes": 100_000, "broadcast_keys": 100, "slice_words": 3000}
+    assert got(C.collocations(frame(spark, rows), least=8, **limits)) == plain(rows, 8) != []
+    shuffled = sum(f.filter("phrase is not null").select("phrase").distinct().count() for f in made)
+    every = {w[i:i + m] for _, t in rows for w in [tuple(t.split())] for m in range(1, 5) for i in range(len(w) - m + 1)}
+    assert len(made) > 1 and shuffled < 0.1 * len(every)
+    assert made[0].filter("phrase is null").count() > 0 and not any(f.filter("phrase is null").count() for f in made[1:])
