@@ -11,16 +11,20 @@ is linked to every B token of it.
   slice of documents that holds them, and their counts come back the same way.
 
 A slice is some whole documents of one task, bounded by tokens.  It is written
-as one row: twin ids, numbers of irregular groups, and a dictionary of those
-groups.  So texts are encoded once, a pair that all documents hold is one row a
-slice, and nothing passes the driver but vectors over the A vocabulary.
+as one row, in a row group of its own: twin ids, numbers of irregular groups,
+and a dictionary of those groups.  So texts are encoded once, a pair that all
+documents hold is one row a slice, and nothing passes the driver but vectors
+over the A vocabulary.  Twins, which are most of a slice, are summed up where
+they are read; only the irregular groups travel to their counts.
 """
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 from collections.abc import Iterator
+from contextlib import suppress
 from itertools import pairwise
 from typing import Any
 
@@ -37,12 +41,18 @@ from churnscope.session import fresh_path, remove_path
 SLICE_TOKENS = 1_000_000  # a slice ends with the document that reaches this
 DOC_COST = 64             # what a document counts besides its tokens
 
+# A writer holds, and a reader decodes, one slice at a time; by bytes Parquet would look only every 100 rows.
+ROW_GROUPS = {"compression": "zstd", "parquet.block.row.count.limit": "1"}
+
 _ARRAYS = ["twins", "groups", "first", "keys", "times", "twin_keys"]
 _LONGS = pa.list_(pa.int64())
 SLICE_SCHEMA = pa.schema([
     ("slice", pa.int64()), ("doc_ids", _LONGS), ("n_a", _LONGS), ("n_b", _LONGS), ("n_groups", _LONGS), ("n_links", _LONGS),
     ("groups_sha256", pa.list_(pa.string())), ("n_twins", _LONGS), ("n_irregular", _LONGS), *((c, pa.binary()) for c in _ARRAYS),
     ("twin_ids", pa.list_(pa.int32())), ("twin_docs", _LONGS), ("pairs", pa.list_(pa.struct([("pair", pa.int64()), ("docs", pa.int64())])))])
+_KEPT = [("slice", pa.int64()), *((c, _LONGS) for c in ("doc_ids", "n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.list_(pa.string())),
+         ("n_irregular", _LONGS), *((c, pa.binary()) for c in _ARRAYS[1:])]
+SUMMED_SCHEMA = pa.schema([*_KEPT, ("twin_sum", _LONGS), ("twin_best", _LONGS)])
 RESULT_SCHEMA = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
@@ -109,6 +119,7 @@ class Aligner:
         marks = np.zeros((2, end_a[-1] + 1 if len(a) else 1), bool)
         marks[0, end_a] = marks[1, end_b] = True
         cut_a, cut_b = marks[1, end_a], marks[0, end_b]
+        del end_a, end_b, marks
         n_all = int(cut_a.sum())
         size_a, size_b = (np.bincount(np.cumsum(cut) - cut, minlength=n_all) for cut in (cut_a, cut_b))
         at_a, at_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
@@ -116,10 +127,11 @@ class Aligner:
         odd = np.flatnonzero(~regular)
 
         known: dict[tuple[bytes, bytes], int] = {}
-        raw_a, raw_b = a.tobytes(), b.tobytes()
-        numbers = np.array([known.setdefault((raw_a[p:q], raw_b[r:s]), len(known)) for p, q, r, s in zip(
+        raw_a, raw_b = memoryview(a).cast("B"), memoryview(b).cast("B")
+        numbers = np.array([known.setdefault((bytes(raw_a[p:q]), bytes(raw_b[r:s])), len(known)) for p, q, r, s in zip(
             (4 * at_a[odd]).tolist(), (4 * (at_a + size_a)[odd]).tolist(), (4 * at_b[odd]).tolist(), (4 * (at_b + size_b)[odd]).tolist(),
             strict=True)], np.int64)
+        del raw_a, raw_b, at_b
 
         # text of every group: twins by A id, behind them the irregular groups by number
         own = [(np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)) for x, y in known]
@@ -129,6 +141,7 @@ class Aligner:
         group_ends = np.concatenate([[0], np.cumsum(cut_a)])[np.concatenate([[0], np.cumsum(n_a)])]
         digests = [hashlib.sha256("".join(map(texts.__getitem__, which[p:q].tolist()))[:-1].encode()).hexdigest() if q > p else ""
                    for p, q in pairwise(group_ends.tolist())]
+        del which
 
         # pairs of every distinct irregular group, with how often it has each
         counts = [(np.unique(x, return_counts=True), np.unique(y, return_counts=True)) for x, y in own]
@@ -159,11 +172,21 @@ class Aligner:
                 "groups": numbers.astype("<i4").tobytes(), "first": first.astype("<i8").tobytes(), "keys": place.astype("<i4").tobytes(),
                 "times": times.astype("<i8").tobytes(), "twin_keys": keys[is_twin].astype("<i8").tobytes(),
                 "twin_ids": twin_ids, "twin_docs": twin_docs[twin_ids],
-                "pairs": [{"pair": k, "docs": d} for k, d in zip(keys[~is_twin].tolist(), pair_docs[~is_twin].tolist(), strict=True)]}
+                "pairs": (keys[~is_twin], pair_docs[~is_twin])}
 
 
 def _batch(row: dict[str, Any]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in SLICE_SCHEMA], schema=SLICE_SCHEMA)
+    arrays = [pa.array([row[f.name]], f.type) for f in SLICE_SCHEMA if f.name != "pairs"]
+    kind = SLICE_SCHEMA.field("pairs").type
+    pairs = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in row["pairs"]], fields=list(kind.value_type))
+    held = pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pairs, type=kind)
+    return pa.RecordBatch.from_arrays([*arrays, held], schema=SLICE_SCHEMA)
+
+
+def _give_back() -> None:
+    """Memory that Python has freed back to the system, where the C library can (a slice leaves some 100 MB)."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _slices(docs: DataFrame, name: str, make: Any, slice_tokens: int) -> DataFrame:
@@ -180,20 +203,40 @@ def _slices(docs: DataFrame, name: str, make: Any, slice_tokens: int) -> DataFra
                 if size >= slice_tokens:
                     yield _batch(aligner.slice_row(slice_id, held))
                     slice_id, size, held = slice_id + 1, 0, []
+                    _give_back()
         if held:
             yield _batch(aligner.slice_row(slice_id, held))
+        _give_back()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return narrow.mapInArrow(run, from_arrow_schema(SLICE_SCHEMA))
 
 
-def _scored(n_b: int, twin: np.ndarray, twin_docs: np.ndarray, best: np.ndarray) -> Any:
+def _by_doc(values: np.ndarray, sizes: list[int]) -> np.ndarray:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[ends])
+
+
+def _twins_summed(slices: DataFrame, twin_docs: np.ndarray, best: np.ndarray) -> DataFrame:
+    """The slices with ``twin_sum, twin_best`` (counts of a document's twins, and how many are best) in place of the twins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, 1):
+            twins = np.frombuffer(batch.column("twins")[0].as_buffer(), "<i4")
+            sizes = batch.column("n_twins")[0].as_py()
+            sums = [pa.array([_by_doc(x, sizes)], _LONGS) for x in (twin_docs[twins], twin_docs[twins] == best[twins])]
+            yield pa.RecordBatch.from_arrays([batch.column(c).cast(kind) for c, kind in _KEPT] + sums, schema=SUMMED_SCHEMA)
+
+    return slices.select("n_twins", "twins", *(c for c, _ in _KEPT)).mapInArrow(run, from_arrow_schema(SUMMED_SCHEMA))
+
+
+def _scored(n_b: int, twin_docs: np.ndarray, best: np.ndarray) -> Any:
     """What one slice needs to score its documents, given the counts of its irregular pairs."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         first, times, own_twins = (np.frombuffer(row[c], "<i8") for c in ("first", "times", "twin_keys"))
-        twins, groups, place = (np.frombuffer(row[c], "<i4") for c in ("twins", "groups", "keys"))
+        groups, place = (np.frombuffer(row[c], "<i4") for c in ("groups", "keys"))
         keys = np.concatenate([right["pair"].to_numpy(), own_twins]).astype(np.int64)
         docs = np.concatenate([right["docs"].to_numpy(), twin_docs[own_twins // n_b]]).astype(np.int64)
         order = np.argsort(keys)
@@ -201,13 +244,8 @@ def _scored(n_b: int, twin: np.ndarray, twin_docs: np.ndarray, best: np.ndarray)
         of_link, is_best = docs[place], docs[place] == best[keys[place] // n_b]
         sums = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[first])
         group_sum, group_best = sums(of_link * times), sums(is_best * times)
-
-        def by_doc(values: np.ndarray, sizes: list[int]) -> np.ndarray:
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-            return np.diff(np.concatenate([[0], np.cumsum(values)])[ends])
-
-        count_sum = by_doc(twin_docs[twins], row["n_twins"]) + by_doc(group_sum[groups], row["n_irregular"])
-        n_best = by_doc(twin_docs[twins] == best[twins], row["n_twins"]) + by_doc(group_best[groups], row["n_irregular"])
+        count_sum = np.array(row["twin_sum"], np.int64) + _by_doc(group_sum[groups], row["n_irregular"])
+        n_best = np.array(row["twin_best"], np.int64) + _by_doc(group_best[groups], row["n_irregular"])
         out = [row["doc_ids"], row["n_a"], row["n_b"], row["n_groups"], row["n_links"], n_best, count_sum]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in out] + [pa.array(row["groups_sha256"], pa.string())],
                                     names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
@@ -243,7 +281,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, pattern: str, slice_tokens:
         return Aligner(ByteLevelTokenizer(path_a, pattern), PieceTokenizer(path_b))
 
     path = fresh_path(spark, "alignment-slices")
-    _slices(docs, name, make, slice_tokens).write.option("compression", "zstd").parquet(path)
+    _slices(docs, name, make, slice_tokens).write.options(**ROW_GROUPS).parquet(path)
     slices = spark.read.parquet(path)
     aligner = make()
     n_b, twin = aligner.n_b, aligner.twin
@@ -256,9 +294,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, pattern: str, slice_tokens:
     best = np.maximum(twin_docs, _vector(pairs.groupBy(id_a.alias("id")).agg(F.max("docs").alias("n")), len(twin)))
 
     counts = held.select(F.col("slice").alias("asked_by"), "pair").join(pairs, "pair")
-    left = slices.select("slice", "doc_ids", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_twins", "n_irregular", *_ARRAYS)
-    rows = materialize(left.groupBy("slice").cogroup(counts.groupBy("asked_by")).applyInArrow(
-        _scored(n_b, twin, twin_docs, best), RESULT_SCHEMA))
+    rows = materialize(_twins_summed(slices, twin_docs, best).groupBy("slice").cogroup(counts.groupBy("asked_by")).applyInArrow(
+        _scored(n_b, twin_docs, best), RESULT_SCHEMA))
     remove_path(spark, path)
     same = [(int(n), int(twin[n]), int(twin_docs[n])) for n in np.flatnonzero(twin_docs)]
     linked = pairs.select(id_a.cast("long").alias("a"), (F.col("pair") % n_b).alias("b"), "docs").unionByName(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import os
 import random
@@ -127,3 +128,30 @@ def test_query_against_plain(spark, tokenizers):
     assert documents(spark, SF_SMALL).count() == len(given)
     assert got(queries.QUERIES["op11_tokenizer_alignment"](spark, SF_SMALL)) == sorted(
         ((i, *w) for (i, _), w in zip(given, want, strict=True)), key=str)
+
+
+def test_slices_are_row_groups_and_twins_stay(spark, monkeypatch):
+    """However many slices a task has, one is held at a time; what is shuffled has no array of twins."""
+    import pyarrow.parquet as pq
+
+    seen = {}
+    read, summed = type(spark.read).parquet, alignment._twins_summed
+
+    def parquet(reader, *paths):
+        seen["files"] = [f for p in paths for f in glob.glob(p.removeprefix("file:") + "/*.parquet")]
+        seen["groups"] = [pq.ParquetFile(f).metadata.row_group(k).num_rows for f in seen["files"] for k in range(pq.ParquetFile(f).metadata.num_row_groups)]
+        return read(reader, *paths)
+
+    def kept(*args):
+        out = summed(*args)
+        seen["columns"] = out.columns
+        return out
+
+    monkeypatch.setattr(type(spark.read), "parquet", parquet)
+    monkeypatch.setattr(alignment, "_twins_summed", kept, raising=False)
+    texts = ["the house of the sea " * 20] * 30
+    frame = helpers.documents(spark, [(n, t, "en", "s", None, *helpers.EXTRA) for n, t in enumerate(texts)])
+    rows, _ = alignment.align(frame, PATH_A, PATH_B, public_tokenizers.PATTERN, 100)
+    assert rows.count() == 30
+    assert len(seen["groups"]) == 30 and set(seen["groups"]) == {1}
+    assert "twins" not in seen["columns"] and "twin_sum" in seen["columns"]
